@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +17,18 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources weigh 1, 2, 3, repeating; the budget is all words, no source above 3 times its own."""
+    plan = mixing.schedule(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_repeats=3, cut="word")
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda so_far, x: so_far + x["taken_words"])
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("n_draws"))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near equal bytes."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_source_mix, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
