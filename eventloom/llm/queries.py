@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, sharding
+from . import language_id, mixing, near_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +24,19 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("n_draws"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32(doc_id) mod 4 is not 2; the others are held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = language_id.fit(docs.where(remainder != 2))
+    return language_id.predict(docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of near equal bytes."""
     placed = sharding.assign(_table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_source_mix, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_source_mix, op7_language_id, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
