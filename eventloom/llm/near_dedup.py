@@ -99,7 +99,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: int) -> DataFra
 def _counted(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Exact sizes of the intersection and the union of the shingle sets of each pair."""
     pairs = materialize(pairs, "pairs")
-    ends = sieve.build(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    ends = sieve.build(pairs, ["a", "b"])
     texts = sieve.keep_possible(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", ends)
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))

@@ -23,19 +23,20 @@ def places(keys: np.ndarray, log_bits: int = LOG_BITS) -> list[np.ndarray]:
     return [mix64(keys.view(np.uint64) + salt) >> np.uint64(64 - log_bits) for salt in _SALTS]
 
 
-def build(keys: DataFrame, column: str, log_bits: int = LOG_BITS) -> np.ndarray:
-    """The filter of a long column as 2 ** log_bits bits. Executors set bits, the driver gets the finished words."""
+def build(keys: DataFrame, columns: list[str], log_bits: int = LOG_BITS) -> np.ndarray:
+    """The filter of all values in some long columns, as 2 ** log_bits bits. Executors set bits, the driver gets the
+    finished words."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (log_bits - 6), np.uint64)
         for batch in batches:
-            found = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-            for at in places(found, log_bits):
-                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+            for column in batch.columns:
+                for at in places(column.drop_null().to_numpy(zero_copy_only=False), log_bits):
+                    np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["at", "bits"])
 
-    rows = keys.select(F.col(column).cast("long")).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    rows = keys.select(*[F.col(c).cast("long") for c in columns]).mapInArrow(bits, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
     table = rows.toArrow()
     words = np.zeros(1 << (log_bits - 6), np.uint64)
     words[table["at"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)

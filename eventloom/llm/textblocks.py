@@ -96,16 +96,54 @@ def words(block: Block) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each byte range; with lower, A-Z count as a-z. Empty ranges share one hash."""
+    lengths = ends - starts
+    total = int(lengths.sum())
+    if not total:
+        return mix64(np.zeros(len(lengths), np.uint64))
+    before = np.cumsum(lengths) - lengths
+    place = np.arange(total) - np.repeat(before, lengths)
+    inside = data[np.repeat(starts, lengths) + place]
+    values = (_BYTE_LOWER if lower else _BYTE)[inside] * _PLACE[place % _SPAN]
+    sums = np.zeros(len(lengths), np.uint64)
+    some = lengths > 0
+    sums[some] = np.add.reduceat(values, before[some])
+    return mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def word_hashes(block: Block, w: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; with lower, A-Z count as a-z."""
-    lengths = w.ends - w.starts
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    before = np.cumsum(lengths) - lengths
-    inside = block.data[~SEPARATOR[block.data]]
-    place = (np.arange(len(inside)) - np.repeat(before, lengths)) % _SPAN
-    values = (_BYTE_LOWER if lower else _BYTE)[inside] * _PLACE[place]
-    return mix64(np.add.reduceat(values, before) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return range_hashes(block.data, w.starts, w.ends, lower)
+
+
+def count_in(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many bytes of each range the mask marks."""
+    total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
+    return total[ends] - total[starts]
+
+
+def lines(block: Block) -> Words:
+    """The lines of a block, parted by newlines; every text has one at least. starts, ends and first as of words."""
+    breaks = np.flatnonzero(block.data == 0x0A)
+    per_text = np.searchsorted(breaks, block.offsets[1:]) - np.searchsorted(breaks, block.offsets[:-1])
+    first = np.concatenate([[0], np.cumsum(per_text + 1)])
+    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    opens, closes = np.zeros(first[-1], bool), np.zeros(first[-1], bool)
+    opens[first[:-1]], closes[first[1:] - 1] = True, True
+    starts[opens], ends[closes] = block.offsets[:-1], block.offsets[1:]
+    starts[~opens], ends[~closes] = breaks + 1, breaks
+    return Words(starts, ends, first)
+
+
+def repeats_earlier(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Marks each key that its owner has had before, in order."""
+    order = np.lexsort((keys, owner))
+    same = np.zeros(len(keys), bool)
+    same[1:] = (owner[order][1:] == owner[order][:-1]) & (keys[order][1:] == keys[order][:-1])
+    marked = np.zeros(len(keys), bool)
+    marked[order] = same
+    return marked
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
