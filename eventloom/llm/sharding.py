@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import running_total, shuffled
@@ -51,24 +51,31 @@ def default_dimensions() -> list[Column]:
 
 
 def describe(docs: DataFrame, dimensions: list[Column] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, tie and keys (an order-preserving long for each dimension, then the text's CRC-32)."""
+    """doc_id, row_key (of doc_id and text), size, text_crc32, tie and keys (an order-preserving long for
+    each dimension, then the text's CRC-32)."""
     text = F.col("text").cast("string")
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *[F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")],
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        row_key(docs).alias("row_key"),
     )
     dims = dimensions or default_dimensions()
-    valued = materialize(base.select("doc_id", "size", "text_crc32", F.array(*dims).alias("dims")), "described")
+    valued = materialize(base.select("doc_id", "row_key", "size", "text_crc32", F.array(*dims).alias("dims")), "described")
     spread = valued.agg(*[F.struct(F.min(F.col("dims")[i]), F.max(F.col("dims")[i])) for i in range(len(dims))]).first()
     keys = []
     for i, (low, high) in enumerate(spread):
         width = (high - low) if low is not None and high > low else 1.0
         step = F.floor((F.col("dims")[i] - F.lit(low or 0.0)) / F.lit(width) * F.lit(float(2**30))).cast("long")
         keys.append(F.shiftleft(step, 32) + F.col("text_crc32"))
-    tie = shuffled("doc_id", seed=7)
-    return valued.select("doc_id", "size", "text_crc32", tie.alias("tie"), F.array(*keys).alias("keys"))
+    return valued.select("doc_id", "row_key", "size", "text_crc32", shuffled("doc_id", seed=7).alias("tie"), F.array(*keys).alias("keys"))
+
+
+def row_key(docs: DataFrame) -> Column:
+    """Tells rows apart by all that default_dimensions() and the size read."""
+    read = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in read])
 
 
 def _node_of(leaves: list[Node], node: Node) -> Column:
@@ -167,19 +174,31 @@ def grow(described: DataFrame, shards: int) -> Node:
 
 
 def assign(docs: DataFrame, shards: int, dimensions: list[Column] | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (its place in the shard, gapless from 0) for each row of docs."""
+    """doc_id, row_key, size, text_crc32, shard and slot (its place in the shard, gapless from 0) for each row."""
     described = materialize(describe(docs, dimensions), "keys")
     rows = described.count()
+    columns = ["doc_id", "row_key", "size", "text_crc32", "shard", "slot"]
     if not rows:
-        return described.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return described.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).select(*columns)
     root = grow(described, shards)
     leaves = _leaves(root)
-    shard = F.element_at(F.array(*[F.lit(x.first) for x in leaves]), _node_of(leaves, root) + 1)
-    placed = described.select("doc_id", "size", "text_crc32", "tie", shard.cast("int").alias("shard"), F.lit(1).cast("long").alias("one"))
-    return running_total(placed, ["shard"], "tie", ["doc_id", "text_crc32"], "one", rows, "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    shard_of = F.element_at(F.array(*[F.lit(x.first) for x in leaves]), _node_of(leaves, root) + 1)
+    placed = described.withColumns({"shard": shard_of.cast("int"), "one": F.lit(1).cast("long")}).drop("keys")
+    return running_total(placed, ["shard"], "tie", ["doc_id", "row_key"], "one", rows, "slot").select(*columns)
+
+
+def shard(docs: DataFrame, shards: int, dimensions: list[Column] | None = None) -> DataFrame:
+    """docs with shard and slot added; all columns stay (a shard or slot of docs is replaced). Rows of one row_key fall
+    to one shard and share out its slots by number."""
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    placed = materialize(assign(docs, shards, dimensions).select(F.col("row_key").alias("_key"), "shard", "slot"), "placed")
+    numbered = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(by)))
+    own = numbered(docs.select(*kept, row_key(docs).alias("_key")), F.xxhash64(*kept))
+    return own.join(numbered(placed, "slot"), ["_key", "_n"]).select(*kept, "shard", "slot")
 
 
 def shards_for(docs: DataFrame, target_bytes: int) -> int:
     """The least number of leaves whose mean is at most target_bytes."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     return max(1, -(-size // target_bytes))
+
