@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, near_dedup, sharding
+from . import decontamination, language_id, line_crf, line_templates, mixing, near_dedup, ngram_quality, sharding, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence with its slot in a keyed permutation, in the order of the slots."""
+    ranks = training_order.read_vocabulary(spark, training_order.VOCABULARY)
+    return training_order.training_order(_table(spark, sf_dir, "documents"), ranks, key=20240229)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 100 * shared >= 80 * either on sets of four-word shingles."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document holds, as they are or with other numbers, names and units."""
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources weigh 1, 2, 3, repeating; the budget is all words, no source above 3 times its own."""
     plan = mixing.schedule(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_repeats=3, cut="word")
@@ -24,6 +35,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("n_draws"))
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of the line labels; fitted on labelled documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return line_crf.judge(docs, line_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the documents whose crc32(doc_id) mod 4 is not 2; the others are held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -32,11 +49,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts less the lines whose template recurs in three texts or more; the first line of each template stays."""
+    return line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, against its language's quantile."""
+    return ngram_quality.keep(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of near equal bytes."""
     placed = sharding.assign(_table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_source_mix, op7_language_id, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_minhash_near_dedup, op3_template_decontamination, op4_source_mix, op6_line_crf, op7_language_id, op8_line_templates, op9_kneser_ney_quality, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}
