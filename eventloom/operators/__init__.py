@@ -1 +1 @@
-"""eventloom.operators"""
+"""Operators over event tables: queries, groups, windows, lookups, statistics, state tables and result tables."""

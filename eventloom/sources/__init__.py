@@ -1 +1 @@
-"""eventloom.sources"""
+"""Reading event tables and texts, cleaning and splitting them, and writing results."""

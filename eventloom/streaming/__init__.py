@@ -1 +1 @@
-"""eventloom.streaming"""
+"""Detection rules on streams."""
