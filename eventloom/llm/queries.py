@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, line_crf, line_templates, mixing, near_dedup, ngram_quality, sharding, training_order
+from . import decontamination, language_id, line_crf, line_templates, mixing, near_dedup, ngram_quality, sharding, suffix_dedup, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("n_draws"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that a repeated string of 100 bytes covers go, the earliest one stays."""
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of the line labels; fitted on labelled documents."""
     docs = _table(spark, sf_dir, "documents")
@@ -65,5 +70,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_minhash_near_dedup, op3_template_decontamination, op4_source_mix, op6_line_crf, op7_language_id, op8_line_templates, op9_kneser_ney_quality, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_minhash_near_dedup, op3_template_decontamination, op4_source_mix, op5_suffix_dedup, op6_line_crf, op7_language_id, op8_line_templates, op9_kneser_ney_quality, op10_kd_shards)}
 ORACLE_SQL: dict[str, str] = {}

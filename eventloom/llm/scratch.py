@@ -22,6 +22,13 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size, so that a Python task holds at most so many texts at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
