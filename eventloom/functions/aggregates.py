@@ -106,27 +106,27 @@ def _in_order(x: Arg, order: Arg) -> Column:
 
 
 def nth(x: Arg, n: int, order: Arg) -> Column:
-    """The nth value, from 1. It gathers the group's values: for large groups use groups.edge_rows() first."""
+    """The nth value, from 1. It gathers the group's values: for large groups use groups.nth_value()."""
     return F.try_element_at(_in_order(x, order), F.lit(n))
 
 
 def top(x: Arg, delimiter: str, limit: int, order: Arg) -> Column:
-    """The first values in order, joined (gathers the group, as nth)."""
+    """The first values in order, joined (gathers the group; groups.top_values() doesn't)."""
     return F.array_join(F.slice(_in_order(text(x), order), 1, limit), delimiter)
 
 
 def bottom(x: Arg, delimiter: str, limit: int, order: Arg) -> Column:
-    """The last values, still in order, joined (gathers the group, as nth)."""
+    """The last values, still in order, joined (gathers the group; groups.top_values() doesn't)."""
     values = _in_order(text(x), order)
     return F.array_join(F.slice(values, F.greatest(F.lit(1), F.size(values) - limit + 1), limit), delimiter)
 
 
 def joining(x: Arg, delimiter: str = "", limit: int = 10, order: Arg | None = None) -> Column:
-    """The first `limit` values in order, joined (gathers the group, as nth)."""
+    """The first `limit` values in order, joined (gathers the group; groups.top_values() doesn't)."""
     return top(x, delimiter, limit, order if order is not None else x)
 
 
 def distinct(x: Arg, delimiter: str = "", limit: int = 10, order: Arg | None = None) -> Column:
-    """The first `limit` distinct values in order, sorted and joined (gathers the group, as nth)."""
+    """The first `limit` distinct values in order, sorted and joined (gathers the group; groups.distinct_values() doesn't)."""
     seen = F.slice(F.array_distinct(_in_order(text(x), order if order is not None else x)), 1, limit)
     return F.array_join(F.array_sort(seen), delimiter)

@@ -69,6 +69,31 @@ def edge_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return df.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def edge_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], limit: int, last: bool = False) -> DataFrame:
+    """(keys, values): the first (or last) values of each group in order, as an array of at most `limit`."""
+    picked = edge_rows(df, keys, order, limit, last)
+    held = F.array_sort(F.collect_list(F.struct((-F.col("rank") if last else F.col("rank")).alias("r"), F.col(value).alias("v"))))
+    return picked.groupBy(*keys).agg(F.transform(held, lambda x: x["v"]).alias("values"))
+
+
+def top_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], limit: int, delimiter: str, into: str, last: bool = False) -> DataFrame:
+    """top(), or bottom() with last: the first or last values of each group, joined in order."""
+    found = edge_values(df, keys, value, order, limit, last)
+    return found.select(*keys, F.array_join(F.transform("values", lambda v: v.cast("string")), delimiter).alias(into))
+
+
+def nth_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], n: int, into: str) -> DataFrame:
+    """nth(): the nth value of each group, from 1, or null."""
+    return edge_values(df, keys, value, order, n).select(*keys, F.try_element_at("values", F.lit(n)).alias(into))
+
+
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], limit: int, delimiter: str, into: str) -> DataFrame:
+    """distinct(): the first `limit` distinct values of each group in order, sorted and joined."""
+    once = df.groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_seen"))
+    found = edge_values(once, keys, value, ["_seen"], limit)
+    return found.select(*keys, F.array_join(F.array_sort(F.transform("values", lambda v: v.cast("string"))), delimiter).alias(into))
+
+
 def nest(df: DataFrame, keys: Sequence[str], values: Sequence[str], most: Sequence[int]) -> DataFrame:
     """Chart data: values as an array of structs under each key, at most most[depth] at each depth, innermost first."""
     rows = df

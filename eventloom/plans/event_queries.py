@@ -81,15 +81,13 @@ SELECT user_id, first(event_id ORDER BY ts, event_id) AS first_id, last(event_id
   array_to_string((list(event_type ORDER BY ts, event_id))[1:3], ',') AS top3, array_to_string((list(event_type ORDER BY ts, event_id))[-3:], ',') AS bottom3,
   last(value ORDER BY ts, event_id) AS any_value FROM events GROUP BY user_id""")
 def q_selection(t):
-    order = F.struct("ts", "event_id")
-    return t("events").groupBy("user_id").agg(
-        a.first("event_id", order).alias("first_id"),
-        a.last("event_id", order).alias("last_id"),
-        a.nth("event_id", 3, order).alias("third_id"),
-        a.top("event_type", ",", 3, order).alias("top3"),
-        a.bottom("event_type", ",", 3, order).alias("bottom3"),
-        a.any_value("value", order).alias("any_value"),
-    )
+    e, key, by = t("events"), ["user_id"], ["ts", "event_id"]
+    order = F.struct(*by)
+    ends = e.groupBy(*key).agg(a.first("event_id", order).alias("first_id"), a.last("event_id", order).alias("last_id"), a.any_value("value", order).alias("any_value"))
+    third = groups.nth_value(e, key, "event_id", by, 3, "third_id")
+    top = groups.top_values(e, key, "event_type", by, 3, ",", "top3")
+    bottom = groups.top_values(e, key, "event_type", by, 3, ",", "bottom3", last=True)
+    return ends.join(third, key).join(top, key).join(bottom, key)
 
 
 @query("""
@@ -97,8 +95,8 @@ SELECT user_id, array_to_string((list(event_type ORDER BY ts, event_id))[1:4], '
 FROM (SELECT e.*, f.first_seen FROM events e JOIN (SELECT user_id, list(event_type ORDER BY ts0, id0) AS first_seen FROM (SELECT user_id, event_type, min(ts) AS ts0, arg_min(event_id, (ts, event_id)) AS id0 FROM events GROUP BY ALL) GROUP BY user_id) f USING (user_id))
 GROUP BY user_id, first_seen""")
 def q_joining_distinct(t):
-    order = F.struct("ts", "event_id")
-    return t("events").groupBy("user_id").agg(a.joining("event_type", "|", 4, order).alias("joined"), a.distinct("event_type", "|", 3, order).alias("kinds"))
+    e, key, by = t("events"), ["user_id"], ["ts", "event_id"]
+    return groups.top_values(e, key, "event_type", by, 4, "|", "joined").join(groups.distinct_values(e, key, "event_type", by, 3, "|", "kinds"), key)
 
 
 @query("""
