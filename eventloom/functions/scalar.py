@@ -120,11 +120,11 @@ def not_equals(a: Arg, b: Arg) -> Column:
 
 
 def greater_than(a: Arg, b: Arg) -> Column:
-    return F.coalesce(col(a) > col(b), F.lit(False))
+    return col(a).isNotNull() & col(b).isNotNull() & (col(a) > col(b))
 
 
 def less_than(a: Arg, b: Arg) -> Column:
-    return F.coalesce(col(a) < col(b), F.lit(False))
+    return col(a).isNotNull() & col(b).isNotNull() & (col(a) < col(b))
 
 
 def greater_than_or_equal_to(a: Arg, b: Arg) -> Column:

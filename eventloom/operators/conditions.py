@@ -1,5 +1,7 @@
 """Predicates on Columns, with the matching rules of indexed fields.
 
+All are true or false, never null, and comparisons keep a form that Spark pushes into the scan.
+
 all_of / any_of / none_of leave out terms that are None (disabled); without a term left they hold for every row.
 """
 
@@ -37,11 +39,10 @@ def wildcard_pattern(value: str) -> str:
 def equals(x: Arg, value: object, case_sensitive: bool = False) -> Column:
     """Texts ignore case unless told otherwise and may hold `*` and `?`; other values are compared as they are."""
     if not isinstance(value, str):
-        return F.coalesce(col(x) == value, F.lit(False))
+        return col(x).eqNullSafe(F.lit(value))
     if "*" in value or "?" in value:
         return F.coalesce(text(x).rlike(("" if case_sensitive else "(?i)") + wildcard_pattern(value)), F.lit(False))
-    hit = text(x) == value if case_sensitive else F.lower(text(x)) == value.lower()
-    return F.coalesce(hit, F.lit(False))
+    return text(x).eqNullSafe(F.lit(value)) if case_sensitive else F.lower(text(x)).eqNullSafe(F.lit(value.lower()))
 
 
 def not_equals(x: Arg, value: object) -> Column:
@@ -53,11 +54,11 @@ def contains(x: Arg, value: str) -> Column:
 
 
 def starts_with(x: Arg, value: str) -> Column:
-    return F.coalesce(F.startswith(text(x), F.lit(value)), F.lit(False))
+    return text(x).isNotNull() & F.startswith(text(x), F.lit(value))
 
 
 def ends_with(x: Arg, value: str) -> Column:
-    return F.coalesce(F.endswith(text(x), F.lit(value)), F.lit(False))
+    return text(x).isNotNull() & F.endswith(text(x), F.lit(value))
 
 
 def matches(x: Arg, pattern: str) -> Column:
@@ -65,13 +66,13 @@ def matches(x: Arg, pattern: str) -> Column:
 
 
 def between(x: Arg, low: object, high: object) -> Column:
-    return F.coalesce(col(x).between(low, high), F.lit(False))
+    return col(x).isNotNull() & col(x).between(low, high)
 
 
 def is_in(x: Arg, values: str | Sequence) -> Column:
     """values: a list, or a text of values parted by commas or blanks."""
     listed = [v for v in re.split(r"[,\s]+", values) if v] if isinstance(values, str) else list(values)
-    return F.coalesce(col(x).isin(listed), F.lit(False))
+    return col(x).isNotNull() & col(x).isin(listed)
 
 
 def in_cidr(x: Arg, block: str) -> Column:
