@@ -6,9 +6,10 @@ theirs is exact). With retained values in one global order, rarest first, such a
 one of each document's first k - LEAST_SHARED + 1 values; passages that many documents share come last in that order
 and are seldom reached. Equal sets are one class before lists are made, so that copies cost nothing.
 
-Within a list all members are compared with the smallest one only. Where that leaves a list in one component, it is
-done; otherwise members of different components are compared, unless the distances to the list's smallest member
-rule a link out (Jaccard distance is a metric). So groups of near copies never make all their pairs.
+Within a list all members are compared with the smallest one only, then with the most central one. Where that leaves
+a list in one component, it is done. Members of different components are compared if a link is still possible: the
+shingles that each has alone among all documents of such lists can't be shared, and both must differ from the shingles
+common to their cluster in the same places. So groups of near copies don't make all their pairs.
 
 Rows with a null doc_id are returned with a null component and kept. Null and blank texts have an empty set and link
 to nothing. Repeated rows and rows that share a doc_id are one document: each row is returned. Other columns of the
@@ -22,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sieve
 from .components import connected_components
-from .scratch import materialize
+from .scratch import bounded_batches, materialize
 from .textblocks import blocks, mix64, shingle_set, word_hashes, words
 
 SKETCH_SIZE = 48
@@ -128,6 +129,66 @@ def _counted(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return found.groupBy("a", "b").agg(nearest).select("a", "b", "x.shared", "x.either")
 
 
+def _full_sets(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, value): the whole shingle sets of these documents."""
+    texts = sieve.keep_possible(docs.select(F.col("doc_id").cast("long").alias("node"), "text"), "node", sieve.build(nodes, ["node"]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("node").to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column("text")):
+                w = words(block)
+                hashes = word_hashes(block, w, lower=True)
+                for at, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:], strict=True), block.first):
+                    s = shingle_set(hashes[lo:hi], shingle)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[at])), pa.array(s.view(np.int64))], names=["node", "value"])
+
+    return texts.join(nodes, "node", "left_semi").mapInArrow(spread, "node long, value long")
+
+
+def _lonely_shingles(nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, lonely): how many shingles of each of these documents none of the others has."""
+    alone = _full_sets(nodes, docs, shingle).groupBy("value").agg(F.count("*").alias("df"), F.min("node").alias("node")).where("df = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("lonely"))
+
+
+def _apart_from_common(members: DataFrame, docs: DataFrame, shingle: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """Candidates among the members (node, n, part) of each cluster by what sets them apart from the cluster.
+
+    D(x) is the symmetric difference of x's set and the shingles that half of the cluster or more have. For a link,
+    |D(x) ^ D(y)| = |x ^ y| is at most slack * min(n), so D(x) and D(y) share at least half of
+    |D(x)| + |D(y)| - slack * min(n). With the elements of D in one order, rarest first, both have a shared one before
+    that many from their ends. Returns the pairs (a, b) found so, and (cluster, node, size) with the sizes of D; pairs
+    whose bound is below 1 may share nothing and are not found here.
+    """
+    nodes = materialize(members.select("cluster", "node", "n", "part").distinct(), "nodes")
+    sets = _full_sets(nodes.select("node").distinct(), docs, shingle).distinct()
+    held = materialize(nodes.select("cluster", "node").join(sets, "node"), "held")
+    total = nodes.groupBy("cluster").agg(F.count("*").alias("all"))
+    counted = materialize(held.groupBy("cluster", "value").agg(F.count("*").alias("df")).join(total, "cluster"), "df")
+    common = counted.where(F.col("df") * 2 >= F.col("all"))
+    gained = held.join(counted.where((F.col("df") * 2 < F.col("all"))), ["cluster", "value"]).select("cluster", "node", "value", "df")
+    due = nodes.select("cluster", "node").join(common.select("cluster", "value", (F.col("all") - F.col("df")).alias("df")).where("df > 0"), "cluster")
+    lost = due.join(held, ["cluster", "node", "value"], "left_anti").select("cluster", "node", "value", "df")
+    rare_first = Window.partitionBy("cluster", "node").orderBy("df", "value")
+    apart = gained.unionByName(lost).withColumn("at", F.row_number().over(rare_first))
+    sizes = apart.groupBy("cluster", "node").agg(F.count("*").alias("size"))
+    sizes = materialize(nodes.join(sizes, ["cluster", "node"], "left").withColumn("size", F.coalesce("size", F.lit(0))), "apart")
+    reach = F.greatest(F.lit(1), F.ceil((F.col("size") + F.greatest(F.lit(1), F.col("size") - slack * F.col("n")) - slack * F.col("n")) / 2 - 1e-9))
+    entries = apart.where("df > 1").join(sizes, ["cluster", "node"]).where(F.col("at") <= F.col("size") - reach + 1)
+    entries = materialize(entries.select("cluster", "value", "node", "at", "n", "part", "size"), "entries")
+    least = F.ceil((F.col("x.size") + F.col("y.size") - slack * F.least("x.n", "y.n")) / 2 - 1e-9)
+    both = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
+    early = (least >= 1) & (F.col("x.at") <= F.col("x.size") - least + 1) & (F.col("y.at") <= F.col("y.size") - least + 1)
+    pairs = entries.alias("x").join(entries.alias("y"), both & early)
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sizes.select("cluster", "node", "size")
+
+
+def _split_lists(members: DataFrame) -> DataFrame:
+    """The values of the lists with members in several components."""
+    return members.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("value")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH_SIZE, least: int = LEAST_SHARED
 ) -> DataFrame:
@@ -137,6 +198,7 @@ def near_duplicates(
     """
     if percent < 80:
         raise ValueError("the sketch is sized for a similarity of 0.8 or more")
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = materialize(sketches(docs, shingle, k), "sketches")
     classes = (
@@ -154,29 +216,43 @@ def near_duplicates(
     linked = lambda counted: counted.where(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
     parts = materialize(connected_components(linked(first)), "parts")
 
-    distance = 1 - F.col("shared") / F.col("either")
     placed = (
-        entries.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), distance.alias("d")), ["pivot", "node"], "left")
-        .join(parts, "node", "left")
-        .select("value", "node", "n", "pivot", F.coalesce("component", "node").alias("part"), F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
+        entries.join(parts, "node", "left")
+        .select("value", "node", "n", "pivot", F.coalesce("component", "node").alias("part"))
     )
     placed = materialize(placed, "placed")
-    split = placed.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("value")
-    open_lists = placed.join(split, "value").where("node <> pivot")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    within = 1 - percent / 100 + 1e-9
-    apart = F.abs(F.col("x.d") - F.col("y.d")) > within
-    # an estimate far below 0.8 leaves no exact distance: the triangle rule then has nothing to rule out
-    other = (
-        x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.node") < F.col("y.node")))
-        .where(F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        .where(~F.coalesce(apart, F.lit(False)))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    second = materialize(_counted(_estimated(other, reps, k, least), docs, shingle), "counted")
-    joined = linked(first).unionByName(linked(second))
-    components = connected_components(joined) if linked(second).limit(1).count() else parts
+    members = materialize(placed.join(_split_lists(placed), "value").where("node <> pivot").drop("pivot"), "open")
+    lonely = _lonely_shingles(members.select("node").distinct(), docs, shingle)
+    # a lonely shingle is in no intersection: what is left bounds the similarity to any other member
+    members = members.join(lonely, "node", "left").withColumn("rest", F.col("n") - F.coalesce("lonely", F.lit(0))).drop("lonely")
+    members = materialize(members.where(F.col("rest") * 100 >= F.col("n") * percent), "open")
+    most = F.least("x.rest", "y.rest")
+    possible = (F.col("x.part") != F.col("y.part")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
+
+    # a second star around the member with the fewest lonely shingles, the most central one of a group
+    centre = members.groupBy("value").agg(F.min(F.struct(1 - F.col("rest") / F.col("n"), "node", "part", "n", "rest")).alias("c")).select("value", "c.*")
+    star = members.alias("x").join(centre.alias("y"), "value").where(possible).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    second = materialize(_counted(_estimated(star, reps, k, least), docs, shingle), "counted")
+    edges = linked(first).unionByName(linked(second))
+    if linked(second).limit(1).count():
+        parts = materialize(connected_components(edges), "parts")
+        members = members.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        members = materialize(members.join(_split_lists(members), "value"), "open")
+
+    # what is still apart is compared if it differs from its cluster in the same places, or hardly at all
+    slack = (100 - percent) / percent
+    members = members.join(centre.select("value", F.col("node").alias("cluster")), "value")
+    members = materialize(members, "open")
+    other, sizes = _apart_from_common(members, docs, shingle, slack)
+    lists_of = members.groupBy("node").agg(F.collect_set("value").alias("in_lists"))  # at most k values
+    members = materialize(members.join(lists_of, "node").join(sizes, ["cluster", "node"]).where(F.col("size") <= slack * F.col("n")), "open")
+    meets = F.array_min(F.array_intersect("x.in_lists", "y.in_lists")) == F.col("x.value")
+    same_list = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node"))
+    hardly = F.col("x.size") + F.col("y.size") <= slack * F.least("x.n", "y.n") + 1e-9
+    close = members.alias("x").join(members.alias("y"), same_list & possible & hardly & meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    other = other.unionByName(close).distinct()
+    third = materialize(_counted(_estimated(other, reps, k, least), docs, shingle), "counted")
+    components = connected_components(edges.unionByName(linked(third))) if linked(third).limit(1).count() else parts
 
     named = reps.join(components, "node", "left").select(
         "fp1", "fp2", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"), "n_class"
