@@ -158,3 +158,60 @@ def e_event_ids(t):
 @query("SELECT doc_id, replace(text, 'the', 'THE') AS text FROM documents")
 def e_find_replace(t):
     return t("documents").select("doc_id", cleaning.find_replace("text", "the", "THE").alias("text"))
+
+
+@query("SELECT event_id, event_type AS kind, user_id::VARCHAR AS usr, NULL::VARCHAR AS missing FROM events")
+def e_key_values(t):
+    line = F.concat(F.lit("kind="), "event_type", F.lit(" usr="), F.col("user_id").cast("string"))
+    pairs = cleaning.key_values(line)
+    return t("events").select("event_id", pairs["kind"].alias("kind"), pairs["usr"].alias("usr"), F.try_element_at(pairs, F.lit("none")).alias("missing"))
+
+
+@query("""
+SELECT doc_id, md5(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) AS cleaned, md5(replace(replace(text, '&', '&amp;'), '&amp;amp;', '&amp;')) AS escaped
+FROM documents WHERE NOT contains(text, '<')""")
+def e_cleaning(t):
+    plain = t("documents").where(~F.contains("text", F.lit("<")))
+    return plain.select("doc_id", F.md5(cleaning.drop_invalid_characters("text")).alias("cleaned"), F.md5(cleaning.escape_bad_xml_text("text")).alias("escaped"))
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS merged FROM conversations GROUP BY conv_id")
+def e_merge_records(t):
+    from eventloom.sources.writers import merge_records
+
+    return merge_records(t("conversations"), ["conv_id"], "turn", "text").select("conv_id", F.md5("merged").alias("merged"))
+
+
+@query("SELECT event_id, '<record><event_type>' || event_type || '</event_type></record>' AS xml, '{\"event_type\":\"' || event_type || '\"}' AS json FROM events")
+def e_written_records(t):
+    record = F.struct("event_type")
+    return t("events").select("event_id", F.regexp_replace(F.to_xml(record, {"rowTag": "record"}), r"\s*\n\s*", "").alias("xml"), F.to_json(record).alias("json"))
+
+
+@query("SELECT event_id, user_id, 'HIGH' AS band FROM events WHERE event_type = 'error' AND value > 75")
+def q_view(t):
+    """A view: a table, a filter and an extracted field."""
+    from eventloom.sources.readers import view
+
+    seen = view(t("events"), "high_errors", (F.col("event_type") == "error") & (F.col("value") > 75), {"band": F.lit("HIGH")})
+    return seen.select("event_id", "user_id", "band")
+
+
+@query("""
+SELECT epoch_ms(date_trunc('hour', ts)) AS hour_ms, event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'click') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06' GROUP BY ALL""")
+def q_statistics_search(t):
+    """Stored hourly statistics, by tag values and time."""
+    from eventloom.operators import conditions as c
+    from eventloom.operators import statistics
+
+    stored = statistics.rollup(t("events"), "ts", ["event_type"], "hour", kind="all")
+    start, end = (F.lit(x).cast("timestamp_ntz") for x in ("2024-01-05", "2024-01-06"))
+    found = stored.where(c.is_in("event_type", ["error", "click"]) & c.time_range("time_bucket", start, end))
+    return found.select(d.millis("time_bucket").alias("hour_ms"), "event_type", "n")
+
+
+@query("SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15') EXCEPT SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15'")
+def r_duplicates_seen_before(t):
+    e, split = t("events").select("user_id", "event_type", "ts"), F.lit("2024-01-15").cast("timestamp_ntz")
+    fresh = e.where(F.col("ts") >= split).drop("ts")
+    return state_tables.suppress_duplicates(fresh, ["user_id", "event_type"], e.where(F.col("ts") < split))
