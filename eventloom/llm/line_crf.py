@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     counts = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     share = F.when(F.col("quality") == 1, min(1.0, sample_docs / max(1, counts.get(1, 1)))).otherwise(min(1.0, sample_docs / max(1, counts.get(0, 1))))
     picked = marked.where(shuffled("doc_id", seed=5) < share * float(2**63))
-    rows = docs.select("doc_id", F.col("text").cast("string")).where("text is not null").join(picked, "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string")).where("text is not null").join(F.broadcast(picked), "doc_id")  # about 2 * sample_docs ids
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
