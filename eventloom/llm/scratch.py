@@ -33,5 +33,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
