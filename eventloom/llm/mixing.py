@@ -8,8 +8,8 @@ came before (cut="document").
 
 Null and blank texts have size 0 and are drawn 0 times; an empty table gives an empty result. A null source is a
 source of its own, last in order. Rows that share a doc_id are separate; rows equal in source, doc_id and text are
-interchangeable. Null doc_ids come first among equals. Columns of the input with other names pass through mix(), and
-names that it uses itself are reserved: draw, virtual_finish, taken_words.
+interchangeable. Null doc_ids come first among equals. Other columns of the input pass through mix(); draw,
+virtual_finish and taken_words are replaced, and names that start with `_` are reserved.
 """
 
 from __future__ import annotations
@@ -88,6 +88,7 @@ def schedule(
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: int = MOST_REPEATS, cut: str = "document", seed: int = 0) -> DataFrame:
     """The mixed documents in the order of their virtual finish times, repeats as further rows, with all columns of
     docs and draw, virtual_finish and taken_words. The rows are range-partitioned and sorted by finish time."""
+    docs = docs.drop("draw", "virtual_finish", "taken_words")
     plan = schedule(docs, weights, most_repeats, cut, seed)
     # rows equal in id, source and text are told apart by a number, so that each gets its own draws
     numbered = lambda df, key, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(by)))

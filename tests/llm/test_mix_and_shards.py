@@ -63,7 +63,7 @@ def test_mix_with_caps_nulls_and_empty_sources(table):
 
 def test_mix_is_ordered_and_whole(table):
     rows = [(i, "w " * (1 + i % 5), None, "ab"[i % 2]) for i in range(60)] + [(0, "w ", None, "a")]
-    out = mixing.mix(table(rows)).collect()
+    out = mixing.mix(table(rows).withColumnRenamed("n_chars", "draw")).collect()
     finish = [r["virtual_finish"] for r in out]
     assert finish == sorted(finish)
     drawn = [(r["doc_id"], r["draw"]) for r in out]
