@@ -30,6 +30,7 @@ from .textblocks import mix64
 LENGTH = 512
 ROUNDS = 6
 RECORDS_PER_SHARD = 65_536
+MOST_BROADCAST = 1_000_000  # rows of two numbers
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,8 +123,9 @@ def training_order(
     table = materialize(sequences(docs, ranks, length), "sequences")
     by_part = table.groupBy("part").agg(F.count("*").alias("n"))  # a row for each input partition
     starts = by_part.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "start")
-    n = table.count()
-    numbered = table.join(starts, "part").withColumn("slot", F.col("start") + F.col("place")).drop("part", "place", "start")
+    starts = materialize(starts, "starts")
+    n, parts = table.count(), starts.count()
+    numbered = table.join(F.broadcast(starts) if parts <= MOST_BROADCAST else starts, "part").withColumn("slot", F.col("start") + F.col("place")).drop("part", "place", "start")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
