@@ -40,13 +40,14 @@ class Node:
 
 
 def default_dimensions() -> list[Column]:
-    """Size by magnitude, language and source by hash, and the place of the doc_id: all as doubles."""
+    """Size by magnitude, language and source by hash, and the text's CRC-32 (which keeps copies of a text together): all
+    as doubles."""
     place = lambda c: F.when(c.isNull(), -1.0).otherwise(F.xxhash64(c).bitwiseAND(0xFFFFF).cast("double"))
     return [
         F.log2(F.col("size").cast("double")),
         place(F.col("lang")),
         place(F.col("source")),
-        F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
+        F.col("text_crc32").cast("double"),
     ]
 
 
