@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .scratch import bounded_batches, materialize
-from .textblocks import Block, blocks, mix64
+from .textblocks import BLOCK_BYTES, Block, blocks, mix64
 
 LENGTH = 100
 GRAM = 64
@@ -83,18 +83,29 @@ def _runs(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return hashes[own[begins]], text[begins], at[begins], at[ends]
 
 
-def _prefix(data: np.ndarray, letters: np.ndarray, power: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters[data] * power[: len(data)], dtype=np.uint64)])
+_BASES = ((_FACTOR[20], _LETTER), (_FACTOR[21], mix64(_LETTER)))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers_of(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base and of its inverse, kept by the process."""
+    known = _powers.get(which)
+    if known is None or len(known[0]) <= size:
+        base = _BASES[which][0]
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        n = max(size, BLOCK_BYTES) + 1
+        known = _powers[which] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (base, inverse))
+    return known
 
 
 def _range_fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each byte range, by prefix sums of two polynomials."""
     out = []
-    for base, letters in ((_FACTOR[20], _LETTER), (_FACTOR[21], mix64(_LETTER))):
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        power = np.cumprod(np.full(len(data) + 1, base, np.uint64)) * inverse
-        back = np.cumprod(np.full(len(data) + 1, inverse, np.uint64)) * base
-        total = _prefix(data, letters, power)
+    for which, (_, letters) in enumerate(_BASES):
+        power, back = _powers_of(which, len(data))
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(letters[data] * power[: len(data)], out=total[1:])
         out.append(mix64((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _FACTOR[22]))
     return out[0], out[1]
 
@@ -157,44 +168,41 @@ def _words_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _names(*keys: np.ndarray) -> np.ndarray:
-    """Equal tuples get equal names, in sorted order."""
-    names = np.zeros(len(keys[0]), np.int64)
-    for key in keys:
-        _, rank = np.unique(key, return_inverse=True)
-        _, names = np.unique(names * (len(key) + 1) + rank, return_inverse=True)
-    return names
+def _names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal pairs of names get equal names, in sorted order."""
+    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
 
 
 def repeated_windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Which windows repeat one of lower order, by a difference cover. data: the bytes of all runs, one after another;
     windows start at first[r] to last[r] of run r; order: a number for each window, in the sequence of the runs."""
-    windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, np.int64)
+    counts = last - first + 1
+    windows = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+    again = np.zeros(len(windows), bool)
+    if not len(windows):
+        return again
     padded = np.concatenate([data, np.zeros(2 * LENGTH, np.uint8)])
     sampled = np.flatnonzero(np.isin(np.arange(len(data) + LENGTH) % _PERIOD, _COVER))
-    place = np.full(len(padded) + LENGTH, -1, np.int64)
+    place = np.full(len(padded) + LENGTH, len(sampled) - 1, np.int64)  # past the end: the last one
     place[sampled] = np.arange(len(sampled))
-    names = {7: _names(_words_at(padded, sampled, 7))}
-    for size in (7, 14, 28):  # recursing on pairs of names; places past the end have the name of the last
-        after = np.minimum(place[np.minimum(sampled + size, sampled[-1] if len(sampled) else 0)], len(sampled) - 1)
-        after = np.where(after < 0, len(sampled) - 1, after)
-        names[size * 2] = _names(names[size] * (len(sampled) + 1) + names[size][after])
-    earliest = np.full(len(windows), True)
+    named = {7: np.unique(_words_at(padded, sampled, 7), return_inverse=True)[1]}
+    for size in (7, 14, 28):  # recursing on pairs of names
+        named[size * 2] = _names(named[size], named[size][place[sampled + size]])
+    named = _names(named[56], named[28][place[sampled + 56]])  # of 84 bytes
+    residue = windows % _PERIOD
     for shift in range(_PERIOD):
-        mine = np.flatnonzero(np.isin((windows + shift) % _PERIOD, _COVER))
-        if not len(mine):
-            continue
-        at = windows[mine] + shift
-        rest = LENGTH - shift - 84
-        keys = [names[56][place[at]], names[28][place[at + 56]], _words_at(padded, at + 84, min(8, rest)), _words_at(padded, at + 92, rest - 8)]
-        if shift:
-            keys.append(_words_at(padded, windows[mine], shift))
-        name = _names(*keys)
-        sort = np.lexsort((order[mine], name))
-        again = np.zeros(len(mine), bool)
-        again[1:] = name[sort][1:] == name[sort][:-1]
-        earliest[mine[sort[again]]] = False
-    return ~earliest
+        mine = np.flatnonzero(np.isin((residue + shift) % _PERIOD, _COVER))
+        name = named[place[windows[mine] + shift]]
+        several = np.bincount(name)[name] > 1
+        mine, name = mine[several], name[several]
+        at = windows[mine]
+        # with the 84 bytes, the 16 that remain: `shift` before them and 16 - shift behind
+        middle = _words_at(padded, at + shift + 84, 8)
+        rest = (_words_at(padded, at, shift) << np.uint64(8 * (8 - shift)) if shift else np.uint64(0)) | _words_at(padded, at + shift + 92, 8 - shift)
+        rank = np.lexsort((order[mine], rest, middle, name))
+        same = (name[rank][1:] == name[rank][:-1]) & (middle[rank][1:] == middle[rank][:-1]) & (rest[rank][1:] == rest[rank][:-1])
+        again[mine[rank[1:][same]]] = True
+    return again
 
 
 def _sorted_ranges(segments: DataFrame) -> DataFrame:
@@ -208,7 +216,7 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
         data = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
         n = e - s + 1
         run = np.repeat(np.arange(len(s)), n)
-        start = np.concatenate([np.arange(a, b + 1) for a, b in zip(s, e, strict=True)])
+        start = np.repeat(s - np.cumsum(n) + n, n) + np.arange(len(run))
         order = np.empty(len(run), np.int64)
         order[np.lexsort((start, row[run], doc[run]))] = np.arange(len(run))
         hit = repeated_windows(data, ends - lengths, ends - LENGTH, order)
