@@ -90,14 +90,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_repeats: i
     docs and draw, virtual_finish and taken_words. The rows are range-partitioned and sorted by finish time."""
     docs = docs.drop("draw", "virtual_finish", "taken_words")
     plan = schedule(docs, weights, most_repeats, cut, seed)
-    # rows equal in id, source and text are told apart by a number, so that each gets its own draws
-    numbered = lambda df, key, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(by)))
     key = ["_id", "_source", "_hash"]
     own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_source": _source_key(F.col("source")), "_hash": F.coalesce(F.xxhash64("text"), F.lit(0))})
     plan = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("source_key").alias("_source"), F.coalesce("text_hash", F.lit(0)).alias("_hash"), "draws", "before")
+    plan = materialize(plan, "plan")
+    if plan.groupBy(*key).count().where("count > 1").limit(1).count():
+        # rows equal in id, source and text are told apart by a number, so that each gets its own draws
+        numbered = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(by)))
+        own, plan, key = numbered(own, F.xxhash64(*docs.columns)), numbered(plan, "before"), [*key, "_n"]
     drawn = (
-        numbered(own, key, F.xxhash64(*docs.columns))
-        .join(numbered(plan, key, "before").where(F.size("draws") > 0), [*key, "_n"])
+        own.join(plan.where(F.size("draws") > 0), key)
         .select(*docs.columns, F.explode("draws").alias("_x"))
     )
     return drawn.select(*docs.columns, "_x.*").repartitionByRange("virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
