@@ -1,15 +1,15 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-fit() counts the word trigrams of a bounded sample of trusted documents in Spark, sharded by the hash of the n-gram,
-derives continuation counts and the three discounts of each order, and joins counts to their contexts. The model's
-size is bounded by TRUSTED_DOCS documents of at most TRUSTED_WORDS words, so it is packed into sorted arrays and
-broadcast; perplexity() looks the n-grams of every document up in the tasks. (A join of all n-grams of all documents
-with the counts would shuffle over 16 bytes for each word and order.)
+fit() counts the word trigrams of all trusted documents but the held-out ones in Spark, sharded by the n-gram, derives
+continuation counts and the three discounts of each order, and joins counts to their contexts. The model stays a table
+under the shared folder, with the logarithms of its probabilities taken apart: a text's log probability is the sum of
+one weight for each of its words, pairs and triples that the model has (as an n-gram, as a context), so scored() joins
+only the distinct n-grams of each partition that pass a filter of fixed size, and each task reads the hits of its
+own partition back.
 
 A document's log probability is averaged with PSEUDO_WORDS words of its language's trusted mean, so short texts are
-not judged by a few words. keep() retains documents up to `margin` times the `quantile` of the perplexity of the trusted documents in their
-language, over all that the model did not learn from (half or more of them); languages without one use the quantile
-over all languages.
+not judged by a few words. keep() retains documents up to `margin` times the `quantile` of the perplexity of the held-out trusted
+documents (HELD_OUT of them) in their language; languages without one use the quantile over all languages.
 
 Null, empty and blank texts have no words, a null perplexity and are not kept. A null lang is a language of its own.
 Null labels are not trusted. Without any trusted row perplexities are null and texts with words are kept. Repeated
@@ -20,50 +20,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sieve
 from .ordering import shuffled
-from .scratch import materialize
+from .scratch import materialize, scratch_root
 from .textblocks import blocks, mix64, word_hashes, words
 
-TRUSTED_DOCS = 1500
-TRUSTED_WORDS = 20_000
+HELD_OUT = 0.25
 PSEUDO_WORDS = 30
 QUANTILE = 0.995
 MARGIN = 1.25
+LOG_FILTER_BITS = 28
+MOST_PENDING = 1 << 22  # n-grams of a partition that wait to be made distinct
 _BEGIN = np.uint64(0xB5297A4D3F84D5B5)
 
 
 @dataclass
-class PackedMap:
-    """64-bit keys to floats: sorted keys, with the first place of each leading-bits bucket."""
+class PackedKeys:
+    """Sorted 64-bit keys, with the first place of each leading-bits bucket."""
 
     keys: np.ndarray
-    values: np.ndarray
     starts: np.ndarray
     shift: int
 
     @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray) -> PackedMap:
-        keys = keys.view(np.uint64)
-        order = np.argsort(keys)
+    def of(keys: np.ndarray) -> PackedKeys:
         bits = max(1, int(len(keys)).bit_length())
-        starts = np.searchsorted(keys[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        return PackedMap(keys[order], values[order].astype(np.float32), np.append(starts, len(keys)), 64 - bits)
+        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return PackedKeys(keys, np.append(starts, len(keys)), 64 - bits)
 
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        found = np.full(len(keys), default, np.float32)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or len(self.keys)."""
+        found = np.full(len(keys), len(self.keys))
         bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
         at, end = self.starts[bucket], self.starts[bucket + 1]
         live = np.flatnonzero(at < end)
         while len(live):
             here = self.keys[at[live]]
             hit = here == keys[live]
-            found[live[hit]] = self.values[at[live[hit]]]
+            found[live[hit]] = at[live[hit]]
             at[live] += 1
             live = live[(here < keys[live]) & (at[live] < end[live])]
         return found
@@ -71,25 +73,13 @@ class PackedMap:
 
 @dataclass
 class TrigramModel:
-    """own*: discounted share of an n-gram in its context; rest*: what the context leaves to the lower order."""
+    """weights: (key, own, rest) of each word, pair and triple. own is the logarithm of what the n-gram has over the
+    lower order's share, rest that of what it leaves to the lower order as a context; floor is that of an unseen word."""
 
-    own3: PackedMap
-    rest3: PackedMap
-    own2: PackedMap
-    rest2: PackedMap
-    own1: PackedMap
+    weights: DataFrame
+    filter: np.ndarray
     floor: float
 
-    def log_probability(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Summed log probability of each text's words."""
-        w3 = hashes
-        w2, w1 = _shifted(hashes, first, 1), _shifted(hashes, first, 2)
-        one = self.own1.get(w3, 0.0) + self.floor
-        two = self.own2.get(_pair(w2, w3), 0.0) + self.rest2.get(w2, 1.0) * one
-        three = self.own3.get(_triple(w1, w2, w3), 0.0) + self.rest3.get(_pair(w1, w2), 1.0) * two
-        total = np.concatenate([[0.0], np.cumsum(np.log(three.astype(np.float64)))])
-        return total[first[1:]] - total[first[:-1]]
-
 
 def _shifted(hashes: np.ndarray, first: np.ndarray, by: int) -> np.ndarray:
     """The word `by` places before each, within its text; a mark where there is none."""
@@ -108,17 +98,27 @@ def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return mix64(_pair(a, b) * np.uint64(5) + c)
 
 
-def _discounted(grams: DataFrame, context: str, count: str) -> tuple[DataFrame, DataFrame]:
-    """(key, own) of each n-gram and (key, rest) of each context, by modified Kneser-Ney."""
-    n = {r["c"]: r["n"] for r in grams.where(F.col(count) <= 4).groupBy(F.col(count).alias("c")).agg(F.count("*").alias("n")).collect()}
+def _contexts(grams: DataFrame, *context: str) -> tuple[DataFrame, DataFrame]:
+    """grams with `kept`, the count less its discount by modified Kneser-Ney, and (context, total, held) rows."""
+    n = {r["n"]: r["of"] for r in grams.where("n <= 4").groupBy("n").agg(F.count("*").alias("of")).collect()}
     n1, n2, n3, n4 = (float(n.get(k, 0)) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     d1, d2, d3 = (max(0.05, min(k - 0.05, x)) for k, x in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5)))
-    c = F.col(count)
-    discount = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-    contexts = grams.groupBy(context).agg(F.sum(c).alias("total"), F.sum(discount).alias("held"))
-    own = grams.join(contexts, context).select("key", ((c - discount) / F.col("total")).alias("own"))
-    return own, contexts.select(F.col(context).alias("key"), (F.col("held") / F.col("total")).alias("rest"))
+    discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+    return grams.withColumn("kept", F.col("n") - discount), grams.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
+
+
+def _keyed(grams: DataFrame) -> DataFrame:
+    """(key, own, rest) of rows with one, two or three leading columns of word hashes."""
+    size = len(grams.columns) - 2
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [x.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.columns[:size]]
+            keys = w[0] if size == 1 else _pair(*w) if size == 2 else _triple(*w)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[size:]], names=["key", "own", "rest"])
+
+    return grams.select(*grams.columns[:size], F.col("own").cast("double"), F.col("rest").cast("double")).mapInArrow(key, "key long, own double, rest double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -126,66 +126,137 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def training_ids(labels: DataFrame, sample: int = TRUSTED_DOCS) -> DataFrame:
-    """The trusted doc_ids that the model learns from: about `sample`, never more than half of them."""
-    good = trusted_ids(labels)
-    share = min(0.5, sample / max(1, good.count()))
-    return good.where(shuffled("doc_id", seed=11) < share * float(2**63))
+def training_ids(labels: DataFrame, held_out: float = HELD_OUT) -> DataFrame:
+    """The trusted doc_ids that the model learns from: all but about held_out of them."""
+    return trusted_ids(labels).where(shuffled("doc_id", seed=11) >= held_out * float(2**63))
 
 
-def fit(docs: DataFrame, training: DataFrame, most_words: int = TRUSTED_WORDS) -> TrigramModel | None:
-    """The model of the documents with the given ids (a bounded table) and at most most_words words."""
-    picked = docs.where("text is not null").join(F.broadcast(training), "doc_id").select(F.col("text").cast("string"))
+def fit(docs: DataFrame, training: DataFrame) -> TrigramModel | None:
+    """The model of all documents with the given ids (distinct)."""
+    ids = sieve.build(training, ["doc_id"])
+    wanted = sieve.keep_possible(docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", ids)
+    picked = wanted.join(training, "doc_id").select("text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 w = words(block)
-                sizes = np.diff(w.first)
                 c = word_hashes(block, w)
                 b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
-                ok = np.repeat(sizes <= most_words, sizes)
-                triples, at, times = np.unique(_triple(a, b, c)[ok], return_index=True, return_counts=True)
-                a, b, c = a[ok][at], b[ok][at], c[ok][at]
-                columns = [triples, _pair(a, b), _pair(b, c), b, c]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in columns], pa.array(times)], names=["key", "ab", "bc", "b", "c", "n"])
-
-    schema = "key long, ab long, bc long, b long, c long, n long"
-    triples = materialize(picked.mapInArrow(count, schema).groupBy("key", "ab", "bc", "b", "c").agg(F.sum("n").alias("n")), "triples")
+                _, at, times = np.unique(_triple(a, b, c), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (a, b, c)], pa.array(times)], names=["a", "b", "c", "n"])
+
+    triples = materialize(picked.mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "triples")
     if not triples.limit(1).count():
         return None
-    pairs = materialize(triples.groupBy(F.col("bc").alias("key"), "b", "c").agg(F.count("*").alias("n")), "pairs")
-    singles = pairs.groupBy(F.col("c").alias("key")).agg(F.count("*").alias("n")).withColumn("all", F.lit(0))
-    own3, rest3 = _discounted(triples, "ab", "n")
-    own2, rest2 = _discounted(pairs, "b", "n")
-    own1, rest1 = _discounted(singles, "all", "n")
-    pack = lambda df: PackedMap.of(*[x.to_numpy() for x in df.toArrow().columns])
-    unseen = rest1.first()["rest"] / (singles.count() + 1)
-    return TrigramModel(pack(own3), pack(rest3), pack(own2), pack(rest2), pack(own1), float(unseen))
+    pairs = materialize(triples.groupBy("b", "c").agg(F.count("*").alias("n")), "pairs")
+    singles = materialize(pairs.groupBy("c").agg(F.count("*").alias("n")), "singles")
+    one, all_words = _contexts(singles)
+    total, held = all_words.first()
+    unseen = held / total / (singles.count() + 1)
+    one = one.select("c", (F.col("kept") / total + unseen).alias("p1"))
+    two, after_one = _contexts(pairs, "b")
+    after_one = after_one.select("b", (F.col("held") / F.col("total")).alias("rest2"), "total")
+    # p2 interpolates with p1, and p3 with p2
+    two = two.join(after_one, "b").join(one, "c").withColumn("low", F.col("rest2") * F.col("p1"))
+    two = materialize(two.select("b", "c", (F.col("kept") / F.col("total") + F.col("low")).alias("p2"), "low"), "p2")
+    three, after_two = _contexts(triples, "a", "b")
+    after_two = materialize(after_two.select("a", "b", (F.col("held") / F.col("total")).alias("rest3"), "total"), "contexts")
+    low = F.col("rest3") * F.col("p2")
+    three = three.join(after_two, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).select("a", "b", "c", F.log((F.col("kept") / F.col("total") + low) / low).alias("own"), F.lit(0.0).alias("rest"))
+    zero, both = F.lit(0.0), [F.sum("own").alias("own"), F.sum("rest").alias("rest")]
+    of_words = one.select("c", F.log(F.col("p1") / unseen).alias("own"), zero.alias("rest")).union(after_one.select("b", zero, F.log("rest2"))).groupBy("c").agg(*both)
+    of_pairs = two.select("b", "c", F.log(F.col("p2") / F.col("low")).alias("own"), zero.alias("rest")).union(after_two.select("a", "b", zero, F.log("rest3"))).groupBy("b", "c").agg(*both)
+    weights = materialize(_keyed(of_words).union(_keyed(of_pairs)).union(_keyed(three)), "weights")
+    return TrigramModel(weights, sieve.build(weights, ["key"], LOG_FILTER_BITS), float(np.log(unseen)))
+
+
+def _asked(source: DataFrame, model: TrigramModel) -> DataFrame:
+    """(part, key, mark) of the distinct n-grams of each partition that pass the model's filter, and a row with the
+    mark set that has the checksum of the partition's words."""
+    shared = source.sparkSession.sparkContext.broadcast(model.filter)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, checksum = TaskContext.get().partitionId(), np.uint64(0)
+        pending: list[np.ndarray] = []
+
+        def rows(keys: np.ndarray, mark: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), mark))], names=["part", "key", "mark"])
+
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                w = words(block)
+                c = word_hashes(block, w)
+                checksum = np.add(checksum, np.sum(mix64(c), dtype=np.uint64))
+                b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
+                keys = np.unique(np.concatenate([c, b, _pair(b, c), _pair(a, b), _triple(a, b, c)]))
+                pending.append(keys[sieve.test(shared.value, keys)])
+                if sum(map(len, pending)) > MOST_PENDING:
+                    pending = [np.unique(np.concatenate(pending))]
+                    if len(pending[0]) > MOST_PENDING // 2:
+                        yield rows(pending.pop(), False)
+        if pending:
+            yield rows(np.unique(np.concatenate(pending)), False)
+        yield rows(np.array([checksum], np.uint64), True)
+
+    return source.mapInArrow(ask, "part int, key long, mark boolean")
+
+
+def _read_hits(uri: str, part: int) -> tuple[PackedKeys, np.ndarray, np.ndarray, np.uint64]:
+    """The keys of a partition, the weights own and rest of each and a last 0, and the partition's checksum."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    if not files:
+        raise RuntimeError(f"partition {part} was not there when its n-grams were looked up")
+    table = pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files])
+    key, mark = table["key"].to_numpy().view(np.uint64), table["mark"].to_numpy()
+    keys, at = np.unique(key[~mark], return_index=True)
+    own, rest = (np.append(table[x].to_numpy()[~mark][at], 0) for x in ("own", "rest"))
+    return PackedKeys.of(keys), own, rest, key[mark][0]
 
 
 def scored(docs: DataFrame, model: TrigramModel | None) -> DataFrame:
-    """(doc_id, lang, n_words, log_probability) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, lang, n_words, log_probability) for each row of docs, which must have the same partitions whenever it
+    is read; a task that finds other words than at the look-up fails."""
+    source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    uri, floor = None, 0.0
+    if model is not None:
+        uri, floor = f"{scratch_root(docs.sparkSession)}/hits-{uuid4().hex}", model.floor
+        hits = _asked(source, model).join(model.weights, "key", "left").where("mark or own is not null")
+        hits.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        part, checksum, found = TaskContext.get().partitionId(), np.uint64(0), None
         for batch in batches:
+            if uri and found is None:
+                found = _read_hits(uri, part)
             for block in blocks(batch.column("text")):
                 w = words(block)
-                part = slice(block.first, block.last)
-                logs = m.log_probability(word_hashes(block, w), w.first) if m is not None else np.full(len(w.first) - 1, np.nan)
+                rows = slice(block.first, block.last)
+                logs = np.full(len(w.first) - 1, np.nan)
+                if found is not None:
+                    keys, own, rest, _ = found
+                    c = word_hashes(block, w)
+                    checksum = np.add(checksum, np.sum(mix64(c), dtype=np.uint64))
+                    b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
+                    each = floor + own[keys.find(c)] + rest[keys.find(b)] + own[keys.find(_pair(b, c))] + rest[keys.find(_pair(a, b))] + own[keys.find(_triple(a, b, c))]
+                    total = np.concatenate([[0.0], np.cumsum(each)])
+                    logs = total[w.first[1:]] - total[w.first[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[part], batch.column("lang")[part], pa.array(np.diff(w.first).astype(np.int64)), pa.array(logs, from_pandas=True)], names=["doc_id", "lang", "n_words", "log_probability"]
+                    [batch.column("doc_id")[rows], batch.column("lang")[rows], pa.array(np.diff(w.first).astype(np.int64)), pa.array(logs, from_pandas=True)], names=["doc_id", "lang", "n_words", "log_probability"]
                 )
+        if found is not None and checksum != found[-1]:
+            raise RuntimeError(f"partition {part} has other rows than when its n-grams were looked up")
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     return source.mapInArrow(score, "doc_id long, lang string, n_words long, log_probability double")
 
 
-def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, pseudo_words: int = PSEUDO_WORDS, sample: int = TRUSTED_DOCS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, pseudo_words: int = PSEUDO_WORDS) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) for each row of docs."""
-    training = materialize(training_ids(labels, sample), "training")
+    training = materialize(training_ids(labels), "training")
     scores = materialize(scored(docs, fit(docs, training)), "scores")
     fresh = trusted_ids(labels).join(training, "doc_id", "left_anti")
     good = scores.join(fresh, "doc_id", "left_semi").where("n_words > 0 and log_probability is not null")
@@ -198,7 +269,7 @@ def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin:
     shrunk = materialize(shrunk.drop("mean"), "shrunk")
     limits = shrunk.join(fresh, "doc_id", "left_semi").where("perplexity is not null")
     by_lang = limits.groupBy("key").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    fallback = limits.agg(F.percentile_approx("perplexity", quantile, 10_000) * margin).first()[0]
+    fallback = limits.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin)).first()[0]
     judged = shrunk.join(by_lang, "key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(fallback).cast("double")))
     fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & (F.col("n_words") > 0)
     return judged.select("doc_id", "lang", "n_words", "perplexity", "threshold", fine.alias("kept"))

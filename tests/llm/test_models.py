@@ -151,3 +151,17 @@ def test_quality_of_odd_rows(table, spark):
     some = spark.createDataFrame([(6, 1), (5, 1), (None, 1), (4, None), (9, 1), (7, 1)], "doc_id long, quality int")
     assert ngram_quality.keep(table(ODD), some).count() == len(ODD)
     assert ngram_quality.keep(table([]), some).count() == 0
+
+
+def test_quality_learns_from_all_trusted_text(table, spark):
+    # 4,000 trusted documents; a word triple that stands in one training document, past 20,000 words, is not unseen
+    labels = spark.range(4000).selectExpr("id AS doc_id", "1 AS quality")
+    training = ngram_quality.training_ids(labels)
+    assert 2800 < training.count() < 3200
+    texts = [(0, "x " * 20_001 + "rare mark here"), (1, "x x x"), (7, "rare mark here"), (8, "here mark rare")]
+    docs = table(texts)
+    model = ngram_quality.fit(docs, spark.createDataFrame([(0,), (1,)], "doc_id long"))
+    got = {r["doc_id"]: r["log_probability"] for r in ngram_quality.scored(docs, model).collect()}
+    plain = kneser_ney([t for _, t in texts[:2]])
+    assert all(got[i] == pytest.approx(plain(t), rel=1e-4) for i, t in texts)
+    assert got[7] > got[8]
