@@ -8,7 +8,7 @@ only the distinct n-grams of each partition that pass a filter of fixed size, an
 own partition back.
 
 A document's log probability is averaged with PSEUDO_WORDS words of its language's trusted mean, so short texts are
-not judged by a few words. keep() retains documents up to `margin` times the `quantile` of the perplexity of the held-out trusted
+not judged by a few words. keep() retains documents up to the `quantile` of the perplexity of the held-out trusted
 documents (HELD_OUT of them) in their language; languages without one use the quantile over all languages.
 
 Null, empty and blank texts have no words, a null perplexity and are not kept. A null lang is a language of its own.
@@ -36,7 +36,6 @@ from .textblocks import blocks, mix64, word_hashes, words
 HELD_OUT = 0.25
 PSEUDO_WORDS = 30
 QUANTILE = 0.995
-MARGIN = 1.25
 LOG_FILTER_BITS = 28
 MOST_PENDING = 1 << 22  # n-grams of a partition that wait to be made distinct
 _BEGIN = np.uint64(0xB5297A4D3F84D5B5)
@@ -254,7 +253,7 @@ def scored(docs: DataFrame, model: TrigramModel | None) -> DataFrame:
     return source.mapInArrow(score, "doc_id long, lang string, n_words long, log_probability double")
 
 
-def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, pseudo_words: int = PSEUDO_WORDS) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, pseudo_words: int = PSEUDO_WORDS) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) for each row of docs."""
     training = materialize(training_ids(labels), "training")
     scores = materialize(scored(docs, fit(docs, training)), "scores")
@@ -268,8 +267,8 @@ def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin:
     shrunk = scores.withColumn("key", key).join(means, "key", "left").withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(cost)))
     shrunk = materialize(shrunk.drop("mean"), "shrunk")
     limits = shrunk.join(fresh, "doc_id", "left_semi").where("perplexity is not null")
-    by_lang = limits.groupBy("key").agg((F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold"))
-    fallback = limits.agg((F.percentile_approx("perplexity", quantile, 10_000) * margin)).first()[0]
+    by_lang = limits.groupBy("key").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    fallback = limits.agg(F.percentile_approx("perplexity", quantile, 10_000)).first()[0]
     judged = shrunk.join(by_lang, "key", "left").withColumn("threshold", F.coalesce("threshold", F.lit(fallback).cast("double")))
     fine = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) & (F.col("n_words") > 0)
     return judged.select("doc_id", "lang", "n_words", "perplexity", "threshold", fine.alias("kept"))

@@ -165,3 +165,14 @@ def test_quality_learns_from_all_trusted_text(table, spark):
     plain = kneser_ney([t for _, t in texts[:2]])
     assert all(got[i] == pytest.approx(plain(t), rel=1e-4) for i, t in texts)
     assert got[7] > got[8]
+
+
+def test_quality_threshold_is_the_quantile_alone(table, spark):
+    rng = np.random.default_rng(2)
+    docs = table([(i, " ".join(rng.choice(list("abcdefgh"), size=40)), "en") for i in range(60)])
+    labels = spark.range(60).selectExpr("id AS doc_id", "1 AS quality")
+    training = {r["doc_id"] for r in ngram_quality.training_ids(labels).collect()}
+    got = ngram_quality.keep(docs, labels).collect()
+    held_out = [r["perplexity"] for r in got if r["doc_id"] not in training]
+    assert held_out and {r["threshold"] for r in got} == {max(held_out)}
+    assert all(r["kept"] == (r["perplexity"] <= max(held_out)) for r in got)
