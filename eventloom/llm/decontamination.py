@@ -1,16 +1,17 @@
 """Benchmark decontamination by templates: re-parameterised questions are found as well as copies.
 
 Words lose surrounding punctuation and case; numbers, names (capitalised words inside a sentence) and units become
-typed placeholders, and their own words the slots. Windows of WINDOW template words (with LEAST_LITERALS words that
-are no placeholder) of documents and items are joined by hash. Matches of one document, item and offset must fill the
+typed placeholders, and their own words the slots. Windows of WINDOW words of documents and items are joined by hash:
+every window by its words as they are, so that copies match whatever they are made of, and windows with LEAST_LITERALS
+words or more that are no placeholder by their template as well. Matches of one document, item and offset must fill the
 slots consistently: one item value becomes one document value and the other way round; offsets that don't are left
-out. An item is found if the windows that remain cover LEAST_COVERED or more of its words.
+out. An item is found if the windows that remain cover LEAST_COVERED or more of the words that can match: all words for
+a copy; for another filling those in windows of templates, but half of the item's words at least.
 
 A fixed-size filter of the item windows spares the join the windows that no item has. Null and empty texts match
-nothing. Items of fewer words than WINDOW are matched by one window of their length, and those of fewer than
-LEAST_LITERALS literal words in every window by none. Rows are told apart by doc_id and text, so repeated rows get the
-same result and a null doc_id is allowed. Repeated or null item_ids count by text. Empty tables give no match. Other
-columns of docs pass through decontaminate(); names that start with `_` are reserved.
+nothing. Items of fewer words than WINDOW are matched by one window of their length. Rows are told apart by doc_id and
+text, so repeated rows get the same result and a null doc_id is allowed. Repeated or null item_ids count by text.
+Empty tables give no match. Other columns of docs pass through decontaminate(); names that start with `_` are reserved.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .scratch import materialize
-from .textblocks import Block, blocks, count_in, range_hashes, window_hashes, words
+from .textblocks import Block, blocks, count_in, mix64, range_hashes, window_hashes, words
 
 WINDOW = 5
 LEAST_LITERALS = 3
@@ -43,6 +44,7 @@ def _hashes_of(terms: list[str]) -> np.ndarray:
     return np.sort(range_hashes(np.frombuffer("".join(terms).encode(), np.uint8), ends[:-1], ends[1:]))
 
 
+_OWN = np.uint64(0x4444444444444444)  # apart from templates
 _UNITS, _NUMBERS = _hashes_of(UNITS), _hashes_of(NUMBER_WORDS)
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1111111111111111, 0x2222222222222222, 0x3333333333333333))
 
@@ -84,7 +86,7 @@ def _templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _window_rows(docs: DataFrame, key: str, sizes: list[int], filters: dict[int, np.ndarray] | None, whole_if_short: bool) -> DataFrame:
-    """(key, size, window, pos, n_words, slots) for the windows of each text that may be wanted."""
+    """(key, size, window, pos, n_words, n_open, slots), n_open words being in a window of its template, for the windows of each text that may be wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,33 +99,39 @@ def _window_rows(docs: DataFrame, key: str, sizes: list[int], filters: dict[int,
                 counts = np.diff(first)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 for size in sizes:
-                    hashes = window_hashes(template, size)
-                    if not len(hashes):
+                    windows = window_hashes(template, size)
+                    if not len(windows):
                         continue
-                    at = np.arange(len(hashes))
-                    literals = count_in(literal, at, at + size)
-                    ok = (owner[at] == owner[at + size - 1]) & (literals >= LEAST_LITERALS)
+                    starts = np.arange(len(windows))
+                    whole = owner[starts] == owner[starts + size - 1]
                     if whole_if_short:
-                        ok &= (size == WINDOW) | (counts[owner[at]] == size)
-                    if wanted is not None:
-                        ok[ok] = sieve.test(wanted[size], hashes[ok])
-                    at = at[ok]
-                    if not len(at):
-                        continue
-                    slots = [own[p : p + size][~literal[p : p + size]].view(np.int64).tolist() for p in at]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(keys[block.first + owner[at]]),
-                            pa.array(np.full(len(at), size, np.int32)),
-                            pa.array(hashes[at].view(np.int64)),
-                            pa.array((at - first[owner[at]]).astype(np.int32)),
-                            pa.array(counts[owner[at]].astype(np.int32)),
-                            pa.array(slots, pa.list_(pa.int64())),
-                        ],
-                        names=["key", "size", "window", "pos", "n_words", "slots"],
-                    )
-
-    schema = "key long, size int, window long, pos int, n_words int, slots array<long>"
+                        whole &= (size == WINDOW) | (counts[owner[starts]] == size)
+                    open_ = whole & (count_in(literal, starts, starts + size) >= LEAST_LITERALS)
+                    reach = np.zeros(len(template) + 1, np.int64)
+                    reach[:-size] += open_
+                    reach[size:] -= open_
+                    n_open = count_in(np.cumsum(reach)[:-1] > 0, first[:-1], first[1:])
+                    for hashes, ok, filled in ((windows, open_.copy(), True), (mix64(window_hashes(own, size) ^ _OWN), whole.copy(), False)):
+                        if wanted is not None:
+                            ok[ok] = sieve.test(wanted[size], hashes[ok])
+                        at = np.flatnonzero(ok)
+                        if not len(at):
+                            continue
+                        slots = [own[p : p + size][~literal[p : p + size]].view(np.int64).tolist() if filled else [] for p in at]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(keys[block.first + owner[at]]),
+                                pa.array(np.full(len(at), size, np.int32)),
+                                pa.array(hashes[at].view(np.int64)),
+                                pa.array((at - first[owner[at]]).astype(np.int32)),
+                                pa.array(counts[owner[at]].astype(np.int32)),
+                                pa.array(n_open[owner[at]].astype(np.int32)),
+                                pa.array(slots, pa.list_(pa.int64())),
+                            ],
+                            names=["key", "size", "window", "pos", "n_words", "n_open", "slots"],
+                        )
+
+    schema = "key long, size int, window long, pos int, n_words int, n_open int, slots array<long>"
     return docs.select(key, F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
@@ -131,28 +139,30 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least_covered: float = LEA
     """One row a document and item found: row_key (xxhash64 of doc_id and text), item_key (of item_id and text),
     covered (share of the item's words) and reparameterised (some slot differs)."""
     keyed_items = benchmark.where("text is not null").select(F.xxhash64("item_id", "text").alias("item_key"), "text")
-    sizes = list(range(LEAST_LITERALS, WINDOW + 1))
+    sizes = list(range(1, WINDOW + 1))
     items = materialize(_window_rows(keyed_items, "item_key", sizes, None, whole_if_short=True).distinct(), "items")
     used = sorted(r["size"] for r in items.select("size").distinct().collect())
     filters = {size: sieve.build(items.where(F.col("size") == size), ["window"], 22) for size in used}
     keyed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
     found = _window_rows(keyed, "row_key", used, filters, whole_if_short=False)
-    right = items.select("size", "window", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
+    right = items.select("size", "window", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), F.col("n_words").alias("item_words"), F.col("n_open").alias("item_open"), F.col("slots").alias("item_slots"))
     matched = found.join(right, ["size", "window"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
     fills = F.arrays_zip("item_slots", "slots")
-    runs = matched.groupBy(F.col("key").alias("row_key"), "item_key", "item_words", "offset").agg(
+    runs = matched.groupBy(F.col("key").alias("row_key"), "item_key", "item_words", "item_open", "offset").agg(
         F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills"),
         F.collect_set(F.struct("item_pos", "size")).alias("at"),
     )
     of = lambda part: F.transform("fills", lambda x: x[part])
     one_to_one = (F.size("fills") == F.size(F.array_distinct(of("item_slots")))) & (F.size("fills") == F.size(F.array_distinct(of("slots"))))
     words_hit = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda x: F.sequence(x["item_pos"], x["item_pos"] + x["size"] - 1)))))
+    changed = F.max(F.exists("fills", lambda x: x["item_slots"] != x["slots"]))
+    can_match = F.when(changed, F.greatest("item_open", F.col("item_words") / 2)).otherwise(F.col("item_words"))
     return (
         runs.where(one_to_one)
-        .groupBy("row_key", "item_key", "item_words")
-        .agg((words_hit / F.col("item_words")).alias("covered"), F.max(F.exists("fills", lambda x: x["item_slots"] != x["slots"])).alias("reparameterised"))
+        .groupBy("row_key", "item_key", "item_words", "item_open")
+        .agg(F.least(F.lit(1.0), words_hit / can_match).alias("covered"), changed.alias("reparameterised"))
         .where(F.col("covered") >= least_covered)
-        .drop("item_words")
+        .drop("item_words", "item_open")
     )
 
 

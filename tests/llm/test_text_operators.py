@@ -102,6 +102,22 @@ def test_slots_must_be_consistent(table, spark):
     assert sorted(r["doc_id"] for r in decontamination.decontaminate(clash, items).collect()) == [3, 4]
 
 
+def test_copies_of_few_literals_are_found(table, spark):
+    train = "A train travels 60 km in 2 hours, then 90 km in 3 hours. What is its average speed?"
+    items = spark.createDataFrame([(1, train), (2, "What is 12 + 7 * 3?"), (3, "quokka"), (4, "blue quagga")], "item_id long, text string")
+    docs = [
+        (1, f"Solve this. {train} Thanks."),
+        (2, "They ask: What is 12 + 7 * 3? Easy."),
+        (3, "the quokka sleeps"),
+        (4, "a blue quagga"),
+        (5, "A train travels 50 km in 4 hours, then 80 km in 5 hours. What is its average speed?"),
+        (6, "What is 12 + 8 * 3? And 7?"),
+        (7, "quagga, blue"),
+    ]
+    got = {r["doc_id"]: r["item_ids"] for r in decontamination.contamination(table(docs), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [1], 6: None, 7: None}
+
+
 def test_decontamination_of_odd_rows(table, spark):
     items = spark.createDataFrame([(1, ODD[7][1]), (1, ODD[7][1])], "item_id long, text string")
     got = decontamination.contamination(table(ODD), items).collect()
