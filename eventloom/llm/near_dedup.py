@@ -4,13 +4,16 @@ Every document keeps the k smallest hashes of its shingle set. Two sets with a s
 LEAST_SHARED of 48 retained values (a binomial tail of 1e-8; sets of up to 0.8 * k shingles are retained whole, so
 theirs is exact). With retained values in one global order, rarest first, such a pair meets in the inverted list of
 one of each document's first k - LEAST_SHARED + 1 values; passages that many documents share come last in that order
-and are seldom reached. Equal sets are one class before lists are made, so that copies cost nothing.
+and are seldom reached. Documents of the same words are one class (by SHA-256 of the words) before lists are made, so
+that copies cost nothing. Links are confirmed on the full sets, by words that are equal in every byte.
 
 Within a list all members are compared with the smallest one only, then with the most central one. Where that leaves
 a list in one component, it is done. Members of different components are compared if a link is still possible: the
 shingles that each has alone among all documents of such lists can't be shared, and both must differ from the shingles
 common to their cluster in the same places. So groups of near copies don't make all their pairs.
 
+A value that many documents retain is spread over several join keys, HOT_ROWS rows each, in every join on it.
+
 Rows with a null doc_id are returned with a null component and kept. Null and blank texts have an empty set and link
 to nothing. Repeated rows and rows that share a doc_id are one document: each row is returned. Other columns of the
 input are ignored.
@@ -18,27 +21,29 @@ input are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sieve
 from .components import connected_components
 from .scratch import bounded_batches, materialize
-from .textblocks import blocks, mix64, shingle_set, word_hashes, words
+from .textblocks import blocks, exact_ids, mix64, shingle_set, word_hashes, words
 
 SKETCH_SIZE = 48
 LEAST_SHARED = 20
+HOT_ROWS = 1024
 SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>"
 COUNTS = "a long, b long, shared long, either long"
 
 
 def sketches(docs: DataFrame, shingle: int, k: int = SKETCH_SIZE) -> DataFrame:
-    """doc_id, size of the shingle set, two fingerprints of the whole set and its k smallest hashes."""
+    """doc_id, size of the shingle set, 128 bits of the SHA-256 of the words and the k smallest hashes of the set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,20 +51,22 @@ def sketches(docs: DataFrame, shingle: int, k: int = SKETCH_SIZE) -> DataFrame:
             for block in blocks(batch.column("text")):
                 w = words(block)
                 hashes = word_hashes(block, w, lower=True)
-                n, one, two, parts = [], [], [], []
-                for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
+                n, digests, parts = [], [], []
+                for i, (lo, hi) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
                     s = shingle_set(hashes[lo:hi], shingle)
                     n.append(len(s))
-                    one.append(np.add.reduce(mix64(s + np.uint64(11))) if len(s) else np.uint64(0))
-                    two.append(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5DEECE66D))) if len(s) else np.uint64(0))
+                    text = block.data[block.offsets[i] : block.offsets[i + 1]].tobytes()
+                    # the bytes that part words are those that bytes.split() knows
+                    digests.append(hashlib.sha256(b" ".join(text.lower().split())).digest()[:16])
                     parts.append(s[:k].view(np.int64))
+                digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(block.first, block.last - block.first),
                         pa.array(n, pa.int64()),
-                        pa.array(np.array(one, np.uint64).view(np.int64)),
-                        pa.array(np.array(two, np.uint64).view(np.int64)),
+                        pa.array(digest[:, 0].copy()),
+                        pa.array(digest[:, 1].copy()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))),
                     ],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "sketch"],
@@ -68,22 +75,37 @@ def sketches(docs: DataFrame, shingle: int, k: int = SKETCH_SIZE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sign, SIGNATURE)
 
 
+def _salts() -> Column:
+    """How many join keys a value of `df` documents is spread over."""
+    return F.ceil(F.col("df") / HOT_ROWS).cast("int")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows (with node and df) with the `salt` that each has."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), _salts()).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """rows (with df, one or few for each value) once for each salt."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1))).drop("df")
+
+
 def _prefix_entries(reps: DataFrame, k: int, least: int) -> DataFrame:
-    """(value, node, n): each class under the rarest of its retained values that other classes retain too."""
-    values = reps.select("node", "fp1", "n", F.explode("sketch").alias("value"))
+    """(value, df, node, n): each class under the rarest of its retained values that other classes retain too; df:
+    how many classes retain the value."""
+    values = reps.select("node", "n", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     exact_up_to = math.floor(0.8 * k)
     needed = F.when(F.col("n") <= exact_up_to, F.ceil(F.col("n") * 0.8 - 1e-9)).otherwise(F.lit(least))
     return (
         values.join(shared, "value")
-        .groupBy("node", "fp1", "n")
+        .groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))  # at most k values
         .withColumn("alone", F.least("n", F.lit(k)) - F.size("found"))
         .withColumn("reach", F.least("n", F.lit(k)) - needed + 1 - F.col("alone"))
         .where("reach > 0")
         .select("node", "n", F.explode(F.slice("found", 1, F.col("reach").cast("int"))).alias("x"))
-        .select(F.col("x.value").alias("value"), "node", "n")
-        .distinct()
+        .select(F.col("x.value").alias("value"), F.col("x.df").alias("df"), "node", "n")
     )
 
 
@@ -106,19 +128,18 @@ def _counted(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for block in blocks(column):
-                w = words(block)
-                hashes = word_hashes(block, w, lower=True)
-                for lo, hi in zip(w.first[:-1], w.first[1:], strict=True):
-                    yield shingle_set(hashes[lo:hi], shingle)
-
         for batch in batches:
             shared, either = [], []
-            for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb")), strict=True):
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                shared.append(both)
-                either.append(len(x) + len(y) - both)
+            n = batch.num_rows
+            both = pa.concat_arrays([batch.column("ta").cast(pa.large_string()), batch.column("tb").cast(pa.large_string())])
+            for block in blocks(both.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel())), together=2):
+                w = words(block)
+                named = mix64(exact_ids(block.data, w.starts, w.ends, lower=True).astype(np.uint64))
+                sets = [shingle_set(named[lo:hi], shingle) for lo, hi in zip(w.first[:-1], w.first[1:], strict=True)]
+                for x, y in zip(sets[::2], sets[1::2], strict=True):
+                    union = len(np.union1d(x, y))
+                    shared.append(len(x) + len(y) - union)
+                    either.append(union)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(either, pa.int64())],
                 names=["a", "b", "shared", "either"],
@@ -184,15 +205,16 @@ def _apart_from_common(members: DataFrame, docs: DataFrame, shingle: int, slack:
     return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sizes.select("cluster", "node", "size")
 
 
-def _split_lists(members: DataFrame) -> DataFrame:
-    """The values of the lists with members in several components."""
-    return members.groupBy("value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("value")
+def _of_split_lists(members: DataFrame) -> DataFrame:
+    """The members of the lists with members in several components."""
+    split = members.groupBy("value", "df").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("value", "df")
+    return _spread(members).join(_copied(split), ["value", "salt"]).drop("salt")
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = SKETCH_SIZE, least: int = LEAST_SHARED
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_class (documents with an equal set) for each row of docs.
+    """doc_id, n_shingles, component_id, kept, n_class (documents of the same words) for each row of docs.
 
     percent: the least similarity of a link; 80 or more, as k and least are chosen for 80.
     """
@@ -209,8 +231,8 @@ def near_duplicates(
     reps = materialize(classes, "classes")
     entries = materialize(_prefix_entries(reps, k, least), "lists")
 
-    lists = entries.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("len")).where("len > 1")
-    entries = materialize(entries.join(lists.drop("len"), "value"), "lists")
+    lists = entries.groupBy("value", "df").agg(F.min("node").alias("pivot"), F.count("*").alias("len")).where("len > 1").drop("len")
+    entries = materialize(_spread(entries).join(_copied(lists), ["value", "salt"]).drop("salt"), "lists")
     star = entries.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = materialize(_counted(_estimated(star, reps, k, least), docs, shingle), "counted")
     linked = lambda counted: counted.where(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
@@ -218,10 +240,10 @@ def near_duplicates(
 
     placed = (
         entries.join(parts, "node", "left")
-        .select("value", "node", "n", "pivot", F.coalesce("component", "node").alias("part"))
+        .select("value", "df", "node", "n", "pivot", F.coalesce("component", "node").alias("part"))
     )
     placed = materialize(placed, "placed")
-    members = materialize(placed.join(_split_lists(placed), "value").where("node <> pivot").drop("pivot"), "open")
+    members = materialize(_of_split_lists(placed).where("node <> pivot").drop("pivot"), "open")
     lonely = _lonely_shingles(members.select("node").distinct(), docs, shingle)
     # a lonely shingle is in no intersection: what is left bounds the similarity to any other member
     members = members.join(lonely, "node", "left").withColumn("rest", F.col("n") - F.coalesce("lonely", F.lit(0))).drop("lonely")
@@ -230,26 +252,26 @@ def near_duplicates(
     possible = (F.col("x.part") != F.col("y.part")) & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent)
 
     # a second star around the member with the fewest lonely shingles, the most central one of a group
-    centre = members.groupBy("value").agg(F.min(F.struct(1 - F.col("rest") / F.col("n"), "node", "part", "n", "rest")).alias("c")).select("value", "c.*")
-    star = members.alias("x").join(centre.alias("y"), "value").where(possible).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    centre = members.groupBy("value", "df").agg(F.min(F.struct(1 - F.col("rest") / F.col("n"), "node", "part", "n", "rest")).alias("c")).select("value", "df", "c.*")
+    star = _spread(members).alias("x").join(_copied(centre).alias("y"), ["value", "salt"]).where(possible).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     second = materialize(_counted(_estimated(star, reps, k, least), docs, shingle), "counted")
     edges = linked(first).unionByName(linked(second))
     if linked(second).limit(1).count():
         parts = materialize(connected_components(edges), "parts")
         members = members.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-        members = materialize(members.join(_split_lists(members), "value"), "open")
+        members = materialize(_of_split_lists(members), "open")
 
     # what is still apart is compared if it differs from its cluster in the same places, or hardly at all
     slack = (100 - percent) / percent
-    members = members.join(centre.select("value", F.col("node").alias("cluster")), "value")
-    members = materialize(members, "open")
+    cluster = _copied(centre.select("value", "df", F.col("node").alias("cluster")))
+    members = materialize(_spread(members).join(cluster, ["value", "salt"]).drop("salt"), "open")
     other, sizes = _apart_from_common(members, docs, shingle, slack)
     lists_of = members.groupBy("node").agg(F.collect_set("value").alias("in_lists"))  # at most k values
     members = materialize(members.join(lists_of, "node").join(sizes, ["cluster", "node"]).where(F.col("size") <= slack * F.col("n")), "open")
     meets = F.array_min(F.array_intersect("x.in_lists", "y.in_lists")) == F.col("x.value")
-    same_list = (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node"))
+    same_list = (F.col("x.value") == F.col("y.value")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.node") < F.col("y.node"))
     hardly = F.col("x.size") + F.col("y.size") <= slack * F.least("x.n", "y.n") + 1e-9
-    close = members.alias("x").join(members.alias("y"), same_list & possible & hardly & meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    close = _spread(members).alias("x").join(_copied(members).alias("y"), same_list & possible & hardly & meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     other = other.unionByName(close).distinct()
     third = materialize(_counted(_estimated(other, reps, k, least), docs, shingle), "counted")
     components = connected_components(edges.unionByName(linked(third))) if linked(third).limit(1).count() else parts

@@ -13,13 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
-_SPAN = 4096
-
-_rng = np.random.default_rng(20240101)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_PLACE = np.cumprod(np.full(_SPAN, 0x9E3779B97F4A7C15, dtype=np.uint64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The lowest 0 to 8 bytes of a 64-bit value.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -45,7 +42,8 @@ class Block:
     offsets: np.ndarray
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(texts: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES, together: int = 1) -> Iterator[Block]:
+    """The blocks of a column; runs of `together` rows stay in one block."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
@@ -61,9 +59,9 @@ def blocks(texts: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) ->
     first = 0
     while first < len(lengths):
         last, size = first, 0
-        while last < len(lengths) and (last == first or size + lengths[last] <= block_bytes):
-            size += lengths[last]
-            last += 1
+        while last < len(lengths) and (last == first or size + lengths[last : last + together].sum() <= block_bytes):
+            size += lengths[last : last + together].sum()
+            last = min(len(lengths), last + together)
         own = np.concatenate([[0], np.cumsum(lengths[first:last])])
         if own[-1] == offsets[last] - offsets[first]:
             part = data[offsets[first] : offsets[last]]
@@ -96,22 +94,53 @@ def words(block: Block) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
+def _pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each range as pieces of eight bytes, the last one filled with zeros: the pieces, the number of each in its range
+    and where each range's begin."""
+    counts = (lengths + 7) >> 3
+    begins = np.cumsum(counts) - counts
+    number = np.arange(int(counts.sum())) - np.repeat(begins, counts)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = np.repeat(lengths, counts) - 8 * number
+    return eight[np.repeat(starts, counts) + 8 * number] & _LOWEST[np.minimum(left, 8)], number, begins
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte range; with lower, A-Z count as a-z. Empty ranges share one hash."""
+    """A 64-bit hash of each byte range; with lower, A-Z count as a-z. Empty ranges share one hash.
+
+    The sum, over a range's pieces of eight bytes, of a scrambling of the piece with its number: no two places weigh
+    alike, however long the range, and the sum isn't linear in the bytes."""
     lengths = ends - starts
-    total = int(lengths.sum())
-    if not total:
-        return mix64(np.zeros(len(lengths), np.uint64))
-    before = np.cumsum(lengths) - lengths
-    place = np.arange(total) - np.repeat(before, lengths)
-    inside = data[np.repeat(starts, lengths) + place]
-    values = (_BYTE_LOWER if lower else _BYTE)[inside] * _PLACE[place % _SPAN]
     sums = np.zeros(len(lengths), np.uint64)
     some = lengths > 0
-    sums[some] = np.add.reduceat(values, before[some])
+    if some.any():
+        values, number, begins = _pieces(_LOWER[data] if lower else data, starts, lengths)
+        further = np.flatnonzero(number)
+        values[further] ^= mix64(number[further].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sums[some] = np.add.reduceat(mix64(values + np.uint64(0x632BE59BD9B4E019)), begins[some])
     return mix64(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A number below the number of ranges for each range; two are equal if, and only if, the bytes are."""
+    if hashes is None:
+        hashes = range_hashes(data, starts, ends, lower)
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, like = ends - starts, first[ids]
+    folded = _LOWER[data] if lower else data
+    same = lengths == lengths[like]
+    checked = np.flatnonzero(same & (like != np.arange(len(like))) & (lengths > 0))
+    if len(checked):
+        mine, _, begins = _pieces(folded, starts[checked], lengths[checked])
+        other, _, _ = _pieces(folded, starts[like[checked]], lengths[checked])
+        same[checked[np.logical_or.reduceat(mine != other, begins)]] = False
+    if same.all():
+        return ids
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(folded[a:b].tobytes(), len(known)) for a, b in zip(starts, ends, strict=True)])
+
+
 def word_hashes(block: Block, w: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; with lower, A-Z count as a-z."""
     return range_hashes(block.data, w.starts, w.ends, lower)
@@ -146,6 +175,14 @@ def repeats_earlier(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return marked
 
 
+def exact_windows(ids: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of `size` neighbouring exact_ids(): equal for equal runs only."""
+    named = ids[: max(0, len(ids) - size + 1)]
+    for k in range(1, size):
+        named = np.unique(named * (int(ids.max(initial=0)) + 1) + ids[k : k + len(named)], return_inverse=True)[1]
+    return named
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of size neighbouring values; windows may cross texts, the caller picks those that don't."""
     n = len(hashes) - size + 1

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
-from conftest_llm import LOWER, ODD, WORD
+from conftest_llm import ALIKE, LOWER, ODD, WORD
 
-from eventloom.llm import components, near_dedup, queries
+from eventloom.llm import components, near_dedup, queries, textblocks
 
 
 def sets(rows, k):
@@ -87,3 +88,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_words_that_hashes_may_confuse(table, monkeypatch):
+    """One word each, the same words within a longer text, a copy in capitals; one list of several salts."""
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 2)
+    rows = [*ALIKE, *[f"one two three {x} four five six" for x in ALIKE], ALIKE[0].upper()]
+    rows += [" ".join(f"w{i}" for i in range(40)) + f" end{k}" for k in range(7)]
+    rows = list(enumerate(rows))
+    check(table(rows), rows, 4)
+
+
+def test_pairs_are_counted_on_the_words_themselves(table, monkeypatch):
+    """Even where all words have one hash."""
+    monkeypatch.setattr(textblocks, "range_hashes", lambda data, starts, ends, lower=False: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"ab Ab ab xy", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 11])
+    assert textblocks.exact_ids(data, starts, ends).tolist() == [0, 1, 0, 2]
+    assert textblocks.exact_ids(data, starts, ends, lower=True).tolist() == [0, 0, 0, 1]
+    assert textblocks.exact_windows(np.array([4, 1, 4, 1, 2]), 2).tolist() == [2, 1, 2, 0]
