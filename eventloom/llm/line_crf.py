@@ -1,9 +1,11 @@
 """Document quality by line labelling: a linear-chain CRF marks each line as content or boilerplate.
 
 The weights of a two-state chain are fitted by gradient ascent on the likelihood of a bounded sample of labelled
-documents: lines of documents labelled 1 count as content, those of documents labelled 0 and lines with a licence or
-navigation cue as boilerplate. Viterbi decoding then labels every line of every document; a document whose content
-lines hold LEAST_CONTENT or more of its word characters is retained.
+documents. Each of their lines is labelled by itself: as boilerplate if its pattern of features is commoner among the
+lines of documents labelled 0 than among those of documents labelled 1, or if the line recurs in the sample behind
+RECURS different lines, as parts of a page do and lines of copied documents don't; as content otherwise. Viterbi
+decoding then labels every line of every document; a document whose content lines hold LEAST_CONTENT or more of its
+word characters is retained.
 
 Base counts (see measure) fail a document first: fewer than 50 words, or more than half of the words in repeated
 three-word windows. Null and empty texts have no words and fail. Without labelled rows all lines are content. Repeated
@@ -21,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import shuffled
-from .textblocks import SEPARATOR, Block, Words, blocks, count_in, lines, mix64, range_hashes, repeats_earlier, window_hashes, word_hashes, words
+from .textblocks import SEPARATOR, Block, Words, blocks, count_in, exact_ids, exact_windows, lines, range_hashes, repeats_earlier, word_hashes, words
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
 LEAST_CONTENT = 0.5
 SAMPLE_DOCS = 1500
 SAMPLE_LINES = 200
+RECURS = 3
 # fixed cue words of licence, navigation and consent lines
 CUES = ("copyright", "licensed", "license", "reserved", "cookies", "cookie", "privacy", "subscribe", "login", "sitemap", "click", "terms")
 _CUES = np.sort(range_hashes(np.frombuffer("".join(CUES).encode(), np.uint8), np.cumsum([0, *map(len, CUES)])[:-1], np.cumsum([0, *map(len, CUES)])[1:]))
@@ -100,7 +103,6 @@ def _features(block: Block, w: Words, hashes: np.ndarray, ls: Words, line_keys:
 
 
 N_FEATURES = 15
-_CUE = 12
 
 
 @dataclass
@@ -169,11 +171,30 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = 15
 
 
 def _prepared(block: Block) -> tuple[Words, np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words and their exact ids, lines and theirs, the features of the lines and their word characters."""
     w, ls = words(block), lines(block)
     hashes = word_hashes(block, w)
-    keys = range_hashes(block.data, ls.starts, ls.ends)
+    ids = exact_ids(block.data, w.starts, w.ends, hashes=hashes)
+    keys = exact_ids(block.data, ls.starts, ls.ends)
     features, in_words = _features(block, w, hashes, ls, keys)
-    return w, hashes, ls, keys, features, in_words
+    return w, ids, ls, keys, features, in_words
+
+
+def line_labels(codes: list[np.ndarray], keys: list[np.ndarray], quality: list[int], recurs: int = RECURS) -> list[np.ndarray]:
+    """The label of each line of some documents, given the lines' patterns and hashes and the documents' labels."""
+    if not codes:
+        return []
+    counts = [len(c) for c in codes]
+    code, key, good = np.concatenate(codes), np.concatenate(keys), np.repeat(np.array(quality) == 1, counts)
+    before = np.concatenate([np.append(np.zeros(1, key.dtype), k[:-1]) for k in keys])
+    patterns, which = np.unique(code, return_inverse=True)
+    in_good, in_bad = (np.bincount(which[x], minlength=len(patterns)) + 0.5 for x in (good, ~good))
+    worse = in_bad / (in_bad.sum() or 1) > in_good / (in_good.sum() or 1) if (~good).any() else np.zeros(len(patterns), bool)
+    follows = np.unique(np.stack([key, before]), axis=1)[0]
+    line, behind = np.unique(follows, return_counts=True)
+    recurring = np.isin(key, line[behind >= recurs]) & (code >> 1 & 1 == 0)  # not lines without a word
+    labels = np.where(worse[which] | recurring, BOILERPLATE, CONTENT)
+    return np.split(labels, np.cumsum(counts)[:-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> ChainModel:
@@ -190,15 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
             for block in blocks(batch.column("text")):
                 _, _, ls, _, features, _ = _prepared(block)
                 codes = (features.astype(np.int64) << np.arange(N_FEATURES)).sum(1)
-                found = [codes[lo:hi].tolist() for lo, hi in zip(ls.first[:-1], ls.first[1:], strict=True)]
-                part = slice(block.first, block.last)
-                out = pa.table({"doc_id": batch.column("doc_id")[part], "quality": batch.column("quality")[part], "codes": pa.array(found, pa.list_(pa.int64()))})
-                yield from out.filter(pa.array([len(x) <= sample_lines for x in found])).combine_chunks().to_batches()
+                keys = range_hashes(block.data, ls.starts, ls.ends).view(np.int64)
+                part = lambda x, ls=ls: [x[lo:hi].tolist() for lo, hi in zip(ls.first[:-1], ls.first[1:], strict=True)]
+                rows = slice(block.first, block.last)
+                out = pa.table({"doc_id": batch.column("doc_id")[rows], "quality": batch.column("quality")[rows], "codes": pa.array(part(codes), pa.list_(pa.int64())), "keys": pa.array(part(keys), pa.list_(pa.int64()))})
+                yield from out.filter(pa.array(np.diff(ls.first) <= sample_lines)).combine_chunks().to_batches()
 
-    table = rows.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(sequences, "doc_id long, quality int, codes array<long>").orderBy("doc_id", "codes").toArrow()
-    xs = [(np.array(c)[:, None] >> np.arange(N_FEATURES) & 1).astype(float) for c in table["codes"].to_pylist()]
-    ys = [np.where((x[:, _CUE] > 0) | (q != 1), BOILERPLATE, CONTENT) for x, q in zip(xs, table["quality"].to_pylist(), strict=True)]
-    return train(xs, ys)
+    sample = rows.select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(sequences, "doc_id long, quality int, codes array<long>, keys array<long>").orderBy("doc_id", "codes").toArrow()
+    codes, keys = ([np.array(x) for x in sample[c].to_pylist()] for c in ("codes", "keys"))
+    return train([(c[:, None] >> np.arange(N_FEATURES) & 1).astype(float) for c in codes], line_labels(codes, keys, sample["quality"].to_pylist()))
 
 
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_content_lines long, n_lines long"
@@ -216,7 +237,7 @@ def judge(docs: DataFrame, model: ChainModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             for block in blocks(batch.column("text")):
-                w, hashes, ls, keys, features, in_words = _prepared(block)
+                w, ids, ls, keys, features, in_words = _prepared(block)
                 data, texts = block.data, len(block.offsets) - 1
                 n_words = np.diff(w.first)
                 chars = count_in(~SEPARATOR[data] & ~_CONTINUED[data], block.offsets[:-1], block.offsets[1:])
@@ -224,7 +245,7 @@ def judge(docs: DataFrame, model: ChainModel) -> DataFrame:
                 owner = np.repeat(np.arange(texts), np.diff(ls.first))
                 has_word = np.searchsorted(w.starts, ls.ends) > np.searchsorted(w.starts, ls.starts)
                 dup = np.bincount(owner[repeats_earlier(owner, keys) & has_word], minlength=texts)
-                repeat = _repeat_words(hashes, w.first)
+                repeat = _repeat_words(ids, w.first)
                 scores = features @ m.emit
                 content, n_content = np.zeros(texts), np.zeros(texts, np.int64)
                 for i, (lo, hi) in enumerate(zip(ls.first[:-1], ls.first[1:], strict=True)):
@@ -249,18 +270,17 @@ def judge(docs: DataFrame, model: ChainModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(measure, VERDICT)
 
 
-def _repeat_words(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _repeat_words(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per text, how many words lie in a three-word window that the text has twice or more."""
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
-    if len(hashes) < 3:
+    if len(ids) < 3:
         return np.zeros(len(counts), np.int64)
-    within = owner[:-2] == owner[2:]
-    keys = mix64(window_hashes(hashes, 3) + mix64(owner[:-2].astype(np.uint64)))
-    at = np.flatnonzero(within)
-    _, inverse, times = np.unique(keys[at], return_inverse=True, return_counts=True)
+    at = np.flatnonzero(owner[:-2] == owner[2:])
+    keys = exact_windows(ids, 3)[at] * len(counts) + owner[at]
+    _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
     hit = at[times[inverse] > 1]
-    covered = np.zeros(len(hashes), bool)
+    covered = np.zeros(len(ids), bool)
     for k in range(3):
         covered[hit + k] = True
     return np.bincount(owner[covered], minlength=len(counts))

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import ODD
+from conftest_llm import ALIKE, ODD
 
 from eventloom.llm import language_id, line_crf, ngram_quality, queries
 
@@ -71,6 +71,24 @@ def test_line_labels_of_odd_rows(table, spark):
         assert r["n_words"] == len(re.findall("[^\x20\x09-\x0d]+", text or ""))
 
 
+def test_line_counts_of_long_lines_that_hashes_may_confuse(table):
+    rows = [(0, "\n".join(ALIKE)), (1, "\n".join([*ALIKE, ALIKE[1]])), (2, " ".join([f"a b {x}" for x in ALIKE] * 20)), (3, "\n\na\n \na\n ")]
+    model = line_crf.ChainModel(np.zeros((line_crf.N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+    clash = table(rows).withColumnsRenamed({"lang": "kept", "source": "n_words"})
+    for r in line_crf.judge(clash, model).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == base_counts(rows[r["doc_id"]][1])
+
+
+def test_lines_are_labelled_by_themselves():
+    """A pattern of bad documents is boilerplate, and so is a line that stands behind several others; a line of copies isn't."""
+    good, bad, part = 0b1, 0b1000000001, 0b101
+    codes = [np.array([good, good, part])] * 8 + [np.array([bad, bad, good])] * 4
+    keys = [np.array([1000 + i, 2000 + i, 7]) for i in range(4)] + [np.array([11, 12, 13])] * 4 + [np.array([3000 + i, 4000 + i, 5000 + i]) for i in range(4)]
+    labels = line_crf.line_labels(codes, keys, [1] * 8 + [0] * 4)
+    assert [x.tolist() for x in labels] == [[0, 0, 1]] * 4 + [[0, 0, 0]] * 4 + [[1, 1, 0]] * 4
+    assert line_crf.line_labels([], [], []) == []
+
+
 def test_viterbi_and_training():
     rng = np.random.default_rng(0)
     model = line_crf.ChainModel(np.zeros((line_crf.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
