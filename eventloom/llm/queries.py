@@ -55,7 +55,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts less the lines whose template recurs in three texts or more; the first line of each template stays."""
+    """Texts less the lines that recur in two documents, or their template in three; the first line of each stays."""
     return line_templates.drop_recurring_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

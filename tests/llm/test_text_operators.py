@@ -134,14 +134,107 @@ def test_line_templates(table):
     for i in range(1, 6):
         assert out[i]["text"] == f"{body(i)}\n\nend {chr(97 + i) * 3}" and (out[i]["n_dropped"], out[i]["n_lines"]) == (2, 5)
     assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(table(rows), keep_first=False).collect()} == {2}
-    assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(table(rows), least_texts=7).collect()} == {0}
-    copies = [(i, rows[0][1]) for i in range(5)]
-    assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(table(copies)).collect()} == {0}
+    assert {r["n_dropped"] for r in line_templates.drop_recurring_lines(table(rows), least_docs=7, least_template_docs=7).collect()} == {0}
+    copies = [(i, rows[0][1]) for i in range(5)] + [(0, rows[0][1])]
+    assert sorted(r["n_dropped"] for r in line_templates.drop_recurring_lines(table(copies)).collect()) == [0, 0, 4, 4, 4, 4]
+
+
+def plain_recurring(rows, least_docs=2, least_template_docs=3):
+    """By hand: the (document, line number) pairs to drop."""
+    from eventloom.llm.textblocks import range_hashes
+
+    code = {}
+
+    def hashed(word):
+        if word not in code:
+            data = np.frombuffer(word.encode(), np.uint8)
+            code[word] = int(range_hashes(data, np.array([0]), np.array([len(data)])).view(np.int64)[0])
+        return code[word]
+
+    docs = {}  # masked line -> documents
+    places = {}  # masked line -> [(doc, line_no)]
+    for doc_id, text in set(rows):
+        for k, line in enumerate((text or "").split("\n")):
+            masked = tuple("#" if re.search("[0-9]", w) else w for w in re.findall("[^\x20\x09-\x0d]+", line))
+            if masked:
+                docs.setdefault(masked, set()).add((doc_id, text))
+                places.setdefault(masked, []).append(((doc_id, text), k))
+    plain = lambda m: [(i, w) for i, w in enumerate(m) if w != "#"]
+    groups = {}
+    for m in docs:
+        if len(m) > 3 and any(i >= 3 for i, _ in plain(m)):
+            groups.setdefault((len(m), m[:3]), {})[m] = {x for x in plain(m) if x[0] >= 3}
+    lead = lambda m: sum(i < 3 for i, _ in plain(m))
+    final = {}
+    for split in range(3):
+        split_up = {}
+        for name, members in groups.items():
+            here, lines = {}, {}
+            for m, held in members.items():
+                for x in held:
+                    here[x] = here.get(x, 0) + len(docs[m])
+                    lines[x] = lines.get(x, 0) + 1
+            everything = sum(len(docs[m]) for m in members)
+            for m, held in members.items():
+                held = {x for x in held if here[x] >= least_template_docs}
+                enough = lambda n, m=m: n and n + lead(m) >= 0.6 * len(plain(m))
+                if split < 2:
+                    able = [(here[x], -x[0], hashed(x[1]), x) for x in held if lines[x] < len(members)]
+                    if enough(len(held)):
+                        split_up.setdefault((name, max(able)[3] if able else None), {})[m] = held
+                else:
+                    constants = frozenset(x for x in held if here[x] >= 0.3 * everything)
+                    if enough(len(constants)):
+                        final[m] = (name, constants)
+        groups = split_up
+    of_template = {}
+    for m, t in final.items():
+        of_template.setdefault(t, set()).update(docs[m])
+    gone = {}
+    for m in docs:
+        t = final.get(m)
+        if t is not None and len(of_template[t]) >= least_template_docs:
+            gone.setdefault(t, []).extend(places[m])
+        elif len(docs[m]) >= least_docs:
+            gone.setdefault(m, []).extend(places[m])
+    first = [min(x, key=lambda y: (y[0][0] is not None, y[0][0] or 0, y[1])) for x in gone.values()]
+    return {y for x in gone.values() for y in x} - set(first)
+
+
+def check_lines(got, rows):
+    want = plain_recurring(rows)
+    expected = []
+    for doc_id, text in rows:
+        kept = [x for k, x in enumerate((text or "").split("\n")) if ((doc_id, text), k) not in want]
+        expected.append((doc_id or -1, "\n".join(kept) if text is not None else ""))
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted(expected)
+    assert sum(r["n_dropped"] for r in got) >= len(want)
+
+
+def test_line_templates_equal_brute_force(spark, sf, documents):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    check_lines(queries.op8_line_templates(spark, sf).collect(), rows)
+
+
+def test_line_templates_with_variable_words(table):
+    names = "ann bob cy dee eve flo gus hal ivy jo".split()
+    rows = [(i, f"welcome back to our pages dear {n} please log in\nown words of {n}: {n * 2} {n * 3} {n * 4} {n * 5}\n{i}\n1 2 {i}") for i, n in enumerate(names)]
+    four = [f"the same three {' '.join(f'{w}{c}' for w in 'ab cd ef gh ij kl mn'.split())}" for c in "wxyz"]
+    rows += [(20 + i, f"{four[i % 4]}\n{names[i % 10]} {i % 3} alone") for i in range(12)]
+    rows += [(None, "welcome back to our pages dear null please log in"), (40, "welcome back to their homes dear all please sit down")]
+    got = line_templates.drop_recurring_lines(table(rows).withColumnsRenamed({"lang": "gone", "source": "row", "n_chars": "_key"})).collect()
+    check_lines(got, rows)
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[3] == "own words of dee: deedee deedeedee deedeedeedee deedeedeedeedee" and text[40] == rows[-1][1]
+    assert all(four[i % 4] not in text[20 + i] for i in range(4, 12))
+    same = line_templates.drop_recurring_lines(table(rows).withColumnsRenamed({"lang": "_gone", "source": "group", "n_chars": "n_lines"})).collect()
+    assert sorted(r["text"] for r in same) == sorted(r["text"] for r in got)
 
 
 def test_line_templates_of_odd_rows(table):
     out = line_templates.drop_recurring_lines(table(ODD)).collect()
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted((r[0] or 0, r[1] or "") for r in ODD)
+    check_lines(out, ODD)
+    assert [r["text"] for r in out if r["doc_id"] == 7] == [""]  # a copy of document 6
     assert line_templates.drop_recurring_lines(table([])).count() == 0
 
 
