@@ -36,6 +36,43 @@ def test_language_of_odd_rows(table):
     assert language_id.predict(table([]), model).count() == 0
 
 
+def test_more_languages_than_bits_of_a_word(table):
+    """150 made-up languages, each of its own syllables: all are learned, short texts too, and known doesn't shrink."""
+    rng = np.random.default_rng(4)
+    syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 2)) for _ in range(1500)]
+    word = lambda i: "".join(rng.choice(syllables[10 * i : 10 * i + 10], rng.integers(1, 4)))
+    text = lambda i: " ".join(word(i) for _ in range(60))
+    rows = [(1000 * i + k, text(i), f"language {i:03d}") for i in range(150) for k in range(4)]
+    model = language_id.fit(table(rows))
+    assert len(model.languages) == 150 and model.slots.shape[0] == 3
+    fresh = [(i, text(i), None) for i in range(150)] + [(200, "Oui", None), (201, syllables[700], None), (202, "1234 !!", None)]
+    got = {r["doc_id"]: r for r in language_id.predict(table(fresh).withColumnRenamed("n_chars", "known"), model).collect()}
+    right = [got[i]["lang_pred"] == f"language {i:03d}" for i in range(150)]
+    assert np.mean(right) > 0.95 and min(got[i]["known"] for i in range(150) if right[i]) > 0.3
+    assert got[200]["lang_pred"] != "und" and got[201]["known"] > 0 and got[202]["lang_pred"] == "und"
+
+
+def test_bloom_hits_equal_plain_sets(table):
+    """Corrected hits are the hits of plain sets of n-grams, but for what the filters pass by chance."""
+    from eventloom.llm.textblocks import blocks
+
+    import pyarrow as pa
+
+    rows = [(i, f"{w} and {w} or the {w} of {w} " * 5, g) for i, (w, g) in enumerate([("cat", "en"), ("katze", "de"), ("chatte", "fr")] * 4)]
+    model = language_id.fit(table(rows), docs_per_language=100)
+    fold = lambda t: " " + "".join(c if c.isalpha() or ord(c) > 127 else " " for c in t.lower()) + "  "
+    grams = lambda t: [fold(t)[k : k + 4] for k in range(len(fold(t)) - 3)]
+    counts = {g: Counter(x for _, t, h in rows if h == g for x in grams(t)) for g in ("de", "en", "fr")}
+    rate = lambda g, x: counts[g][x] / sum(counts[g].values())
+    member = lambda g, x: counts[g][x] >= 3 and rate(g, x) >= 0.2 * max(rate(h, x) for h in counts)
+    asked = ["the cat of the house", "katze oder chatte", "xyz", "a"]
+    (block,) = blocks(pa.array(asked))
+    hits, n = model.corrected_hits(block)
+    assert n.tolist() == [len(grams(t)) for t in asked]
+    want = [[sum(member(g, x) for x in grams(t)) for g in ("de", "en", "fr")] for t in asked]
+    assert np.abs(hits - np.array(want)).max() < 0.1
+
+
 def base_counts(text):
     w = re.findall("[^\x20\x09-\x0d]+", text or "")
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
