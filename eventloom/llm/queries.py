@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language_id, line_crf, line_templates, mixing, near_dedup, ngram_quality, sharding, suffix_dedup, training_order
+from .scratch import shared_uri
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token sequence with its slot in a keyed permutation, in the order of the slots."""
+    """Writes the shards of all documents under the shared folder; a row for each record, read from the files."""
     ranks = training_order.read_vocabulary(spark, training_order.VOCABULARY)
-    return training_order.training_order(_table(spark, sf_dir, "documents"), ranks, key=20240229)
+    plan = training_order.plan(_table(spark, sf_dir, "documents"), ranks, key=20240229)
+    uri = shared_uri(spark, "shards")
+    return training_order.records_of(plan, training_order.write_shards(plan, uri), uri)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +54,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     model = language_id.fit(docs.where(remainder != 2))
-    return language_id.predict(docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+    return language_id.predict(docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text", "known")
 
 
 def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession

@@ -1,40 +1,48 @@
 """Token shards in training order.
 
-Documents become sequences of at most `length` token ids (the last of a document ends with an end-of-text id). The
-sequences are written once to the shared folder and numbered there, by partition and place in the partition. A keyed
-Feistel network over the next even power of two, walked along its cycle until it is below the number of sequences,
-gives each a slot: a permutation of 0..n-1 that needs no shuffle and no table. Rows are then range-partitioned by slot.
+Documents become sequences of at most `length` token ids (the last of a document ends with an end-of-text id). They are
+numbered 0..n-1 by a hash of doc_id and text and by their place in the document, however the table is split into files
+and partitions. A keyed Feistel network over the next even power of two, walked along its cycle until it is below n,
+gives each number a slot: a permutation that needs no shuffle and no table.
 
-write_shards() writes slots r*k..r*(k+1)-1 to file k as records of one stride, so slot s is at byte
-(s mod r) * stride of file s div r, and read_shards() starts at any slot with one seek.
+plan() tokenises once to count the sequences of each document, which takes a few bytes a document; write_shards()
+tokenises again and sends every sequence straight to the range partition of its slot, so tokens are shuffled once and
+never kept in between. Ranges are whole shards. Each task writes slots r*k..r*(k+1)-1 to file k as records of one
+stride, so slot s is at byte (s mod r) * stride of file s div r, and read_shards() starts at any slot with one seek.
 
-Null and empty texts have no sequence. Null doc_ids stay null (-1 in the files). Repeated rows are separate documents.
-An empty table gives no rows and no files. Other columns are ignored.
+A task finds the numbers of its documents by partition and place in it, and fails if a document there is not the one
+that was counted.
+
+Null and empty texts have no sequence. Null doc_ids stay null (-1 in the files). Repeated rows are separate documents
+(equal rows share out their numbers). An empty table gives no rows and no files. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .ordering import running_total, shuffled
+from .scratch import bounded_batches, materialize, shared_uri
 from .textblocks import mix64
 
 LENGTH = 512
 ROUNDS = 6
 RECORDS_PER_SHARD = 65_536
-MOST_BROADCAST = 1_000_000  # rows of two numbers
+RANGE_BYTES = 128 << 20
+MOST_RANGES = 50_000
+READ_BYTES = 8 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to the vocabulary
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEADER = "<qii"  # doc_id, seq_no, n_tokens
 PIECE = 1 << 20
 
 
@@ -58,46 +66,119 @@ def read_vocabulary(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (r[0].split() for r in rows if r[0].strip())}
 
 
-def sequences(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH) -> DataFrame:
-    """(doc_id, seq_no, n_tokens, tokens, part, place): tokens as little-endian uint16 (uint32 from 65,536 ids on)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    end_of_text = len(ranks)
-    dtype = "<u2" if end_of_text < 65_536 else "<u4"
+def _coder(ranks: dict[bytes, int]):
+    import tiktoken
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
+    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _ids(coder, text: str) -> np.ndarray:
+    parts = [coder.encode_to_numpy(piece) for piece in _pieces(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `hash`, which tells texts apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).where("text <> ''")
+
+
+@dataclass
+class Plan:
+    """Where the sequences go: n of them, and a Parquet table under `uri`, split by partition of the documents, of the
+    number of each document's first one."""
 
-        coder = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+    docs: DataFrame
+    ranks: dict[bytes, int]
+    key: int
+    length: int
+    n: int
+    uri: str
+
+    @property
+    def record(self) -> np.dtype:
+        """The layout of a record: token ids are uint16 up to 65,536 ids, uint32 beyond."""
+        return np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("tokens", "<u2" if len(self.ranks) < 65_536 else "<u4", self.length)])
+
+
+def plan(docs: DataFrame, ranks: dict[bytes, int], key: int, length: int = LENGTH) -> Plan:
+    """Counts and numbers the sequences. docs must have the same partitions whenever it is read."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value)
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            n = [-(-(len(_ids(coder, text.as_py())) + 1) // length) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64())],
+                names=["part", "place", "doc_id", "hash", "n"],
+            )
+            place += len(n)
+
+    counted = materialize(_source(docs).mapInArrow(count, "part int, place long, doc_id long, hash long, n long"), "counted")
+    rows, n = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ordered = counted.withColumns({"order": shuffled("doc_id", "hash", seed=1), "all": F.lit(0)})
+    numbered = running_total(ordered, ["all"], "order", ["doc_id", "hash", "part", "place"], "n", rows, "first")
+    uri = shared_uri(spark, "numbers")
+    numbered.select("part", "place", "hash", "first").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
+    return Plan(docs, ranks, key, length, n, uri)
+
+
+def _numbers(uri: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash and the first number of each document of a partition, by place."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri)
+    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    if not files:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    table = pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files]).sort_by("place")
+    return table["hash"].to_numpy(), table["first"].to_numpy()
+
+
+def sequences(plan: Plan) -> DataFrame:
+    """(slot, doc_id, seq_no, n_tokens, tokens): tokens as little-endian bytes."""
+    shared = plan.docs.sparkSession.sparkContext.broadcast(plan.ranks)
+    end_of_text, dtype, n, key, length, uri = len(plan.ranks), plan.record["tokens"].base, plan.n, plan.key, plan.length, plan.uri
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value)
+        part, place, known = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if known is None:
+                known = _numbers(uri, part)
+            hashes = batch.column("hash").to_numpy()
+            if not np.array_equal(known[0][place : place + len(hashes)], hashes):
+                raise RuntimeError(f"partition {part} has other documents than when its sequences were counted")
+            firsts = known[1][place : place + len(hashes)]
+            place += len(hashes)
+            rows: list[list] = [[], [], [], [], []]
             size = 0
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                if not (text := text.as_py()):
-                    continue
-                ids = [x for piece in _pieces(text) for x in coder.encode_ordinary(piece)]
-                packed = np.array([*ids, end_of_text], dtype).tobytes()
-                stride = length * np.dtype(dtype).itemsize
+            for doc_id, text, first in zip(batch.column("doc_id").to_pylist(), batch.column("text"), firsts.tolist(), strict=True):
+                packed = np.append(_ids(coder, text.as_py()), end_of_text).astype(dtype).tobytes()
+                stride = length * dtype.itemsize
                 for k, at in enumerate(range(0, len(packed), stride)):
                     chunk = packed[at : at + stride]
-                    for column, value in zip(rows, (doc_id.as_py(), k, len(chunk) * length // stride, chunk), strict=True):
+                    for column, value in zip(rows, (first + k, doc_id, k, len(chunk) // dtype.itemsize, chunk), strict=True):
                         column.append(value)
-                    size += len(chunk)
+                size += len(packed)
                 if size > 4 << 20:
-                    yield _batch(rows, part, place)
-                    rows, place, size = [[], [], [], []], place + len(rows[0]), 0
+                    yield placed(rows)
+                    rows, size = [[], [], [], [], []], 0
             if rows[0]:
-                yield _batch(rows, part, place)
-                place += len(rows[0])
+                yield placed(rows)
 
-    def _batch(rows: list[list], part: int, place: int) -> pa.RecordBatch:
-        n = len(rows[0])
+    def placed(rows: list[list]) -> pa.RecordBatch:
+        slots = permute(np.array(rows[0], np.int64), n, key)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary()), pa.array([part] * n, pa.int32()), pa.array(np.arange(place, place + n))],
-            names=["doc_id", "seq_no", "n_tokens", "tokens", "part", "place"],
+            [pa.array(slots), *[pa.array(x, t) for x, t in zip(rows[1:], (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]], names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"]
         )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, seq_no int, n_tokens int, tokens binary, part int, place long")
+    return _source(plan.docs).mapInArrow(encode, "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -116,38 +197,24 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
     return out.astype(np.int64)
 
 
-def training_order(
-    docs: DataFrame, ranks: dict[bytes, int], key: int, length: int = LENGTH, records_per_shard: int = RECORDS_PER_SHARD
-) -> DataFrame:
-    """(slot, shard, record, doc_id, seq_no, n_tokens, tokens), range-partitioned and sorted by slot."""
-    table = materialize(sequences(docs, ranks, length), "sequences")
-    by_part = table.groupBy("part").agg(F.count("*").alias("n"))  # a row for each input partition
-    starts = by_part.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "start")
-    starts = materialize(starts, "starts")
-    n, parts = table.count(), starts.count()
-    numbered = table.join(F.broadcast(starts) if parts <= MOST_BROADCAST else starts, "part").withColumn("slot", F.col("start") + F.col("place")).drop("part", "place", "start")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
-        for batch in batches:
-            at = batch.schema.get_field_index("slot") if at is None else at
-            slots = permute(batch.column(at).to_numpy(zero_copy_only=False), n, key)
-            yield batch.set_column(at, "slot", pa.array(slots))
+def training_order(plan: Plan, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:
+    """(slot, shard, record, doc_id, seq_no, n_tokens, tokens), range-partitioned by whole shards and sorted by slot.
 
-    ordered = numbered.mapInArrow(place, numbered.schema)
-    return (
-        ordered.select("slot", F.expr(f"slot div {records_per_shard}").alias("shard"), (F.col("slot") % records_per_shard).alias("record"), "doc_id", "seq_no", "n_tokens", "tokens")
-        .repartitionByRange("slot")
-        .sortWithinPartitions("slot")
-    )
+    Slots are dense, so the ranges need no sample of the data: a partition has shards of RANGE_BYTES together, or more
+    where there would be over MOST_RANGES partitions."""
+    shards = max(1, -(-plan.n // records_per_shard))
+    together = max(1, RANGE_BYTES // (records_per_shard * plan.record.itemsize), -(-shards // MOST_RANGES))
+    shard = F.expr(f"slot div {records_per_shard}")
+    ordered = sequences(plan).repartitionById(-(-shards // together), (shard / together).cast("int")).sortWithinPartitions("slot")
+    return ordered.select("slot", shard.alias("shard"), (F.col("slot") % records_per_shard).alias("record"), "doc_id", "seq_no", "n_tokens", "tokens")
 
 
-def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, itemsize: int = 2) -> DataFrame:
-    """Writes training_order() rows as one file a shard under uri (a store that pyarrow.fs reaches from every
-    executor) and returns (shard, records, bytes). A file appears under its name only when it is whole."""
+def write_shards(plan: Plan, uri: str, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:
+    """Writes the sequences as one file a shard under uri (a store that pyarrow.fs reaches from every executor), by the
+    tasks of the range partitions, and returns (shard, records, bytes). A file gets its name when it is whole."""
     from pyarrow import fs
 
-    stride = struct.calcsize(HEADER) + length * itemsize
+    record = plan.record
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(uri)
@@ -159,22 +226,62 @@ def write_shards(ordered: DataFrame, uri: str, length: int = LENGTH, itemsize: i
             if out is not None:
                 out.close()
                 store.move(f"{root}/.{now:08d}.{attempt}", f"{root}/{now:08d}.bin")
-                done.append((now, count, count * stride))
+                done.append((now, count, count * record.itemsize))
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["shard"] != now:
+            shards = batch.column("shard").to_numpy()
+            records = np.zeros(batch.num_rows, record)
+            records["doc_id"] = batch.column("doc_id").fill_null(-1).to_numpy()
+            records["seq_no"], n = batch.column("seq_no").to_numpy(), batch.column("n_tokens").to_numpy()
+            records["n_tokens"] = n
+            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), record["tokens"].base)
+            records["tokens"][np.arange(record["tokens"].shape[0]) < n[:, None]] = tokens
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo < hi and shards[lo] != now:
                     close()
-                    now, count = row["shard"], 0
+                    now, count = int(shards[lo]), 0
                     out = store.open_output_stream(f"{root}/.{now:08d}.{attempt}")
-                head = struct.pack(HEADER, -1 if row["doc_id"] is None else row["doc_id"], row["seq_no"], row["n_tokens"])
-                out.write(head + row["tokens"].ljust(stride - struct.calcsize(HEADER), b"\0"))
-                count += 1
+                if lo < hi:
+                    out.write(records[lo:hi].tobytes())
+                    count += hi - lo
         close()
         yield pa.RecordBatch.from_pylist([{"shard": s, "records": c, "bytes": b} for s, c, b in done], schema=pa.schema([("shard", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    by_shard = ordered.repartition("shard").sortWithinPartitions("shard", "slot")
-    return materialize(by_shard.select("shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(write, "shard long, records long, bytes long"), "written")
+    rows = training_order(plan, records_per_shard).select("shard", "doc_id", "seq_no", "n_tokens", "tokens")
+    return materialize(rows.mapInArrow(write, "shard long, records long, bytes long"), "written")
+
+
+def records_of(plan: Plan, written: DataFrame, uri: str, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:
+    """(slot, shard, record, doc_id, seq_no, n_tokens, tokens_crc32), read from the files; the checksum is of the
+    record's token ids."""
+    from pyarrow import fs
+
+    record, together = plan.record, max(1, READ_BYTES // plan.record.itemsize)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for shard in batch.column("shard").to_pylist():
+                at = 0
+                with store.open_input_file(f"{root}/{shard:08d}.bin") as f:
+                    while data := f.read(together * record.itemsize):
+                        rows = np.frombuffer(data, record)
+                        width = record["tokens"].base.itemsize
+                        sums = [zlib.crc32(t[: n * width]) for t, n in zip(map(bytes, rows["tokens"]), rows["n_tokens"].tolist(), strict=True)]
+                        place = np.arange(at, at + len(rows))
+                        at += len(rows)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *[pa.array(x) for x in (shard * records_per_shard + place, np.full(len(rows), shard), place)],
+                                pa.array(rows["doc_id"], mask=rows["doc_id"] == -1),
+                                *[pa.array(np.ascontiguousarray(rows[c])) for c in ("seq_no", "n_tokens")],
+                                pa.array(sums, pa.int64()),
+                            ],
+                            names=["slot", "shard", "record", "doc_id", "seq_no", "n_tokens", "tokens_crc32"],
+                        )
+
+    return written.select("shard").mapInArrow(read, "slot long, shard long, record long, doc_id long, seq_no int, n_tokens int, tokens_crc32 long")
 
 
 def read_shards(uri: str, start: int, length: int = LENGTH, itemsize: int = 2, records_per_shard: int = RECORDS_PER_SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -182,13 +289,14 @@ def read_shards(uri: str, start: int, length: int = LENGTH, itemsize: int = 2, r
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
-    stride, slot = struct.calcsize(HEADER) + length * itemsize, start
+    record = np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("tokens", f"<u{itemsize}", length)])
+    slot = start
     while store.get_file_info(name := f"{root}/{slot // records_per_shard:08d}.bin").is_file:
         with store.open_input_file(name) as f:
-            f.seek(slot % records_per_shard * stride)
-            while record := f.read(stride):
-                doc_id, seq_no, n = struct.unpack_from(HEADER, record)
-                yield slot, doc_id, seq_no, np.frombuffer(record, f"<u{itemsize}", n, struct.calcsize(HEADER))
+            f.seek(slot % records_per_shard * record.itemsize)
+            while data := f.read(record.itemsize):
+                (row,) = np.frombuffer(data, record)
+                yield slot, int(row["doc_id"]), int(row["seq_no"]), row["tokens"][: row["n_tokens"]]
                 slot += 1
         if slot % records_per_shard:
             return

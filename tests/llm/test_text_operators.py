@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -24,12 +25,12 @@ def test_permutation(n):
 
 def test_shards_round_trip(spark, documents, tmp_path):
     ranks = training_order.read_vocabulary(spark, training_order.VOCABULARY)
-    ordered = training_order.training_order(documents, ranks, key=1, length=64, records_per_shard=100)
-    rows = ordered.collect()
+    plan = training_order.plan(documents, ranks, key=1, length=64)
+    rows = training_order.training_order(plan, records_per_shard=100).collect()
     assert [r["slot"] for r in rows] == list(range(len(rows)))
     assert all((r["shard"], r["record"]) == divmod(r["slot"], 100) for r in rows)
-    written = training_order.write_shards(ordered, f"file://{tmp_path}/shards", length=64).collect()
-    assert sum(r["records"] for r in written) == len(rows)
+    written = training_order.write_shards(plan, f"file://{tmp_path}/shards", records_per_shard=100)
+    assert sum(r["records"] for r in written.collect()) == len(rows)
     again = list(training_order.read_shards(f"file://{tmp_path}/shards", 0, length=64, records_per_shard=100))
     assert [(s, d, k, t.tobytes()) for s, d, k, t in again] == [(r["slot"], r["doc_id"], r["seq_no"], bytes(r["tokens"])) for r in rows]
     resumed = list(training_order.read_shards(f"file://{tmp_path}/shards", 137, length=64, records_per_shard=100))
@@ -43,15 +44,64 @@ def test_shards_round_trip(spark, documents, tmp_path):
         ids = [x for k in sorted(own) for x in own[k]]
         assert ids[-1] == len(ranks) and coder.decode(ids[:-1]) == text[d]
         assert ids[:-1] == coder.encode_ordinary(text[d])
+    # a document's sequences have neighbouring numbers before they are permuted
+    number = {int(s): i for i, s in enumerate(training_order.permute(np.arange(len(rows)), len(rows), key=1))}
+    numbers = {}
+    for r in rows:
+        numbers.setdefault(r["doc_id"], []).append(number[r["slot"]] - r["seq_no"])
+    assert all(len(set(x)) == 1 for x in numbers.values())
 
 
-def test_training_order_of_odd_rows(table, spark):
+def test_training_order_query(spark, sf, documents):
+    """The registered query, against the tokens of each document; the order doesn't depend on the files."""
+    got = queries.op1_training_order(spark, sf).collect()
+    ranks = training_order.read_vocabulary(spark, training_order.VOCABULARY)
+    coder = tiktoken.Encoding("t", pat_str=training_order.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = set()
+    for r in documents.collect():
+        ids = np.array([*coder.encode_ordinary(r["text"] or ""), len(ranks)], "<u2") if r["text"] else []
+        want |= {(r["doc_id"], k, len(ids[512 * k :][:512]), zlib.crc32(ids[512 * k :][:512].tobytes())) for k in range(-(-len(ids) // 512))}
+    assert {(r["doc_id"], r["seq_no"], r["n_tokens"], r["tokens_crc32"]) for r in got} == want and len(got) == len(want)
+    assert sorted(r["slot"] for r in got) == list(range(len(got)))
+    assert all((r["shard"], r["record"]) == divmod(r["slot"], training_order.RECORDS_PER_SHARD) for r in got)
+
+
+def test_training_order_is_free_of_the_layout(spark, documents, tmp_path):
+    ranks = training_order.read_vocabulary(spark, training_order.VOCABULARY)
+    slots = []
+    for files in (3, 6):
+        documents.repartition(files, "text").write.parquet(f"{tmp_path}/{files}")
+        plan = training_order.plan(spark.read.parquet(f"{tmp_path}/{files}"), ranks, key=8, length=128)
+        slots.append({(r["doc_id"], r["seq_no"]): r["slot"] for r in training_order.training_order(plan).select("doc_id", "seq_no", "slot").collect()})
+    assert slots[0] == slots[1]
+
+
+def test_training_order_plan_ranges(spark, documents):
+    """Tokens are shuffled once, by ranges of whole shards."""
+    from pyspark.sql import functions as F
+
+    plan = training_order.plan(documents, {bytes([i]): i for i in range(256)}, key=8, length=64)
+    ordered = training_order.training_order(plan, records_per_shard=2000)
+    text = ordered._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1
+    held = ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).orderBy("p").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(held, held[1:], strict=False))
+
+
+def test_training_order_of_odd_rows(table, spark, tmp_path):
     ranks = {bytes([i]): i for i in range(256)}
-    got = training_order.training_order(table(ODD), ranks, key=3).collect()
+    odd = table(ODD).withColumnsRenamed({"lang": "hash", "source": "slot", "n_chars": "part"})
+    plan = training_order.plan(odd, ranks, key=3)
+    got = training_order.training_order(plan).collect()
     assert {r["doc_id"] for r in got} == {None, 3, 4, 5, 6, 7, 8, 9}
     assert sum(r["n_tokens"] for r in got) == sum(len(t.encode()) + 1 for _, t in ODD if t)
-    assert training_order.training_order(table([]), ranks, key=3).count() == 0
-    assert queries.op1_training_order.__name__ in queries.QUERIES
+    uri = f"file://{tmp_path}/odd"
+    read = training_order.records_of(plan, training_order.write_shards(plan, uri), uri).collect()
+    assert sorted((r["slot"], r["doc_id"] or -1, zlib.crc32(r["tokens"])) for r in got) == sorted((r["slot"], r["doc_id"] or -1, r["tokens_crc32"]) for r in read)
+    empty = training_order.plan(table([]), ranks, key=3)
+    assert training_order.training_order(empty).count() == 0
+    uri = f"file://{tmp_path}/none"
+    assert training_order.records_of(empty, training_order.write_shards(empty, uri), uri).count() == 0
 
 
 def test_long_texts_are_cut_where_tokens_part(monkeypatch):
