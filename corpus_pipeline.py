@@ -13,15 +13,15 @@ from eventloom.llm import decontamination, language_id, mixing, near_dedup, shar
 from eventloom.llm.scratch import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_KNOWN = 0.3
 SHARDS = 40
 WEIGHTS = (1, 2, 3)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language (null, no letter) or with a score below LEAST_LANGUAGE_SCORE."""
+    """Drops texts without a language: null, without a letter, or with less than LEAST_KNOWN of their n-grams in any."""
     model = language_id.fit(docs)
-    return language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    return language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("known") >= LEAST_KNOWN)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
