@@ -3,24 +3,29 @@
 State tables: (key, value); (key, effective_time, value); (key_start, key_end, value), with or without effective_time;
 sessions (key, start, end). A lookup keeps every row of the left table and adds the value, or null.
 
-As-of lookups split time into buckets. Within a bucket the last state is found by a window over (key, bucket); what
-holds at a bucket's start comes from the last state of the buckets before, one row for each key and bucket. So a key
-with a third of all rows is spread over as many tasks as there are buckets.
+As-of lookups deal each key's rows and states out by buckets of the order (see buckets.py). States, rows and, for each
+key and bucket, the state that holds at the bucket's start are sorted together within (key, bucket), and a window
+carries the last state forward: the rows are shuffled once, and a key with a third of all rows is spread over as many
+tasks as there are buckets.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from .buckets import with_bucket
 
 
-def state_lookup(df: DataFrame, states: DataFrame, key: str, into: str = "value", state_key: str = "key", state_value: str = "value") -> DataFrame:
-    """The value of an exact key. If a key has several values the greatest is taken."""
-    one = states.groupBy(F.col(state_key).alias("_key")).agg(F.max(state_value).alias(into))
+def state_lookup(
+    df: DataFrame, states: DataFrame, key: str, into: str = "value", state_key: str = "key", state_value: str = "value", written: str | None = None
+) -> DataFrame:
+    """The value of an exact key. Of several values of a key the one written last counts, by the `written` column; the
+    greatest one if there is no such column."""
+    value = F.max(state_value) if written is None else F.max_by(state_value, F.struct(written, state_value))
+    one = states.groupBy(F.col(state_key).alias("_key")).agg(value.alias(into))
     return df.join(one, df[key] == one["_key"], "left").drop("_key")
 
 
@@ -34,40 +39,32 @@ def chained_lookup(df: DataFrame, maps: list[DataFrame], key: str, into: str = "
     return out.drop(*[f"_hop{i}" for i in range(len(maps) - 1)])
 
 
-def as_of(
-    df: DataFrame, states: DataFrame, keys: list[str], order: str, state_order: str, values: list[str], buckets: int = BUCKETS, prefix: str = ""
-) -> DataFrame:
+def as_of(df: DataFrame, states: DataFrame, keys: list[str], order: str, state_order: str, values: list[str], buckets: int | None = None) -> DataFrame:
     """For each row of df the values of the state of the same keys with the greatest state_order at or below order.
 
-    Of states equal in key and order the greatest values are taken. Rows with a null key or order find nothing."""
-    own = df.select("*", F.struct(*df.columns).alias("_row"))
-    carried = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    plain = states.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & F.col(state_order).isNotNull())
-    plain = plain.groupBy(*keys, F.col(state_order).alias("_o")).agg(F.max(carried).alias("_v"))
-    bounds = plain.agg(F.min("_o").cast("double"), F.max("_o").cast("double")).first()
-    low, high = (bounds[0], bounds[1]) if bounds[0] is not None else (0.0, 0.0)
-    width = max((high - low) / buckets, 1e-9)
-    bucket = F.greatest(F.lit(-1), F.least(F.lit(buckets), F.floor((F.col("_o").cast("double") - low) / width))).cast("int")
-    right = plain.withColumn("_b", bucket)
-    left = own.select(*keys, F.col(order).alias("_o"), "_row").withColumn("_b", bucket)
-
-    tails = right.groupBy(*keys, "_b").agg(F.max(F.struct("_o", "_v")).alias("_tail"))
-    asked = left.where(F.col("_o").isNotNull()).select(*keys, "_b").distinct().withColumn("_tail", F.lit(None).cast(tails.schema["_tail"].dataType))
-    both = tails.unionByName(asked).groupBy(*keys, "_b").agg(F.max("_tail").alias("_tail"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = both.select(*keys, "_b", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-
-    # states sort before rows of the same time
-    stream = right.select(*keys, "_b", "_o", F.lit(0).alias("_side"), "_v", F.lit(None).cast(left.schema["_row"].dataType).alias("_row")).unionByName(
-        left.select(*keys, "_b", "_o", F.lit(1).alias("_side"), F.lit(None).cast(right.schema["_v"].dataType).alias("_v"), "_row")
-    )
-    upto = Window.partitionBy(*keys, "_b").orderBy("_o", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    near = stream.withColumn("_near", F.last("_v", ignorenulls=True).over(upto)).where("_side = 1")
-    met = [near[k] == carry[k] for k in keys] + [near["_b"] == carry["_b"]]
-    joined = near.join(carry, met, "left").select(near["_row"], near["_near"], carry["_carry"], near["_o"], *[near[k].alias(f"_k{i}") for i, k in enumerate(keys)])
-    found = F.coalesce("_near", F.col("_carry._v"))
-    usable = F.col("_o").isNotNull() & reduce(lambda a, b: a & b, [F.col(f"_k{i}").isNotNull() for i in range(len(keys))])
-    return joined.select("_row.*", *[F.when(usable, found[f"v{i}"]).alias(prefix + v) for i, v in enumerate(values)])
+    Of states equal in key and order the greatest values are taken. Rows with a null key or order find nothing. Columns
+    of df whose names begin with `_as_of` are reserved. keys may be empty: all rows then share one history."""
+    held = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    right = states.where(known & F.col(state_order).isNotNull()).select(*keys, F.col(state_order).alias("_as_of"), held.alias("_as_of_v"))
+    left = df.withColumn("_as_of", F.col(order).cast(right.schema["_as_of"].dataType))
+    sources = [(left, "_as_of"), (right, "_as_of")]
+    left, right = (with_bucket(x, "_as_of", "_as_of_b", sources, buckets) for x in (left, right))
+    by = [*keys, "_as_of_b"]
+
+    # what holds at the start of each bucket that has rows or states: the last state of the buckets before
+    nothing = F.lit(None).cast(right.select(F.struct("_as_of", "_as_of_v")).schema[0].dataType)
+    ends = right.select(*by, F.struct("_as_of", "_as_of_v").alias("_as_of_e")).unionByName(left.where(known & F.col("_as_of").isNotNull()).select(*by, nothing.alias("_as_of_e")))
+    ends = ends.groupBy(*by).agg(F.max("_as_of_e").alias("_as_of_e"))
+    before = Window.partitionBy(*keys).orderBy("_as_of_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, F.last("_as_of_e", ignorenulls=True).over(before)["_as_of_v"].alias("_as_of_v")).where("_as_of_v is not null")
+
+    # carried states sort first, and states before rows of the same order
+    both = left.withColumn("_as_of_s", F.lit(2)).unionByName(right.withColumn("_as_of_s", F.lit(1)), allowMissingColumns=True).unionByName(carried.withColumn("_as_of_s", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(*by).orderBy(F.col("_as_of").asc_nulls_first(), "_as_of_s", "_as_of_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_as_of_f", F.last("_as_of_v", ignorenulls=True).over(upto)).where("_as_of_s = 2")
+    usable = known & F.col("_as_of").isNotNull()
+    return found.select(*df.columns, *[F.when(usable, F.col("_as_of_f")[f"v{i}"]).alias(v) for i, v in enumerate(values)])
 
 
 def temporal_lookup(df: DataFrame, states: DataFrame, key: str, time: str, into: str = "value", state_key: str = "key", effective: str = "effective_time", state_value: str = "value") -> DataFrame:
@@ -77,27 +74,26 @@ def temporal_lookup(df: DataFrame, states: DataFrame, key: str, time: str, into:
     return as_of(left, right, ["_lookup"], "_at", "_eff", [into]).drop("_lookup", "_at")
 
 
-def millis_micro(time: str):
+def millis_micro(time: str) -> Column:
     """Microseconds since 1970 of a time column."""
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(time).cast("timestamp_ntz"))
 
 
-def ranged_lookup(df: DataFrame, ranges: DataFrame, key: str, into: str = "value", start: str = "key_start", end: str = "key_end", state_value: str = "value", buckets: int = BUCKETS) -> DataFrame:
+def ranged_lookup(df: DataFrame, ranges: DataFrame, key: str, into: str = "value", start: str = "key_start", end: str = "key_end", state_value: str = "value", buckets: int | None = None) -> DataFrame:
     """The value of the range with the greatest start at or below the key, if the range reaches the key; an earlier
     range that encloses it is not tried. One as-of lookup over all rows, spread by buckets of the key."""
-    right = ranges.select(F.lit(0).alias("_all"), F.col(start).alias("_start"), F.struct(F.col(end).alias("end"), F.col(state_value).alias("value")).alias("_hit"))
-    left = df.withColumns({"_all": F.lit(0), "_at": F.col(key).cast("bigint")})
-    joined = as_of(left, right, ["_all"], "_at", "_start", ["_hit"], buckets)
-    return joined.withColumn(into, F.when(F.col("_hit.end") >= F.col("_at"), F.col("_hit.value"))).drop("_all", "_at", "_hit")
+    right = ranges.select(F.col(start).cast("bigint").alias("_start"), F.struct(F.col(end).alias("end"), F.col(state_value).alias("value")).alias("_hit"))
+    left = df.withColumn("_at", F.col(key).cast("bigint"))
+    joined = as_of(left, right, [], "_at", "_start", ["_hit"], buckets)
+    return joined.withColumn(into, F.when(F.col("_hit.end") >= F.col("_at"), F.col("_hit.value"))).drop("_at", "_hit")
 
 
 def temporal_ranged_lookup(df: DataFrame, ranges: DataFrame, key: str, time: str, into: str = "value", start: str = "key_start", end: str = "key_end", effective: str = "effective_time", state_value: str = "value") -> DataFrame:
     """The value of the range with the greatest start at or below the key, among those that reach it and are in force:
     of equal starts the latest effective time at or before the time."""
-    starts = ranges.select(F.lit(0).alias("_all"), F.col(start).cast("bigint").alias("_start")).distinct()
-    starts = starts.withColumn("_own", F.col("_start"))
-    left = df.withColumns({"_all": F.lit(0), "_at": F.col(key).cast("bigint"), "_time": millis_micro(time)})
-    nearest = as_of(left, starts, ["_all"], "_at", "_start", ["_own"]).drop("_all")
+    starts = ranges.select(F.col(start).cast("bigint").alias("_start"), F.col(start).cast("bigint").alias("_own"))
+    left = df.withColumns({"_at": F.col(key).cast("bigint"), "_time": millis_micro(time)})
+    nearest = as_of(left, starts.distinct(), [], "_at", "_start", ["_own"])
     hits = ranges.select(F.col(start).cast("bigint").alias("_own"), millis_micro(effective).alias("_eff"), F.struct(F.col(end).alias("end"), F.col(state_value).alias("value")).alias("_hit"))
     joined = as_of(nearest, hits, ["_own"], "_time", "_eff", ["_hit"])
     return joined.withColumn(into, F.when(F.col("_hit.end") >= F.col("_at"), F.col("_hit.value"))).drop("_own", "_at", "_time", "_hit")
@@ -124,11 +120,34 @@ def bitmap_lookup(df: DataFrame, states: DataFrame, number: str, keys: list[str]
 def reference_lookup(df: DataFrame, streams: DataFrame, entries: DataFrame, key: str, time: str, into: str = "value") -> DataFrame:
     """The value of a key in the reference stream that was effective at a time. streams: (feed-wide) stream_id and
     effective_time; entries: stream_id, key, value."""
-    effective = streams.withColumns({"key": F.lit("all"), "value": F.col("stream_id")})
-    placed = temporal_lookup(df.withColumn("_all", F.lit("all")), effective, "_all", time, "_stream").drop("_all")
-    pairs = entries.select(F.col("stream_id").alias("_stream"), F.col("key").alias("_key"), F.col("value").alias(into))
-    met = (placed["_stream"] == pairs["_stream"]) & (placed[key] == pairs["_key"])
-    return placed.join(pairs, met, "left").drop("_stream", "_key")
+    effective = streams.select(millis_micro("effective_time").alias("_eff"), F.col("stream_id").alias("_stream"))
+    placed = as_of(df.withColumn("_time", millis_micro(time)), effective, [], "_time", "_eff", ["_stream"]).drop("_time")
+    pairs = entries.select(F.col("stream_id").alias("_in"), F.col("key").alias("_key"), F.col("value").alias(into))
+    met = (placed["_stream"] == pairs["_in"]) & (placed[key] == pairs["_key"])
+    return placed.join(pairs, met, "left").drop("_stream", "_in", "_key")
+
+
+def mapped_lookup(df: DataFrame, streams: DataFrame, entries: DataFrame, maps: str, key: str, time: str, into: str = "value") -> DataFrame:
+    """lookup('map1/map2', key, time): the value of one map is the key of the next.
+
+    streams: stream_id, effective_time and map; entries: stream_id, map and value with a key, or with key_start and
+    key_end for ranges of whole numbers. In each map the stream that was effective at the time counts; an exact entry
+    goes before a range, and of the ranges the one with the greatest start at or below the key."""
+    out, at = df, key
+    names = maps.split("/")
+    for i, name in enumerate(names):
+        value = into if i == len(names) - 1 else f"_hop{i}"
+        own = streams.where(F.col("map") == name)
+        effective = own.select(millis_micro("effective_time").alias("_eff"), F.col("stream_id").alias("_stream"))
+        out = as_of(out.withColumn("_time", millis_micro(time)), effective, [], "_time", "_eff", ["_stream"]).drop("_time")
+        here = entries.where(F.col("map") == name)
+        exact = here.where("key is not null").groupBy(F.col("stream_id").alias("_in"), F.col("key").alias("_key")).agg(F.max("value").alias("_exact"))
+        out = out.join(exact, (out["_stream"] == exact["_in"]) & (out[at].cast("string") == exact["_key"]), "left").drop("_in", "_key")
+        ranges = here.where("key_start is not null").select(F.col("stream_id").alias("_stream"), F.col("key_start").alias("_start"), F.struct(F.col("key_end").alias("end"), "value").alias("_hit"))
+        out = as_of(out.withColumn("_at", F.col(at).try_cast("bigint")), ranges, ["_stream"], "_at", "_start", ["_hit"])
+        out = out.withColumn(value, F.coalesce("_exact", F.when(F.col("_hit.end") >= F.col("_at"), F.col("_hit.value")))).drop("_stream", "_exact", "_hit", "_at")
+        at = value
+    return out.drop(*[f"_hop{i}" for i in range(len(names) - 1)])
 
 
 def annotate(df: DataFrame, annotations: DataFrame, keys: tuple[str, str] = ("stream_id", "event_id")) -> DataFrame:

@@ -7,48 +7,24 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-BUCKETS = 64
-
-
-def time_bucket(df: DataFrame, time: str, buckets: int = BUCKETS) -> Column:
-    """Which of so many equal parts of the table's time span a row lies in, so that one key is spread over tasks."""
-    low, high = df.agg(F.min(_number(df, time)), F.max(_number(df, time))).first()
-    if low is None or high <= low:
-        return F.lit(0)
-    part = F.floor((_number(df, time) - F.lit(low)) / F.lit((high - low) / buckets))
-    return F.least(F.lit(buckets - 1), F.coalesce(part, F.lit(0))).cast("int")
-
-
-def _number(df: DataFrame, time: str) -> Column:
-    """A time, a number or the first field of a struct as a double."""
-    kind = df.schema[time].dataType
-    x = F.col(time)
-    if isinstance(kind, T.StructType):
-        x, kind = x[kind.fields[0].name], kind.fields[0].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        x = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), x.cast("timestamp_ntz"))
-    return x.cast("double")
 
+from .buckets import with_bucket
 
 def _merge_intervals(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    by_start = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    order = Window.partitionBy(*keys).orderBy("start")
+    order = Window.partitionBy(*keys).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1)).over(order)
-    marked = by_start.withColumn("_reach", reach).withColumn("_island", island)
+    marked = intervals.withColumn("_reach", reach).withColumn("_island", island)
     return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def merge_sessions(sessions: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", buckets: int = BUCKETS) -> DataFrame:
+def merge_sessions(sessions: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", buckets: int | None = None) -> DataFrame:
     """Overlapping or touching intervals of a key become one: (keys, start, end). Intervals without an end or a start
     are left out; reversed ones are turned round. Intervals are merged within buckets of the start first, so that a hot
     key leaves few of them for the merge over its whole time."""
     lo, hi = F.least(start, end), F.greatest(start, end)
     plain = sessions.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*keys, lo.alias("start"), hi.alias("end"))
-    near = _merge_intervals(plain.withColumn("_bucket", time_bucket(plain, "start", buckets)), [*keys, "_bucket"])
+    near = _merge_intervals(with_bucket(plain, "start", "_bucket", buckets=buckets), [*keys, "_bucket"])
     return _merge_intervals(near.drop("_bucket"), keys)
 
 
@@ -68,10 +44,10 @@ def latest(parts: Sequence[DataFrame], keys: Sequence[str], order: str, overwrit
     return both.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, "_r.*")
 
 
-def condense(states: DataFrame, keys: Sequence[str], time: str, value: str, before: Column | None = None, buckets: int = BUCKETS) -> DataFrame:
+def condense(states: DataFrame, keys: Sequence[str], time: str, value: str, before: Column | None = None, buckets: int | None = None) -> DataFrame:
     """Drops states that repeat the value before them; with `before`, only older ones. Rows are compared within buckets
     of the time; the first of a bucket is compared with the last value of the buckets before, one row a bucket."""
-    placed = states.withColumn("_bucket", time_bucket(states, time, buckets))
+    placed = with_bucket(states, time, "_bucket", buckets=buckets)
     ends = placed.groupBy(*keys, "_bucket").agg(F.max(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket")
     carry = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), F.lag("_end").over(earlier).alias("_carry"))
