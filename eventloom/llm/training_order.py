@@ -5,13 +5,11 @@ numbered 0..n-1 by a hash of doc_id and text and by their place in the document,
 and partitions. A keyed Feistel network over the next even power of two, walked along its cycle until it is below n,
 gives each number a slot: a permutation that needs no shuffle and no table.
 
-plan() tokenises once to count the sequences of each document, which takes a few bytes a document; write_shards()
-tokenises again and sends every sequence straight to the range partition of its slot, so tokens are shuffled once and
-never kept in between. Ranges are whole shards. Each task writes slots r*k..r*(k+1)-1 to file k as records of one
-stride, so slot s is at byte (s mod r) * stride of file s div r, and read_shards() starts at any slot with one seek.
-
-A task finds the numbers of its documents by partition and place in it, and fails if a document there is not the one
-that was counted.
+plan() tokenises into a table under the shared folder and numbers the documents, a few bytes each; the numbers are
+written by partition, and tasks that read the table look them up there, so that no join shuffles the tokens.
+write_shards() sends every sequence straight to the range partition of its slot: tokens are shuffled once. Ranges are
+whole shards. Each task writes slots r*k..r*(k+1)-1 to file k as records of one stride, so slot s is at byte
+(s mod r) * stride of file s div r, and read_shards() starts at any slot with one seek.
 
 Null and empty texts have no sequence. Null doc_ids stay null (-1 in the files). Repeated rows are separate documents
 (equal rows share out their numbers). An empty table gives no rows and no files. Other columns are ignored.
@@ -77,108 +75,103 @@ def _ids(coder, text: str) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    """doc_id, text and `hash`, which tells texts apart."""
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).where("text <> ''")
-
-
 @dataclass
 class Plan:
-    """Where the sequences go: n of them, and a Parquet table under `uri`, split by partition of the documents, of the
-    number of each document's first one."""
+    """n sequences in a table, and under `uri`, by partition, the number of each document's first one."""
 
-    docs: DataFrame
-    ranks: dict[bytes, int]
-    key: int
-    length: int
+    table: DataFrame
     n: int
     uri: str
+    key: int
+    length: int
+    vocabulary: int
 
     @property
     def record(self) -> np.dtype:
         """The layout of a record: token ids are uint16 up to 65,536 ids, uint32 beyond."""
-        return np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("tokens", "<u2" if len(self.ranks) < 65_536 else "<u4", self.length)])
+        return np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("tokens", _dtype(self.vocabulary), self.length)])
 
 
-def plan(docs: DataFrame, ranks: dict[bytes, int], key: int, length: int = LENGTH) -> Plan:
-    """Counts and numbers the sequences. docs must have the same partitions whenever it is read."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(ranks)
+def _dtype(vocabulary: int) -> str:
+    return "<u2" if vocabulary < 65_536 else "<u4"
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tokenised(docs: DataFrame, ranks: dict[bytes, int], length: int = LENGTH) -> DataFrame:
+    """(part, place, doc_id, hash, of, seq_no, n_tokens, tokens): the sequences of each document; part and place tell
+    documents apart, hash tells texts apart, of is the document's number of sequences."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    end_of_text, dtype = len(ranks), np.dtype(_dtype(len(ranks)))
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ["part", "place", "doc_id", "hash", "of", "seq_no", "n_tokens", "tokens"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         part, place = TaskContext.get().partitionId(), 0
+        stride = length * dtype.itemsize
+        rows: list[list] = [[] for _ in names]
+        size = 0
         for batch in batches:
-            n = [-(-(len(_ids(coder, text.as_py())) + 1) // length) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(place, place + len(n))), batch.column("doc_id"), batch.column("hash"), pa.array(n, pa.int64())],
-                names=["part", "place", "doc_id", "hash", "n"],
-            )
-            place += len(n)
-
-    counted = materialize(_source(docs).mapInArrow(count, "part int, place long, doc_id long, hash long, n long"), "counted")
+            for doc_id, hash_, text in zip(batch.column("doc_id").to_pylist(), batch.column("hash").to_pylist(), batch.column("text"), strict=True):
+                packed = np.append(_ids(coder, text.as_py()), end_of_text).astype(dtype).tobytes()
+                of = -(-len(packed) // stride)
+                for k in range(of):
+                    chunk = packed[k * stride : (k + 1) * stride]
+                    for column, value in zip(rows, (part, place, doc_id, hash_, of, k, len(chunk) // dtype.itemsize, chunk), strict=True):
+                        column.append(value)
+                place += 1
+                size += len(packed)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
+                    rows, size = [[] for _ in names], 0
+        if rows[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
+
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash")).where("text <> ''")
+    return source.mapInArrow(encode, "part int, place long, doc_id long, hash long, of int, seq_no int, n_tokens int, tokens binary")
+
+
+def plan(docs: DataFrame, ranks: dict[bytes, int], key: int, length: int = LENGTH) -> Plan:
+    """Tokenises the documents and numbers their sequences."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    table = materialize(tokenised(docs, ranks, length), "sequences")
+    counted = table.where("seq_no = 0").select("part", "place", "doc_id", "hash", F.col("of").cast("long").alias("n"))
     rows, n = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ordered = counted.withColumns({"order": shuffled("doc_id", "hash", seed=1), "all": F.lit(0)})
     numbered = running_total(ordered, ["all"], "order", ["doc_id", "hash", "part", "place"], "n", rows, "first")
     uri = shared_uri(spark, "numbers")
-    numbered.select("part", "place", "hash", "first").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
-    return Plan(docs, ranks, key, length, n, uri)
+    numbered.select("part", "place", "first").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
+    return Plan(table, n, uri, key, length, len(ranks))
 
 
-def _numbers(uri: str, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hash and the first number of each document of a partition, by place."""
+def _numbers(uri: str, part: int) -> np.ndarray:
+    """The first number of each document of a partition, by place."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(uri)
-    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    if not files:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    table = pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files]).sort_by("place")
-    return table["hash"].to_numpy(), table["first"].to_numpy()
+    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}")) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read(["place", "first"]) for x in files]).sort_by("place")["first"].to_numpy()
 
 
 def sequences(plan: Plan) -> DataFrame:
     """(slot, doc_id, seq_no, n_tokens, tokens): tokens as little-endian bytes."""
-    shared = plan.docs.sparkSession.sparkContext.broadcast(plan.ranks)
-    end_of_text, dtype, n, key, length, uri = len(plan.ranks), plan.record["tokens"].base, plan.n, plan.key, plan.length, plan.uri
+    n, key, uri = plan.n, plan.key, plan.uri
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value)
-        part, place, known = TaskContext.get().partitionId(), 0, None
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            if known is None:
-                known = _numbers(uri, part)
-            hashes = batch.column("hash").to_numpy()
-            if not np.array_equal(known[0][place : place + len(hashes)], hashes):
-                raise RuntimeError(f"partition {part} has other documents than when its sequences were counted")
-            firsts = known[1][place : place + len(hashes)]
-            place += len(hashes)
-            rows: list[list] = [[], [], [], [], []]
-            size = 0
-            for doc_id, text, first in zip(batch.column("doc_id").to_pylist(), batch.column("text"), firsts.tolist(), strict=True):
-                packed = np.append(_ids(coder, text.as_py()), end_of_text).astype(dtype).tobytes()
-                stride = length * dtype.itemsize
-                for k, at in enumerate(range(0, len(packed), stride)):
-                    chunk = packed[at : at + stride]
-                    for column, value in zip(rows, (first + k, doc_id, k, len(chunk) // dtype.itemsize, chunk), strict=True):
-                        column.append(value)
-                size += len(packed)
-                if size > 4 << 20:
-                    yield placed(rows)
-                    rows, size = [[], [], [], [], []], 0
-            if rows[0]:
-                yield placed(rows)
-
-    def placed(rows: list[list]) -> pa.RecordBatch:
-        slots = permute(np.array(rows[0], np.int64), n, key)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(slots), *[pa.array(x, t) for x, t in zip(rows[1:], (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]], names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"]
-        )
-
-    return _source(plan.docs).mapInArrow(encode, "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
+            part, place, seq_no = (batch.column(c).to_numpy() for c in ("part", "place", "seq_no"))
+            numbers = np.empty(len(part), np.int64)
+            here = np.unique(part).tolist()
+            known = {p: known[p] if p in known else _numbers(uri, p) for p in here}  # those of this batch alone
+            for p in here:
+                mine = part == p
+                numbers[mine] = known[p][place[mine]] + seq_no[mine]
+            yield pa.RecordBatch.from_arrays([pa.array(permute(numbers, n, key)), *[batch.column(c) for c in ("doc_id", "seq_no", "n_tokens", "tokens")]], names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+
+    return plan.table.select("part", "place", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(placed, "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
 
 
 def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
