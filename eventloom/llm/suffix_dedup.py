@@ -129,7 +129,7 @@ def _grams(keyed: DataFrame) -> DataFrame:
 
 
 def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(gram, c1, c2, row, doc, s, e): runs whose gram may occur twice; s and e are its windows' first and last start."""
+    """(gram, c1, c2, row, doc, s, e): runs (doc and row tell documents apart) whose gram may occur twice; s and e are its windows' first and last start."""
     shared = keyed.sparkSession.sparkContext.broadcast(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +151,13 @@ def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 def _segments(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted runs (gram, hot, row, doc, s, e): those columns and `bytes`."""
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("gram", "hot", "s", "e")).alias("runs"))  # of one document
-    texts = sieve.keep_possible(keyed, "row", sieve.build(by_row, ["row"])).dropDuplicates(["row"])
+    by_row = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "hot", "s", "e")).alias("runs"))  # of one document
+    texts = sieve.keep_possible(keyed, "row", sieve.build(by_row, ["row"])).dropDuplicates(["doc", "row"])
     cut = F.struct(
         F.col("x.gram").alias("gram"), F.col("x.hot").alias("hot"), "row", "doc", F.col("x.s").alias("s"), F.col("x.e").alias("e"),
         F.substring(F.col("text").cast("binary"), (F.col("x.s") + 1).cast("int"), (F.col("x.e") - F.col("x.s") + LENGTH).cast("int")).alias("bytes"),
     )
-    return texts.join(by_row, "row").select("row", "doc", "text", F.explode("runs").alias("x")).select(cut.alias("y")).select("y.*")
+    return texts.join(by_row, ["doc", "row"]).select("row", "doc", "text", F.explode("runs").alias("x")).select(cut.alias("y")).select("y.*")
 
 
 def _words_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -206,7 +206,7 @@ def repeated_windows(data: np.ndarray, first: np.ndarray, last: np.ndarray, orde
 
 
 def _sorted_ranges(segments: DataFrame) -> DataFrame:
-    """(row, s, e): repeated windows among the segments, which hold the earliest of each kind; partitioned by gram."""
+    """(doc, row, s, e): repeated windows among the segments, which hold the earliest of each kind; partitioned by gram."""
 
     def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -220,7 +220,7 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
         order = np.empty(len(run), np.int64)
         order[np.lexsort((start, row[run], doc[run]))] = np.arange(len(run))
         hit = repeated_windows(data, ends - lengths, ends - LENGTH, order)
-        return _as_ranges(row[run][hit], start[hit], run[hit])
+        return _as_ranges(doc[run][hit], row[run][hit], start[hit], run[hit])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -237,16 +237,16 @@ def _sorted_ranges(segments: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return segments.repartition("gram").sortWithinPartitions("gram").select("gram", "row", "doc", "s", "e", "bytes").mapInArrow(sort, "row long, s long, e long")
+    return segments.repartition("gram").sortWithinPartitions("gram").select("gram", "row", "doc", "s", "e", "bytes").mapInArrow(sort, "doc long, row long, s long, e long")
 
 
-def _as_ranges(row: np.ndarray, start: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+def _as_ranges(doc: np.ndarray, row: np.ndarray, start: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
     """Neighbouring windows of one run as one range."""
     new = np.ones(len(start), bool)
     new[1:] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)
     begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(start))[: len(begins)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(row[begins]), pa.array(start[begins]), pa.array(start[ends])], names=["row", "s", "e"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[begins]), pa.array(row[begins]), pa.array(start[begins]), pa.array(start[ends])], names=["doc", "row", "s", "e"])
 
 
 def _hot_ranges(segments: DataFrame) -> DataFrame:
@@ -265,18 +265,19 @@ def _hot_ranges(segments: DataFrame) -> DataFrame:
 
     each = materialize(segments.mapInArrow(spread, "w1 long, w2 long, doc long, row long, s long"), "windows")
     first = each.groupBy("w1", "w2").agg(F.min(F.struct("doc", "row", "s")).alias("first"))
-    later = each.join(first, ["w1", "w2"]).where((F.col("row") != F.col("first.row")) | (F.col("s") != F.col("first.s")))
-    return later.select("row", "s", F.col("s").alias("e"))
+    other = (F.col("doc") != F.col("first.doc")) | (F.col("row") != F.col("first.row")) | (F.col("s") != F.col("first.s"))
+    return each.join(first, ["w1", "w2"]).where(other).select("doc", "row", "s", F.col("s").alias("e"))
 
 
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(row, s, e): windows that start at s to e of the document `row` (xxhash64 of doc_id and text) also start earlier."""
+    """(doc, row, s, e): windows that start at s to e of a document also start earlier. Documents are told apart by their
+    doc_id and a hash of it and the text."""
     keyed = _keyed(docs).where(F.octet_length("text") >= LENGTH)
     twice = _grams(keyed).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     runs = materialize(_run_rows(keyed, sieve.build(twice, ["gram"], SIEVE_BITS)), "runs")
     first = materialize(runs.groupBy("gram", "c1", "c2").agg(F.min(F.struct("doc", "row", "s", "e")).alias("first"), F.count("*").alias("n")), "contexts")
-    copied = first.where("n > 1").select("gram", "c1", "c2", F.col("first.row").alias("_row"), F.col("first.s").alias("_s"))
-    equal = runs.join(copied, ["gram", "c1", "c2"]).where((F.col("row") != F.col("_row")) | (F.col("s") != F.col("_s"))).select("row", "s", "e")
+    copied = first.where("n > 1").select("gram", "c1", "c2", F.col("first.doc").alias("_doc"), F.col("first.row").alias("_row"), F.col("first.s").alias("_s"))
+    equal = runs.join(copied, ["gram", "c1", "c2"]).where((F.col("doc") != F.col("_doc")) | (F.col("row") != F.col("_row")) | (F.col("s") != F.col("_s"))).select("doc", "row", "s", "e")
     several = first.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
     wanted = first.join(several, "gram").select("gram", (F.col("contexts") > hot).alias("hot"), "first.*")
     segments = materialize(_segments(keyed, wanted), "segments")
@@ -308,9 +309,9 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     null where nothing goes) for each row of docs."""
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ranges = repeated_ranges(docs, hot).groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))  # of one document
+    ranges = repeated_ranges(docs, hot).groupBy("doc", "row").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))  # of one document
     ranges = materialize(ranges, "ranges")
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "row": F.xxhash64("doc_id", "text")})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,9 +325,9 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     schema = f"doc_id long, {DIGEST}, spans array<struct<from: long, to: long>>, kept binary"
     may = sieve.build(ranges, ["row"])
-    touched = sieve.keep_possible(keyed, "row", may).join(ranges, "row").select(F.col("doc_id").cast("long"), "text", "ranges").mapInArrow(cut, schema)
-    rest = keyed.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    untouched = rest.join(ranges.select("row"), "row", "left_anti").select(
+    touched = sieve.keep_possible(keyed, "row", may).join(ranges, ["doc", "row"]).select(F.col("doc_id").cast("long"), "text", "ranges").mapInArrow(cut, schema)
+    rest = keyed.select("doc", "row", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    untouched = rest.join(ranges.select("doc", "row"), ["doc", "row"], "left_anti").select(
         "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("array<struct<from: long, to: long>>").alias("spans"), F.lit(None).cast("binary").alias("kept")
     )
     return touched.unionByName(untouched)
