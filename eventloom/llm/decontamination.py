@@ -10,8 +10,8 @@ a copy; for another filling those in windows of templates, but half of the item'
 
 A fixed-size filter of the item windows spares the join the windows that no item has. Null and empty texts match
 nothing. Items of fewer words than WINDOW are matched by one window of their length. Rows are told apart by doc_id and
-text, so repeated rows get the same result and a null doc_id is allowed. Repeated or null item_ids count by text.
-Empty tables give no match. Other columns of docs pass through decontaminate(); names that start with `_` are reserved.
+a hash of it and the text, so repeated rows get the same result and a null doc_id is allowed. Repeated or null item_ids count by text.
+Empty tables give no match. Other columns of docs pass through decontaminate(), whatever their names.
 """
 
 from __future__ import annotations
@@ -86,13 +86,14 @@ def _templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _window_rows(docs: DataFrame, key: str, sizes: list[int], filters: dict[int, np.ndarray] | None, whole_if_short: bool) -> DataFrame:
-    """(key, size, window, pos, n_words, n_open, slots), n_open words being in a window of its template, for the windows of each text that may be wanted."""
+    """(doc, key, size, window, pos, n_words, n_open, slots), doc a column of docs, n_open words being in a window of its template, for the windows of each text that may be wanted."""
     shared = docs.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value if shared is not None else None
         for batch in batches:
             keys = batch.column(key).to_numpy(zero_copy_only=False)
+            ids = batch.column("doc")
             for block in blocks(batch.column("text")):
                 template, own, first = _templates(block)
                 literal = ~np.isin(template, [_NUMBER, _NAME, _UNIT])
@@ -120,6 +121,7 @@ def _window_rows(docs: DataFrame, key: str, sizes: list[int], filters: dict[int,
                         slots = [own[p : p + size][~literal[p : p + size]].view(np.int64).tolist() if filled else [] for p in at]
                         yield pa.RecordBatch.from_arrays(
                             [
+                                ids.take(pa.array(block.first + owner[at])),
                                 pa.array(keys[block.first + owner[at]]),
                                 pa.array(np.full(len(at), size, np.int32)),
                                 pa.array(hashes[at].view(np.int64)),
@@ -128,27 +130,27 @@ def _window_rows(docs: DataFrame, key: str, sizes: list[int], filters: dict[int,
                                 pa.array(n_open[owner[at]].astype(np.int32)),
                                 pa.array(slots, pa.list_(pa.int64())),
                             ],
-                            names=["key", "size", "window", "pos", "n_words", "n_open", "slots"],
+                            names=["doc", "key", "size", "window", "pos", "n_words", "n_open", "slots"],
                         )
 
-    schema = "key long, size int, window long, pos int, n_words int, n_open int, slots array<long>"
-    return docs.select(key, F.col("text").cast("string")).mapInArrow(cut, schema)
+    schema = "doc long, key long, size int, window long, pos int, n_words int, n_open int, slots array<long>"
+    return docs.select("doc", key, F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
-    """One row a document and item found: row_key (xxhash64 of doc_id and text), item_key (of item_id and text),
+    """One row a document and item found: doc (its doc_id), row_key (xxhash64 of doc_id and text), item_key (of item_id and text),
     covered (share of the item's words) and reparameterised (some slot differs)."""
-    keyed_items = benchmark.where("text is not null").select(F.xxhash64("item_id", "text").alias("item_key"), "text")
+    keyed_items = benchmark.where("text is not null").select(F.lit(0).cast("long").alias("doc"), F.xxhash64("item_id", "text").alias("item_key"), "text")
     sizes = list(range(1, WINDOW + 1))
     items = materialize(_window_rows(keyed_items, "item_key", sizes, None, whole_if_short=True).distinct(), "items")
     used = sorted(r["size"] for r in items.select("size").distinct().collect())
     filters = {size: sieve.build(items.where(F.col("size") == size), ["window"], 22) for size in used}
-    keyed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
     found = _window_rows(keyed, "row_key", used, filters, whole_if_short=False)
     right = items.select("size", "window", F.col("key").alias("item_key"), F.col("pos").alias("item_pos"), F.col("n_words").alias("item_words"), F.col("n_open").alias("item_open"), F.col("slots").alias("item_slots"))
     matched = found.join(right, ["size", "window"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
     fills = F.arrays_zip("item_slots", "slots")
-    runs = matched.groupBy(F.col("key").alias("row_key"), "item_key", "item_words", "item_open", "offset").agg(
+    runs = matched.groupBy("doc", F.col("key").alias("row_key"), "item_key", "item_words", "item_open", "offset").agg(
         F.array_distinct(F.flatten(F.collect_set(fills))).alias("fills"),
         F.collect_set(F.struct("item_pos", "size")).alias("at"),
     )
@@ -159,7 +161,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least_covered: float = LEA
     can_match = F.when(changed, F.greatest("item_open", F.col("item_words") / 2)).otherwise(F.col("item_words"))
     return (
         runs.where(one_to_one)
-        .groupBy("row_key", "item_key", "item_words", "item_open")
+        .groupBy("doc", "row_key", "item_key", "item_words", "item_open")
         .agg(F.least(F.lit(1.0), words_hit / can_match).alias("covered"), changed.alias("reparameterised"))
         .where(F.col("covered") >= least_covered)
         .drop("item_words", "item_open")
@@ -173,11 +175,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_covered: float =
     hits = (
         find_items(docs, benchmark, least_covered)
         .join(names, "item_key")
-        .groupBy("row_key")
+        .groupBy("doc", "row_key")
         .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.count_distinct("item_key").alias("n_items"), F.max("covered").alias("covered"), F.max("reparameterised").alias("reparameterised"))
     )
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"))
-    return rows.join(hits, "row_key", "left").select(
+    hits = hits.withColumnRenamed("row_key", "hit_key")
+    rows = docs.select("doc_id", F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("row_key"))
+    return rows.join(hits, (F.col("row_key") == F.col("hit_key")) & F.col("id").eqNullSafe(F.col("doc")), "left").select(
         "doc_id",
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -189,5 +192,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least_covered: float =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_covered: float = LEAST_COVERED) -> DataFrame:
     """docs without the rows in which an item is found; all columns stay."""
-    found = find_items(docs, benchmark, least_covered).select(F.col("row_key").alias("_found")).distinct()
-    return docs.join(found, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_found"), "left_anti")
+    found = find_items(docs, benchmark, least_covered).select("doc", "row_key").distinct()
+    same = (F.xxhash64(docs["doc_id"], docs["text"]) == found["row_key"]) & docs["doc_id"].cast("long").eqNullSafe(found["doc"])
+    return docs.join(found, same, "left_anti")
