@@ -7,6 +7,9 @@ bin that holds the cut. All nodes of a level are cut in the same passes. Ties in
 CRC-32 of the text, so equal texts stay together, and then by a hash of the doc_id: a group of equal texts is cut only
 if it holds more than TOLERANCE of a leaf's target, else the cut moves to its nearer end.
 
+A cut lies within half of the row or group at it, or of TOLERANCE of a target, from its place. So a leaf's bytes are
+within ceil(log2(shards)) * max(largest row, TOLERANCE * target) of the target; the nearer, the smaller the rows are.
+
 Null and empty texts count 16 bytes. Null metadata sorts before all other values. Repeated rows are never parted by a
 cut. An empty table gives no rows. Columns with other names are ignored by assign() and pass through shard().
 """
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import running_total, shuffled
-from .scratch import materialize
+from .scratch import materialize, quoted
 
 ROW_BYTES = 16
 BINS = 4096
@@ -40,15 +43,14 @@ class Node:
 
 
 def default_dimensions() -> list[Column]:
-    """Size by magnitude, language and source by hash, and the text's CRC-32 (which keeps copies of a text together): all
+    """Size by magnitude, and language and source by the order of their names (of their first six bytes; null first): all
     as doubles."""
-    place = lambda c: F.when(c.isNull(), -1.0).otherwise(F.xxhash64(c).bitwiseAND(0xFFFFF).cast("double"))
-    return [
-        F.log2(F.col("size").cast("double")),
-        place(F.col("lang")),
-        place(F.col("source")),
-        F.col("text_crc32").cast("double"),
-    ]
+
+    def place(name: str) -> Column:
+        first = F.rpad(F.hex(F.substring(F.encode(F.col(name).cast("string"), "UTF-8"), 1, 6)), 12, "0")
+        return F.when(F.col(name).isNull(), -1.0).otherwise(F.conv(first, 16, 10).cast("double"))
+
+    return [F.log2(F.col("size").cast("double")), place("lang"), place("source")]
 
 
 def describe(docs: DataFrame, dimensions: list[Column] | None = None) -> DataFrame:
@@ -98,9 +100,8 @@ def _narrow(rows: DataFrame, low: list[int], high: list[int], wanted: list[float
     before, inside, done = [0.0] * len(low), [float("inf")] * len(low), [False] * len(low)
     while not all(done):
         width = [max(1, -(-(h - lo + 1) // BINS)) for lo, h in zip(low, high, strict=True)]
-        table = F.broadcast(rows.sparkSession.createDataFrame([(i, low[i], high[i], width[i]) for i in range(len(low)) if not done[i]], "node int, low long, high long, width long"))
         sums = (
-            rows.join(table, "node")
+            rows.select("node", "size", "value", _of_node(low, done).alias("low"), _of_node(high, done).alias("high"), _of_node(width, done).alias("width"))
             .where("value between low and high")
             .groupBy("node", F.expr("(value - low) div width").alias("bin"))
             .agg(F.sum("size").alias("bytes"))
@@ -124,6 +125,11 @@ def _narrow(rows: DataFrame, low: list[int], high: list[int], wanted: list[float
     return low, high, before, inside
 
 
+def _of_node(values: list[int], hidden: list[bool]) -> Column:
+    """The value of a row's node; null for hidden nodes."""
+    return F.get(F.array(*[F.lit(None if h else v).cast("long") for v, h in zip(values, hidden, strict=True)]), F.col("node"))
+
+
 def grow(described: DataFrame, shards: int) -> Node:
     """The k-d tree of so many leaves."""
     n_dims = len(described.first()["keys"])
@@ -154,7 +160,7 @@ def grow(described: DataFrame, shards: int) -> Node:
             ceiling.append((r[f"h{node.dim}"] << 32) + (1 << 32) - 1 if r else 0)
             wanted.append((r["bytes"] if r else 0) * (node.leaves // 2) / node.leaves)
         slack = max(1.0, total / shards * TOLERANCE / 20)
-        rows = at.select("node", "size", "tie", F.element_at("keys", F.element_at(F.array(*[F.lit(x.dim + 1) for x in opened]), F.col("node") + 1)).alias("value"))
+        rows = at.select("node", "size", "tie", F.get("keys", F.get(F.array(*[F.lit(x.dim) for x in opened]), F.col("node"))).alias("value"))
         low, high, before, inside = _narrow(rows, floor, ceiling, wanted, slack)
         split = []
         for i, node in enumerate(opened):
@@ -163,8 +169,10 @@ def grow(described: DataFrame, shards: int) -> Node:
             nearer_end = before[i] + inside[i] / 2 < wanted[i]
             node.cut, node.tie_cut = (high[i] + 1, 0) if nearer_end else (low[i], 0)
         if split:
-            table = F.broadcast(rows.sparkSession.createDataFrame([(i, low[i], k) for k, i in enumerate(split)], "node int, only long, k int"))
-            group = rows.join(table, "node").where("value = only").select(F.col("k").alias("node"), "size", F.col("tie").alias("value"))
+            whole_node = [i not in split for i in range(len(low))]
+            at_cut = rows.where(F.col("value") == _of_node(low, whole_node))
+            order = [split.index(i) if i in split else 0 for i in range(len(low))]
+            group = at_cut.select(_of_node(order, whole_node).cast("int").alias("node"), "size", F.col("tie").alias("value"))
             lo, hi, pre, own = _narrow(group, [0] * len(split), [_SPAN] * len(split), [wanted[i] - before[i] for i in split], slack)
             for k, i in enumerate(split):
                 opened[i].cut = low[i]
@@ -191,11 +199,12 @@ def assign(docs: DataFrame, shards: int, dimensions: list[Column] | None = None)
 def shard(docs: DataFrame, shards: int, dimensions: list[Column] | None = None) -> DataFrame:
     """docs with shard and slot added; all columns stay (a shard or slot of docs is replaced). Rows of one row_key fall
     to one shard and share out its slots by number."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     placed = materialize(assign(docs, shards, dimensions).select(F.col("row_key").alias("_key"), "shard", "slot"), "placed")
     numbered = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(by)))
-    own = numbered(docs.select(*kept, row_key(docs).alias("_key")), F.xxhash64(*kept))
-    return own.join(numbered(placed, "slot"), ["_key", "_n"]).select(*kept, "shard", "slot")
+    # the row is one struct, so that its names meet no others
+    own = numbered(docs.select(F.struct(*map(quoted, kept)).alias("row"), row_key(docs).alias("_key")), F.xxhash64("row"))
+    return own.join(numbered(placed, "slot"), ["_key", "_n"]).select("row.*", "shard", "slot")
 
 
 def shards_for(docs: DataFrame, target_bytes: int) -> int:

@@ -63,7 +63,7 @@ def test_mix_with_caps_nulls_and_empty_sources(table):
 
 def test_mix_is_ordered_and_whole(table):
     rows = [(i, "w " * (1 + i % 5), None, "ab"[i % 2]) for i in range(60)] + [(0, "w ", None, "a")]
-    out = mixing.mix(table(rows).withColumnRenamed("n_chars", "draw")).collect()
+    out = mixing.mix(table(rows).withColumnsRenamed({"n_chars": "draw", "lang": "row"}).selectExpr("*", "1 AS id", "2 AS hash", "3 AS _id")).collect()
     finish = [r["virtual_finish"] for r in out]
     assert finish == sorted(finish)
     drawn = [(r["doc_id"], r["draw"]) for r in out]
@@ -71,6 +71,28 @@ def test_mix_is_ordered_and_whole(table):
     assert all(r["taken_words"] == len(WORD.findall(r["text"])) for r in out)
 
 
+def test_the_queue_decides_the_mix(spark, table):
+    """Packets are range-partitioned by finish time, and what is served is what a word-by-word queue serves."""
+    import heapq
+
+    rows = [(i, "w " * (1 + i * 37 % 400), None, "abcd"[i % 4 if i % 3 else 0]) for i in range(90)]
+    packets = spark.createDataFrame([("ka", 0, 5, 9.0, 0.5)], "source_key string, start long, words long, target double, finish double")
+    assert "rangepartitioning(finish" in mixing._queued(packets)._jdf.queryExecution().toString()
+    plan = mixing.schedule(table(rows)).collect()
+    target = {r["source_key"]: r["target"] for r in plan}
+    budget = sum(int(x) for x in target.values())
+    queue, served = [(1 / t, k, 1) for k, t in target.items() if t], dict.fromkeys(target, 0)
+    heapq.heapify(queue)
+    for _ in range(budget):
+        _, k, n = heapq.heappop(queue)
+        served[k] = n
+        heapq.heappush(queue, ((n + 1) / target[k], k, n + 1))
+    taken = dict.fromkeys(target, 0)
+    for r in plan:
+        taken[r["source_key"]] += sum(d["taken_words"] for d in r["draws"])
+    assert taken == served
+
+
 def test_running_total(spark):
     from pyspark.sql import functions as F
 
@@ -96,10 +118,60 @@ def check_shards(got, rows, shards):
 
 
 def test_shards_of_documents(spark, sf, documents):
+    """The registered query: 40 shards within the bound that the operator states, of real metadata dimensions."""
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     got = queries.op10_kd_shards(spark, sf).collect()
-    check_shards(got, rows, 40)
+    sizes = check_shards(got, rows, 40)
     assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    target = sum(r["size"] for r in got) / 40
+    bound = 6 * max(max(r["size"] for r in got), sharding.TOLERANCE * target)
+    assert all(abs(sizes.get(k, 0) - target) <= bound for k in range(40))
+
+
+def plain_kd(rows, shards):
+    """By hand, with the operator's keys: rows of (keys, tie, size); each node is cut by sorting."""
+    spans = [max(r[0][d] >> 32 for r in rows) for d in range(len(rows[0][0]))]
+    total = sum(r[2] for r in rows)
+
+    def split(own, leaves, first):
+        if leaves == 1:
+            return [(first, r) for r in own]
+        widths = [(max(x) - min(x)) / max(1, s) for x, s in zip(([r[0][d] >> 32 for r in own] for d in range(len(spans))), spans, strict=True)]
+        dim = max(range(len(spans)), key=lambda d: (widths[d], -d))
+        wanted = sum(r[2] for r in own) * (leaves // 2) / leaves
+        order = sorted(own, key=lambda r: (r[0][dim], r[1]))
+        before, at = 0, 0
+        while at < len(order):
+            end = at
+            while end < len(order) and order[end][0][dim] == order[at][0][dim]:
+                end += 1
+            inside = sum(r[2] for r in order[at:end])
+            if before + inside >= wanted or end == len(order):
+                if inside > total / shards * sharding.TOLERANCE and end - at > 1:
+                    while at < end and before + order[at][2] < wanted:
+                        before, at = before + order[at][2], at + 1
+                    inside, end = order[at][2] if at < end else 0, at + 1
+                cut = end if before + inside / 2 < wanted else at
+                break
+            before, at = before + inside, end
+        half = leaves // 2
+        return split(order[:cut], half, first) + split(order[cut:], leaves - half, first + half)
+
+    return split(rows, shards, 0)
+
+
+def test_shards_equal_sorted_cuts(table):
+    """Histogram cuts put the same bytes into each shard as cuts of sorted lists, but for rows at the cuts."""
+    rows = [(i, f"w{i} " * (3 + i * 7 % 31), ["en", "de", None][i % 3], f"s{i % 5}") for i in range(600)]
+    described = sharding.describe(table(rows), None).collect()
+    plain = {}
+    for k, r in plain_kd([(tuple(r["keys"]), r["tie"], r["size"]) for r in described], 8):
+        plain[k] = plain.get(k, 0) + r[2]
+    sizes = {}
+    for r in sharding.assign(table(rows), 8).collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    largest = max(r["size"] for r in described)
+    assert sum(sizes.values()) == sum(plain.values()) and all(abs(sizes[k] - plain[k]) <= 3 * largest for k in range(8))
 
 
 def test_shards_are_near_equal_and_keep_small_groups(table):
@@ -119,8 +191,8 @@ def test_shards_are_near_equal_and_keep_small_groups(table):
 def test_shard_keeps_rows_and_columns(table):
     rows = [(r[0], r[1], None, None) for r in ODD]
     df = table(rows)
-    out = sharding.shard(df.selectExpr("*", "7 AS slot", "doc_id AS size"), 3)
-    assert sorted(out.columns) == sorted([*df.columns, "size", "shard", "slot"])
+    out = sharding.shard(df.selectExpr("*", "7 AS slot", "doc_id AS size", "1 AS _key", "2 AS _n", "3 AS row"), 3)
+    assert sorted(out.columns) == sorted([*df.columns, "size", "shard", "slot", "_key", "_n", "row"])
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == sorted((r[0] or -1, r[1] or "") for r in rows)
     assert sharding.shard(table([]), 3).count() == 0 and sharding.assign(table([]), 3).count() == 0
     assert sharding.shards_for(table([(1, "x" * 984)]), 100) == 10
