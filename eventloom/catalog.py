@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import event_queries, function_queries, lookup_queries
+from .plans import condition_queries, event_queries, function_queries, ingest_queries, lookup_queries
 from .plans.register import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "event_queries", "function_queries", "lookup_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "condition_queries", "event_queries", "function_queries", "ingest_queries", "lookup_queries"]

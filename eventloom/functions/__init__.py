@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from . import aggregates, dates, scalar
+from . import aggregates, dates, scalar, states
 
 #: Builders by the language's names and aliases, in lower case. `of_row` forms take several arguments of one row.
 FUNCTIONS: dict[str, Callable] = {
@@ -70,6 +70,7 @@ FUNCTIONS: dict[str, Callable] = {
     **dict.fromkeys(("currentuser", "currentuserdisplayname", "currentuserfullname", "currentusersubjectid", "currentuseruuid"), scalar.current_user),
     "param": scalar.param,
     "params": scalar.params,
+    "getstate": states.get_state,
     # selection
     "any": aggregates.any_value,
     "bottom": aggregates.bottom,

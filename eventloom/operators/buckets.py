@@ -6,8 +6,6 @@ and where rows lie decides, not how far apart the ends are.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,12 +25,10 @@ def number(kind: T.DataType, x: Column) -> Column:
     return x.cast("double")
 
 
-def with_bucket(df: DataFrame, order: str, into: str, sources: list[tuple[DataFrame, str]] | None = None, buckets: int | None = None) -> DataFrame:
-    """df with the bucket of each row, from 0; sources: the (table, order column) pairs whose rows shall be dealt evenly
-    (df's own, if none are given). A null order falls to bucket 0."""
+def with_bucket(df: DataFrame, order: str, into: str, buckets: int | None = None) -> DataFrame:
+    """df with the bucket of each row, from 0. A null order falls to bucket 0."""
     n = buckets or wanted(df)
-    orders = [s.select(number(s.schema[c].dataType, F.col(c)).alias("x")) for s, c in sources or [(df, order)]]
-    everything = reduce(DataFrame.unionByName, orders)
+    everything = df.select(number(df.schema[order].dataType, F.col(order)).alias("x"))
     cuts = everything.agg(F.percentile_approx("x", [k / n for k in range(1, n)] or [1.0], 20 * n)).scalar()
     out = df.withColumns({f"{into}_cuts": cuts, f"{into}_x": number(df.schema[order].dataType, F.col(order)), into: F.lit(0)})
     step = 1 << max(0, (n - 1).bit_length() - 1)

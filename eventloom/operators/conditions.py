@@ -50,6 +50,9 @@ def not_equals(x: Arg, value: object) -> Column:
 
 
 def contains(x: Arg, value: str) -> Column:
+    """Whether the text occurs, in any case; it may hold `*` and `?`."""
+    if "*" in value or "?" in value:
+        return equals(x, f"*{value}*")
     return F.coalesce(F.contains(F.lower(text(x)), F.lit(value.lower())), F.lit(False))
 
 
@@ -65,6 +68,41 @@ def matches(x: Arg, pattern: str) -> Column:
     return F.coalesce(text(x).rlike(pattern), F.lit(False))
 
 
+def greater_than(x: Arg, value: object) -> Column:
+    return col(x).isNotNull() & (col(x) > F.lit(value))
+
+
+def greater_than_or_equal_to(x: Arg, value: object) -> Column:
+    return col(x).isNotNull() & (col(x) >= F.lit(value))
+
+
+def less_than(x: Arg, value: object) -> Column:
+    return col(x).isNotNull() & (col(x) < F.lit(value))
+
+
+def less_than_or_equal_to(x: Arg, value: object) -> Column:
+    return col(x).isNotNull() & (col(x) <= F.lit(value))
+
+
+def is_null(x: Arg) -> Column:
+    return col(x).isNull()
+
+
+def is_not_null(x: Arg) -> Column:
+    return col(x).isNotNull()
+
+
+def is_doc_ref(x: Arg, uuid: str) -> Column:
+    """Whether a document reference (a struct of type, uuid and name) is that document: the UUID alone tells."""
+    return F.coalesce(col(x)["uuid"] == uuid, F.lit(False))
+
+
+def of_doc_ref(x: Arg, kind: str, uuid: str | None = None) -> Column:
+    """Whether a document reference is of a type, and of one document of it if a UUID is given."""
+    same = col(x)["type"] == kind
+    return F.coalesce(same if uuid is None else same & (col(x)["uuid"] == uuid), F.lit(False))
+
+
 def between(x: Arg, low: object, high: object) -> Column:
     return col(x).isNotNull() & col(x).between(low, high)
 
@@ -92,7 +130,16 @@ def has_term(x: Arg, term: str, analyser: str = "standard") -> Column:
     """Whether a text field holds the term (`*` and `?` allowed)."""
     if "*" in term or "?" in term:
         return F.exists(tokens(x, analyser), lambda t: t.rlike(wildcard_pattern(term.lower())))
-    return F.coalesce(F.array_contains(tokens(x, analyser), term.lower()), F.lit(False))
+    split_at, plain = ANALYSERS[analyser], F.lower(text(x))
+    if split_at is None:
+        return F.coalesce(text(x) == term.lower(), F.lit(False))
+    term = term.lower()
+    if not term or (analyser == "stop" and term in STOP_WORDS):
+        return F.lit(False)
+    # the text isn't split: the term stands between separators or ends, and holds none itself
+    letter = "[" + split_at[2:-1] if split_at.startswith("[^") else r"\S"
+    alone = plain.rlike(rf"(?<!{letter}){re.escape(term)}(?!{letter})") & ~F.lit(term).rlike(split_at)
+    return F.coalesce(F.contains(plain, F.lit(term)) & alone, F.lit(False))
 
 
 def all_of(*terms: Column | None) -> Column:
@@ -115,14 +162,22 @@ def in_dictionary(df: DataFrame, column: str, words: DataFrame, word: str = "wor
     return df.join(listed, F.col(column) == F.col("_word"), "left_anti" if negate else "left_semi")
 
 
-def in_folder(df: DataFrame, column: str, tree: DataFrame, folder: str, depth: int = 16) -> DataFrame:
-    """The rows whose document lies under a folder of a (node, parent) tree of at most `depth` levels."""
-    level = tree.where(F.col("parent") == folder).select("node")
-    found = level
-    for _ in range(depth - 1):
-        level = tree.join(level.select(F.col("node").alias("parent")), "parent").select("node")
-        found = found.unionByName(level)
-    return in_dictionary(df, column, found, "node")
+def in_folder(df: DataFrame, column: str, tree: DataFrame, folder: str) -> DataFrame:
+    """The rows whose document lies under a folder of a (node, parent) tree, however deep. A tree with a cycle is an
+    error."""
+    under = """WITH RECURSIVE under(node) AS (SELECT node FROM {tree} WHERE parent = :folder UNION ALL SELECT t.node FROM {tree} t JOIN under u ON t.parent = u.node) SELECT node FROM under"""
+    return in_dictionary(df, column, _recursive(df, under, {"folder": folder}, tree=tree), "node")
+
+
+def dictionary_words(df: DataFrame, dictionaries: DataFrame, imports: DataFrame, name: str) -> DataFrame:
+    """The words of a dictionary and of all those that it imports. dictionaries: (name, word); imports: (name, imported)."""
+    reached = """WITH RECURSIVE reached(name) AS (SELECT :name UNION ALL SELECT i.imported FROM {imports} i JOIN reached r ON i.name = r.name) SELECT DISTINCT name FROM reached"""
+    names = _recursive(df, reached, {"name": name}, imports=imports)
+    return dictionaries.join(names, "name", "left_semi").select("word").distinct()
+
+
+def _recursive(df: DataFrame, sql: str, args: dict, **tables: DataFrame) -> DataFrame:
+    return df.sparkSession.sql(sql, args, **tables)
 
 
 def time_range(x: Arg, start: object = None, end: object = None) -> Column:

@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions.scalar import col
+from eventloom.functions.states import StateValue
+
 from .buckets import with_bucket
 
 
@@ -43,26 +46,26 @@ def as_of(df: DataFrame, states: DataFrame, keys: list[str], order: str, state_o
     """For each row of df the values of the state of the same keys with the greatest state_order at or below order.
 
     Of states equal in key and order the greatest values are taken. Rows with a null key or order find nothing. Columns
-    of df whose names begin with `_as_of` are reserved. keys may be empty: all rows then share one history."""
+    of df whose names begin with `_as_of` are reserved. keys may be empty: all rows then share one history.
+
+    The plan names df four times (rows, bounds of the buckets, and both again for what carries over): write a table
+    between the lookups of a chain of more than two or three."""
     held = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
-    right = states.where(known & F.col(state_order).isNotNull()).select(*keys, F.col(state_order).alias("_as_of"), held.alias("_as_of_v"))
-    left = df.withColumn("_as_of", F.col(order).cast(right.schema["_as_of"].dataType))
-    sources = [(left, "_as_of"), (right, "_as_of")]
-    left, right = (with_bucket(x, "_as_of", "_as_of_b", sources, buckets) for x in (left, right))
+    right = states.where(known & F.col(state_order).isNotNull()).select(*keys, F.col(state_order).alias("_as_of"), held.alias("_as_of_v"), F.lit(1).alias("_as_of_s"))
+    left = df.withColumns({"_as_of": F.col(order).cast(right.schema["_as_of"].dataType), "_as_of_s": F.lit(2)})
+    both = with_bucket(left.unionByName(right, allowMissingColumns=True), "_as_of", "_as_of_b", buckets)
     by = [*keys, "_as_of_b"]
 
     # what holds at the start of each bucket that has rows or states: the last state of the buckets before
-    nothing = F.lit(None).cast(right.select(F.struct("_as_of", "_as_of_v")).schema[0].dataType)
-    ends = right.select(*by, F.struct("_as_of", "_as_of_v").alias("_as_of_e")).unionByName(left.where(known & F.col("_as_of").isNotNull()).select(*by, nothing.alias("_as_of_e")))
-    ends = ends.groupBy(*by).agg(F.max("_as_of_e").alias("_as_of_e"))
+    end = F.max(F.when(F.col("_as_of_s") == 1, F.struct("_as_of", "_as_of_v"))).alias("_as_of_e")
+    ends = both.where(known & F.col("_as_of").isNotNull()).groupBy(*by).agg(end)
     before = Window.partitionBy(*keys).orderBy("_as_of_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*by, F.last("_as_of_e", ignorenulls=True).over(before)["_as_of_v"].alias("_as_of_v")).where("_as_of_v is not null")
+    carried = ends.select(*by, F.last("_as_of_e", ignorenulls=True).over(before)["_as_of_v"].alias("_as_of_v"), F.lit(0).alias("_as_of_s")).where("_as_of_v is not null")
 
     # carried states sort first, and states before rows of the same order
-    both = left.withColumn("_as_of_s", F.lit(2)).unionByName(right.withColumn("_as_of_s", F.lit(1)), allowMissingColumns=True).unionByName(carried.withColumn("_as_of_s", F.lit(0)), allowMissingColumns=True)
     upto = Window.partitionBy(*by).orderBy(F.col("_as_of").asc_nulls_first(), "_as_of_s", "_as_of_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_as_of_f", F.last("_as_of_v", ignorenulls=True).over(upto)).where("_as_of_s = 2")
+    found = both.unionByName(carried, allowMissingColumns=True).withColumn("_as_of_f", F.last("_as_of_v", ignorenulls=True).over(upto)).where("_as_of_s = 2")
     usable = known & F.col("_as_of").isNotNull()
     return found.select(*df.columns, *[F.when(usable, F.col("_as_of_f")[f"v{i}"]).alias(v) for i, v in enumerate(values)])
 
@@ -108,6 +111,25 @@ def session_lookup(df: DataFrame, sessions: DataFrame, key: str, time: str, into
     return joined.withColumn(into, F.coalesce(F.col("_at") <= F.col("_end"), F.lit(False))).drop("_lookup", "_at", "_end")
 
 
+def state_value(df: DataFrame, states: DataFrame, asked: StateValue, into: str) -> DataFrame:
+    """getState(): df with the value that it asks for. The columns of the table tell its kind; sessions give true or
+    false. A column named `into` is replaced."""
+    has = lambda *names: set(names) <= set(states.columns)
+    rest = [c for c in df.columns if c != into]
+    df = df.withColumns({"_asked": col(asked.key), "_when": F.localtimestamp() if asked.time is None else col(asked.time)})
+    if has("key_start", "effective_time"):
+        found = temporal_ranged_lookup(df, states, "_asked", "_when", "_value")
+    elif has("key_start"):
+        found = ranged_lookup(df, states, "_asked", "_value")
+    elif has("start", "end"):
+        found = session_lookup(df, states, "_asked", "_when", "_value")
+    elif has("effective_time"):
+        found = temporal_lookup(df, states, "_asked", "_when", "_value")
+    else:
+        found = state_lookup(df, states, "_asked", "_value")
+    return found.select(*rest, F.col("_value").alias(into))
+
+
 def bitmap_lookup(df: DataFrame, states: DataFrame, number: str, keys: list[str], into: str = "values") -> DataFrame:
     """The values of all set bits of a number, by bit, as an array; keys identify the rows of df."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(F.col(number).cast("bigint"), i) == 1)

@@ -4,8 +4,8 @@
         .eval(hour=floor_time("ts", "hour")).eval(n=count()) \\
         .group_by("hour").having(col("n") > 3).sort_by("hour").select("hour", "n").limit(100).frame()
 
-eval() takes expressions in order, and later ones may redefine a name. Aggregates among them are computed at
-group_by(). Everything stays one lazy plan, so filters and columns reach the scan.
+eval() takes expressions in order, and later ones may redefine a name. get_state() among them becomes a lookup in one
+of the tables given to with_states(). Everything stays one lazy plan, so filters and columns reach the scan.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.states import StateValue
+
+from .lookups import state_value
 from .windows import hopping
 
 
@@ -26,6 +29,7 @@ class EventQuery:
     most: int | None = None
     skipped: int = 0
     show: dict = field(default_factory=dict)
+    states: dict = field(default_factory=dict)
 
     def _with(self, df: DataFrame, **more) -> EventQuery:
         return replace(self, source=df, **more)
@@ -38,10 +42,17 @@ class EventQuery:
         """A condition on extracted or computed fields; Spark pushes both kinds as far down as they go."""
         return self._with(self.source.where(condition))
 
-    def eval(self, **expressions: Column) -> EventQuery:
+    def with_states(self, **tables: DataFrame) -> EventQuery:
+        """The state tables that get_state() may name."""
+        return replace(self, states={**self.states, **tables})
+
+    def eval(self, **expressions: Column | StateValue) -> EventQuery:
         df = self.source
         for name, expression in expressions.items():
-            df = df.withColumn(name, expression)
+            if isinstance(expression, StateValue):
+                df = state_value(df, self.states[expression.table], expression, name)
+            else:
+                df = df.withColumn(name, expression)
         return self._with(df)
 
     def window(self, time: str, size: str, advance: str | None = None) -> EventQuery:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import aggregates as a
@@ -13,16 +14,14 @@ from eventloom.operators.query import EventQuery
 from .register import query
 
 
-@query("""
-SELECT epoch_ms(date_trunc('hour', ts)) AS hour, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) > 3 ORDER BY 1 LIMIT 100""")
-def q_hourly_counts(t):
-    """from events where event_type = purchase eval hour, count() group by hour having count > 3 sort by hour limit 100"""
+def hourly_counts(events: DataFrame, more_than: int) -> DataFrame:
+    """from events where event_type = purchase eval hour, count() group by hour having count > … sort by hour limit 100"""
     return (
-        EventQuery(t("events"))
+        EventQuery(events)
         .where(c.equals("event_type", "purchase", case_sensitive=True))
         .eval(hour=d.millis(d.floor_time("ts", "hour")))
         .group_by("hour", n=a.count())
-        .having(F.col("n") > 3)
+        .having(F.col("n") > more_than)
         .sort_by("hour")
         .select("hour", "n")
         .limit(100)
@@ -30,6 +29,12 @@ def q_hourly_counts(t):
     )
 
 
+@query("""
+SELECT epoch_ms(date_trunc('hour', ts)) AS hour, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) > 3 ORDER BY 1 LIMIT 100""")
+def q_hourly_counts(t):
+    return hourly_counts(t("events"), more_than=3)
+
+
 @query("""
 SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean, round(sum(value), 2) AS total, max(value) AS high, min(value) AS low,
   round(stddev_pop(value), 4) AS sd, round(var_pop(value), 2) AS var FROM events GROUP BY event_type""")
@@ -81,13 +86,14 @@ SELECT user_id, first(event_id ORDER BY ts, event_id) AS first_id, last(event_id
   array_to_string((list(event_type ORDER BY ts, event_id))[1:3], ',') AS top3, array_to_string((list(event_type ORDER BY ts, event_id))[-3:], ',') AS bottom3,
   last(value ORDER BY ts, event_id) AS any_value FROM events GROUP BY user_id""")
 def q_selection(t):
-    e, key, by = t("events"), ["user_id"], ["ts", "event_id"]
-    order = F.struct(*by)
-    ends = e.groupBy(*key).agg(a.first("event_id", order).alias("first_id"), a.last("event_id", order).alias("last_id"), a.any_value("value", order).alias("any_value"))
-    third = groups.nth_value(e, key, "event_id", by, 3, "third_id")
-    top = groups.top_values(e, key, "event_type", by, 3, ",", "top3")
-    bottom = groups.top_values(e, key, "event_type", by, 3, ",", "bottom3", last=True)
-    return ends.join(third, key).join(top, key).join(bottom, key)
+    """first(), last(), any(), nth(), top() and bottom() in one pass over the rows at both ends of each group."""
+    order = F.struct("ts", "event_id")
+    picked = groups.select_values(
+        t("events"), ["user_id"], ["ts", "event_id"],
+        first_id=groups.Pick("event_id", 1), last_id=groups.Pick("event_id", 1, last=True), third_id=groups.Pick("event_id", 3, nth=True),
+        top3=groups.Pick("event_type", 3, ","), bottom3=groups.Pick("event_type", 3, ",", last=True),
+    )
+    return picked.join(t("events").groupBy("user_id").agg(a.any_value("value", order).alias("any_value")), "user_id")
 
 
 @query("""
@@ -126,8 +132,9 @@ def q_hopping_rows(t):
 
 
 @query("""
-SELECT epoch_ms(date_trunc('day', l_shipdate)) AS day_ms, coalesce(l_returnflag, '*') AS l_returnflag, coalesce(l_linestatus, '*') AS l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total
-FROM lineitem GROUP BY GROUPING SETS ((1, l_returnflag, l_linestatus), (1, l_returnflag), (1, l_linestatus), (1))""".replace("(1", "(date_trunc('day', l_shipdate)").replace("epoch_ms(date_trunc('day', l_shipdate))", "epoch_ms(date_trunc('day', l_shipdate))"))
+WITH l AS (SELECT date_trunc('day', l_shipdate) AS d, * FROM lineitem)
+SELECT epoch_ms(d) AS day_ms, coalesce(l_returnflag, '*') AS l_returnflag, coalesce(l_linestatus, '*') AS l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total
+FROM l GROUP BY GROUPING SETS ((d, l_returnflag, l_linestatus), (d, l_returnflag), (d, l_linestatus), (d))""")
 def q_tag_rollup(t):
     rolled = statistics.rollup(t("lineitem"), "l_shipdate", ["l_returnflag", "l_linestatus"], "day", value=F.col("l_quantity"))
     return rolled.select(d.millis("time_bucket").alias("day_ms"), "l_returnflag", "l_linestatus", "n", F.round("total", 2).alias("total"))
@@ -190,7 +197,7 @@ def q_data_retention(t):
 
 
 @query("""
-SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max((ts, event_id)).event_id AS event_id FROM (SELECT user_id, event_type, {'ts': ts, 'event_id': event_id} AS o, ts, event_id FROM events) GROUP BY user_id""".replace("max((ts, event_id)).event_id", "arg_max(event_id, (ts, event_id))"))
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
 def q_merge_parts(t):
     e = t("events").withColumn("at", F.struct("ts", "event_id"))
     parts = [e.where(F.col("event_id") % 3 == k) for k in range(3)]
@@ -216,7 +223,7 @@ def q_paging(t):
 
 
 @query("""
-SELECT event_id, printf('%.2f', value) AS shown, strftime(ts, '%Y-%m-%d') AS day, format('{:t,}', event_id * 1000) AS thousands FROM events""".replace("format('{:t,}', event_id * 1000)", "format('{:,}', event_id * 1000)"))
+SELECT event_id, printf('%.2f', value) AS shown, strftime(ts, '%Y-%m-%d') AS day, format('{:,}', event_id * 1000) AS thousands FROM events""")
 def q_formats(t):
     return t("events").select(
         "event_id", tables.format_column("value", "number", places=2).alias("shown"), tables.format_column("ts", "date_time", pattern="yyyy-MM-dd").alias("day"),
@@ -235,15 +242,15 @@ def q_chart(t):
     return each.groupBy("event_type").agg(F.sum(F.col("v.values")[0]["n"]).alias("n"), F.count("*").alias("entries"), F.min("v.key").alias("low"))
 
 
-@query("""
-SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_'']+'), 'licensed') AND lang IN ('en', 'fr')""".replace("\\\\", "\\"))
+@query(r"""
+SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_'']+'), 'licensed') AND lang IN ('en', 'fr')""")
 def q_term_search(t):
     return t("documents").where(c.has_term("text", "Licensed") & c.is_in("lang", "en, fr")).select("doc_id")
 
 
 @query("""
-SELECT o_orderkey FROM orders WHERE regexp_full_match(lower(o_orderpriority), '[0-9]-.*') AND lower(o_orderpriority) LIKE '?-%'.replace('?', '_') AND NOT contains(lower(o_orderpriority), 'low') AND o_totalprice BETWEEN 50000 AND 150000
-  AND o_orderstatus IN ('O', 'F')""".replace("'?-%'.replace('?', '_')", "'_-%'"))
+SELECT o_orderkey FROM orders WHERE regexp_full_match(lower(o_orderpriority), '[0-9]-.*') AND lower(o_orderpriority) LIKE '_-%' AND NOT contains(lower(o_orderpriority), 'low') AND o_totalprice BETWEEN 50000 AND 150000
+  AND o_orderstatus IN ('O', 'F')""")
 def q_conditions(t):
     wanted = c.all_of(c.equals("o_orderpriority", "?-*"), c.none_of(c.contains("o_orderpriority", "LOW")), c.between("o_totalprice", 50000, 150000), c.is_in("o_orderstatus", ["O", "F"]), None)
     return t("orders").where(wanted).select("o_orderkey")

@@ -184,8 +184,10 @@ def e_merge_records(t):
 
 @query("SELECT event_id, '<record><event_type>' || event_type || '</event_type></record>' AS xml, '{\"event_type\":\"' || event_type || '\"}' AS json FROM events")
 def e_written_records(t):
-    record = F.struct("event_type")
-    return t("events").select("event_id", F.regexp_replace(F.to_xml(record, {"rowTag": "record"}), r"\s*\n\s*", "").alias("xml"), F.to_json(record).alias("json"))
+    from eventloom.sources import writers
+
+    record = t("events").select("event_type")
+    return t("events").select("event_id", F.regexp_replace(writers.xml_element(record), r"\s*\n\s*", "").alias("xml"), writers.json_line(record).alias("json"))
 
 
 @query("SELECT event_id, user_id, 'HIGH' AS band FROM events WHERE event_type = 'error' AND value > 75")
@@ -210,8 +212,10 @@ def q_statistics_search(t):
     return found.select(d.millis("time_bucket").alias("hour_ms"), "event_type", "n")
 
 
-@query("SELECT user_id, event_type FROM (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-15') EXCEPT SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15'")
+@query("""
+WITH e AS (SELECT user_id, event_type, value::INT AS v, ts FROM events)
+SELECT user_id, event_type, v FROM e WHERE ts >= TIMESTAMP '2024-01-15' EXCEPT SELECT user_id, event_type, v FROM e WHERE ts < TIMESTAMP '2024-01-15'""")
 def r_duplicates_seen_before(t):
-    e, split = t("events").select("user_id", "event_type", "ts"), F.lit("2024-01-15").cast("timestamp_ntz")
+    e, split = t("events").select("user_id", "event_type", F.rint("value").cast("int").alias("v"), "ts"), F.lit("2024-01-15").cast("timestamp_ntz")
     fresh = e.where(F.col("ts") >= split).drop("ts")
-    return state_tables.suppress_duplicates(fresh, ["user_id", "event_type"], e.where(F.col("ts") < split))
+    return state_tables.suppress_duplicates(fresh, ["user_id", "event_type", "v"], e.where(F.col("ts") < split))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.scalar import Arg, text
+from eventloom.operators.conditions import tokens
 
 
 def strip_bom(x: Arg) -> Column:
@@ -28,18 +31,97 @@ def escape_bad_xml_text(x: Arg) -> Column:
 
 
 def find_replace(x: Arg, find: str, replacement: str, regex: bool = False, limit: int | None = None) -> Column:
-    """Replaces a text or a pattern, everywhere or the first `limit` times."""
+    """Replaces a text or a pattern, everywhere or the first `limit` times, where it matches something."""
     import re
 
     pattern = find if regex else re.escape(find)
     into = replacement if regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
     if limit is None:
         return F.regexp_replace(text(x), F.lit(pattern), F.lit(into))
-    parts = text(x)
-    for _ in range(limit):
-        # each turn replaces the first match behind the mark and moves the mark behind the replacement
-        parts = F.regexp_replace(parts, F.lit(rf"(?s)\A((?:.*\x00)?)((?:(?!\x00).)*?)(?:{pattern})"), F.lit("$1$2" + into + "\0"))
-    return F.regexp_replace(parts, "\0", "")
+    found = F.regexp_substr
+    begin = F.struct(F.lit("").alias("done"), text(x).alias("rest"))
+
+    def turn(so_far: Column, _: Column) -> Column:
+        """Moves what ends with the first match of the rest over to what is done."""
+        rest, match = so_far["rest"], found(so_far["rest"], F.lit(pattern))
+        at = F.instr(rest, match)
+        ahead = F.substring(rest, F.lit(1), at - 1)
+        into_done = F.concat(so_far["done"], ahead, F.regexp_replace(match, F.lit(pattern), F.lit(into)))
+        return F.when(F.coalesce(match, F.lit("")) == "", so_far).otherwise(F.struct(into_done.alias("done"), F.substr(rest, at + F.char_length(match)).alias("rest")))
+
+    ended = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), begin, turn)
+    return F.concat(ended["done"], ended["rest"])
+
+
+def split_fields(x: Arg, delimiter: str = ",", opens: str | None = None, closes: str | None = None, escape: str | None = None, least: int = 0, most: int | None = None) -> Column:
+    """The fields of a line. Between the container characters `opens` and `closes` (one for both, if only one is given)
+    delimiters don't part, and the container goes; after `escape` any character stands for itself. Fewer than `least`
+    fields are no match (null); of more than `most` the first count."""
+    code = lambda c: "".join(f"\\x{{{ord(k):x}}}" for k in c)
+    d, any_ = code(delimiter), r"(?s:.)"
+    escaped = f"{code(escape)}{any_}|" if escape else ""
+    plain = f"(?:{escaped}(?!{d}){any_})*"
+    closes = closes or opens
+    field = f"(?:{code(opens)}(?:{escaped}(?!{code(closes)}){any_})*{code(closes)}|{plain})" if opens else plain
+    fields = F.regexp_extract_all(F.concat(text(x), F.lit(delimiter)), F.lit(f"({field}){d}"), F.lit(1))
+
+    def bare(f: Column) -> Column:
+        if opens:
+            f = F.when(F.startswith(f, F.lit(opens)) & F.endswith(f, F.lit(closes)) & (F.char_length(f) > 1), F.regexp_replace(f, f"(?s)^{any_}|{any_}$", "")).otherwise(f)
+        return F.regexp_replace(f, f"{code(escape)}({any_})", "$1") if escape else f
+
+    fields = F.transform(fields, bare)
+    fields = F.when(F.size(fields) >= least, fields)
+    return fields if most is None else F.slice(fields, 1, most)
+
+
+def regex_matches(x: Arg, pattern: str, names: list[str], least: int = 0, most: int | None = None, ignore_case: bool = False, dot_all: bool = False) -> Column:
+    """The groups of all matches, as an array of structs. Fewer than `least` are no match (null); of more than `most`
+    the first count."""
+    flagged = F.lit(("(?i)" if ignore_case else "") + ("(?s)" if dot_all else "") + pattern)
+    found = F.arrays_zip(*[F.regexp_extract_all(text(x), flagged, F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+    found = F.when(F.size(found) >= least, found)
+    return found if most is None else F.slice(found, 1, most)
+
+
+def within(x: Arg, pattern: str, group: int, inner: Callable[[Column], Column]) -> Column:
+    """A group node: what `inner` makes of each match of a group, as an array."""
+    return F.transform(F.regexp_extract_all(text(x), F.lit(pattern), F.lit(group)), inner)
+
+
+def remembered(df: DataFrame, stream: str, position: str, column: str, into: str) -> DataFrame:
+    """A variable: the value that a record of the stream last stored, up to and including each record."""
+    upto = Window.partitionBy(stream).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(into, F.last(column, ignorenulls=True).over(upto))
+
+
+def combined_fields(x: Arg, names: list[str], xml_root: str = "/*") -> Column:
+    """The combined parser: a text that begins with `{` is read as JSON, one with `<` as XML (fields are elements of the
+    root), any other as key=value pairs. A struct of texts; empty where a field is missing."""
+    start = F.substring(F.ltrim(text(x)), 1, 1)
+    json = F.from_json(text(x), ", ".join(f"`{n}` string" for n in names))
+    wrapped = F.when(start == "<", text(x))
+    pairs = key_values(F.when(~start.isin("{", "<"), text(x)))
+    field = lambda n: F.when(start == "{", json[n]).when(start == "<", F.xpath_string(wrapped, F.lit(f"{xml_root}/{n}"))).otherwise(F.try_element_at(pairs, F.lit(n)))
+    return F.struct(*[F.coalesce(field(n), F.lit("")).alias(n) for n in names])
+
+
+def chunked(df: DataFrame, stream: str, position: str, size: int, into: str = "chunk") -> DataFrame:
+    """The split filter: numbers the chunks of `size` records of each stream, from 1."""
+    place = F.row_number().over(Window.partitionBy(stream).orderBy(position))
+    return df.withColumn(into, (F.floor((place - 1) / size) + 1).cast("int"))
+
+
+def dynamic_fields(df: DataFrame, columns: list[str], into: str = "fields") -> DataFrame:
+    """Any columns as one map from name to text, nulls left out: fields of an index, or of a result, without a schema."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(c).alias("k"), text(c).alias("v")) for c in columns]), lambda p: p["v"].isNotNull())
+    return df.withColumn(into, F.map_from_entries(pairs))
+
+
+def dynamic_terms(df: DataFrame, key: str, fields: str = "fields", analyser: str = "standard") -> DataFrame:
+    """The dynamic index of a map of fields: (key, field, term), each once."""
+    each = df.select(key, F.explode(fields).alias("field", "_value"))
+    return each.select(key, "field", F.explode(tokens("_value", analyser)).alias("term")).distinct()
 
 
 def split_quoted(x: Arg, delimiter: str = ",", quote: str = '"') -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.operators.conditions import time_range
+from eventloom.operators.conditions import time_range, tokens
 
 #: Schemas of the metadata tables that queries may read like any other.
 SCHEMAS = {
@@ -63,11 +63,14 @@ def with_partition(df: DataFrame, time: str, partition: str = "partition", unit:
     return df.withColumn(partition, F.date_trunc(unit, F.col(time).cast("timestamp_ntz")).cast("date"))
 
 
+def with_terms(df: DataFrame, text_fields: Sequence[str], analyser: str = "standard") -> DataFrame:
+    """Adds the terms of text fields, as columns named <field>_terms."""
+    return df.withColumns({f"{c}_terms": tokens(c, analyser) for c in text_fields})
+
+
 def index_table(df: DataFrame, path: str, time: str, text_fields: Sequence[str] = (), unit: str = "day", analyser: str = "standard") -> None:
     """Writes events as an index: partitioned by time, with the terms of text fields beside them."""
-    from eventloom.operators.conditions import tokens
-
-    indexed = with_partition(df, time, unit=unit).withColumns({f"{c}_terms": tokens(c, analyser) for c in text_fields})
+    indexed = with_terms(with_partition(df, time, unit=unit), text_fields, analyser) if text_fields else with_partition(df, time, unit=unit)
     indexed.repartition("partition", F.pmod(F.hash(time), F.lit(16))).write.partitionBy("partition").mode("append").parquet(path)
 
 

@@ -161,3 +161,83 @@ def test_sources_and_writers(spark, tmp_path):
     for name in readers.SCHEMAS:
         assert readers.empty(spark, name).count() == 0
     assert readers.view(df, "seen", F.col("id") == 1).count() == 1
+
+
+def test_as_of_with_a_hot_key(spark):
+    """A key with most of the rows is dealt over many tasks, and few states carry over all buckets."""
+    from eventloom.operators.buckets import with_bucket
+
+    asked = spark.range(4000).selectExpr("if(id % 10 = 0, cast(id as string), 'hot') AS key", "timestamp_ntz'2000-01-01' + make_dt_interval(0, 0, 0, pow(id, 1.5)) AS at", "id")
+    states = spark.range(40).selectExpr("'hot' AS key", "timestamp_ntz'2000-01-01' + make_dt_interval(0, 0, 0, pow(id * 97, 1.5) + 0.5) AS effective_time", "id AS value")
+    got = {r["id"]: (r["key"], r["value"]) for r in lookups.temporal_lookup(asked, states, "key", "at").collect()}
+    assert len(got) == 4000
+    for i, (key, value) in got.items():
+        want = max((k for k in range(40) if (k * 97) ** 1.5 + 0.5 <= i**1.5), default=None)
+        assert value == (want if key == "hot" else None), i
+    parts = with_bucket(asked, "at", "b", buckets=16).where("key = 'hot'").groupBy("b").count().collect()
+    assert len(parts) == 16 and max(r["count"] for r in parts) < 2 * 3600 / 16
+    shown = lookups.temporal_lookup(asked, states, "key", "at")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
+
+
+def test_as_of_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows_ = [(rnd.choice("abc") if rnd.random() > 0.1 else None, rnd.randrange(60) if rnd.random() > 0.1 else None, i) for i in range(400)]
+    states = [(rnd.choice("abc") if rnd.random() > 0.1 else None, rnd.randrange(60) if rnd.random() > 0.1 else None, rnd.randrange(9)) for _ in range(80)]
+    left, right = spark.createDataFrame(rows_, "k string, t int, i int"), spark.createDataFrame(states, "k string, o int, v int")
+    for buckets in (1, 2, 7):
+        for r in lookups.as_of(left, right, ["k"], "t", "o", ["v"], buckets).collect():
+            best = [(o, v) for k, o, v in states if k == r["k"] and None not in (k, o, r["t"]) and o <= r["t"]]
+            assert r["v"] == (max(best)[1] if best else None)
+
+
+def test_state_kinds_of_get_state(spark):
+    from eventloom.functions import FUNCTIONS
+
+    df = spark.createDataFrame([("a", 5, BASE)], "k string, n bigint, at timestamp_ntz")
+    later = BASE + timedelta(days=1)
+    kinds = {
+        "exact": spark.createDataFrame([("a", "x")], "key string, value string"),
+        "temporal": spark.createDataFrame([("a", BASE, "old"), ("a", later, "new")], "key string, effective_time timestamp_ntz, value string"),
+        "session": spark.createDataFrame([("a", BASE, later)], "key string, start timestamp_ntz, end timestamp_ntz"),
+        "ranged": spark.createDataFrame([(1, 9, "in")], "key_start bigint, key_end bigint, value string"),
+        "both": spark.createDataFrame([(1, 9, later, "late")], "key_start bigint, key_end bigint, effective_time timestamp_ntz, value string"),
+    }
+    get = FUNCTIONS["getstate"]
+    asked = {"exact": get("exact", "k"), "then": get("temporal", "k", "at"), "now": get("temporal", "k"), "there": get("session", "k", "at"), "band": get("ranged", "n"), "later": get("both", "n", "at"), "k": get("exact", "k")}
+    want = {"exact": "x", "then": "old", "now": "new", "there": True, "band": "in", "later": None, "k": "x"}
+    for name, value in asked.items():
+        got = EventQuery(df).with_states(**kinds).eval(**{name: value}).frame().first().asDict()
+        assert got == {"k": "a", "n": 5, "at": BASE, **{name: want[name]}}
+
+
+def test_folders_and_dictionaries_of_any_depth(spark):
+    deep = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(40)], "node string, parent string")
+    df = spark.createDataFrame([("n40",), ("n0",), (None,)], "u string")
+    assert rows(c.in_folder(df, "u", deep, "n0")) == [("n40",)]
+    words = spark.createDataFrame([("a", "x"), ("b", "y"), ("z", "no")], "name string, word string")
+    imports = spark.createDataFrame([("a", "b")], "name string, imported string")
+    assert rows(c.dictionary_words(df, words, imports, "a")) == [("x",), ("y",)]
+
+
+def test_terms_equal_split_terms(spark):
+    df = spark.createDataFrame([("The cat's catalogue",), ("cat",), ("a cat, CAT_s",), ("concat",), (None,), ("",), ("naïve cat5 5",)], "u string")
+    for analyser in c.ANALYSERS:
+        for term in ("cat", "Cat's", "5", "the", "naïve", "a cat", ""):
+            fast = [r[0] for r in df.select(c.has_term("u", term, analyser)).collect()]
+            split = [r[0] for r in df.select(F.coalesce(F.array_contains(c.tokens("u", analyser), term if analyser == "keyword" else term.lower()), F.lit(False))).collect()]
+            if analyser != "keyword":
+                assert fast == split, (analyser, term)
+
+
+def test_splitting(spark):
+    one = lambda col: spark.range(1).select(col.alias("x")).first()[0]
+    assert one(cleaning.split_fields(F.lit("a,'b,c',d\\,e,"), ",", "'", escape="\\")) == ["a", "b,c", "d,e", ""]
+    assert one(cleaning.split_fields(F.lit("a::<b::c>"), "::", "<", ">")) == ["a", "b::c"]
+    assert one(cleaning.split_fields(F.lit("a,b"), least=3)) is None and one(cleaning.split_fields(F.lit("a,b"), most=1)) == ["a"]
+    assert one(cleaning.split_fields(F.lit(None).cast("string"))) is None
+    assert one(cleaning.find_replace(F.lit("a\0a\0a"), "a", "b", limit=2)) == "b\0b\0a"
+    assert one(cleaning.find_replace(F.lit("xx"), "y*", "b", regex=True, limit=2)) == "xx"
+    assert [r["key"] for r in one(cleaning.regex_matches(F.lit("a=1 b=2"), r"(\w)=(\d)", ["key", "value"]))] == ["a", "b"]

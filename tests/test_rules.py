@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import aggregates as a
@@ -51,3 +52,27 @@ def test_table_builder_rule_keeps_totals(spark, tmp_path):
 def test_schedule():
     w = rules.windows(BASE, BASE + timedelta(hours=3, minutes=5), timedelta(hours=1))
     assert len(w) == 3 and w[0][1] == w[1][0]
+
+
+def test_cron():
+    times = rules.cron_times("*/20 9-10 * * 1-5", datetime(2024, 1, 5, 9, 30), datetime(2024, 1, 8, 9, 30))
+    assert times == [datetime(2024, 1, 5, 9, 40), *[datetime(2024, 1, 5, 10, m) for m in (0, 20, 40)], datetime(2024, 1, 8, 9, 0), datetime(2024, 1, 8, 9, 20)]
+    assert rules.cron_times("0 0 0 1,15 * ?", BASE, datetime(2024, 2, 1)) == [datetime(2024, 1, 15), datetime(2024, 2, 1)]
+    assert rules.cron_times("0 0 13 * 5", BASE, datetime(2024, 1, 14)) == [datetime(2024, 1, 5), datetime(2024, 1, 12), datetime(2024, 1, 13)]
+    w = rules.cron_windows("0 * * * *", BASE, BASE + timedelta(hours=3, minutes=5))
+    assert len(w) == 3 and w[0] == (BASE, BASE + timedelta(hours=1)) and w[0][1] == w[1][0]
+    with pytest.raises(ValueError):
+        rules.cron_times("61 * * * *", BASE, BASE)
+
+
+def test_retention_needs_a_window():
+    with pytest.raises(ValueError):
+        rules.TableBuilderRule("r", ["user"], {"n": a.count()}, F.col("n") > 3, "ts", retention="1 day")
+
+
+def test_linked_events_and_waiting(spark):
+    df = spark.createDataFrame([(1, 7, BASE, "u"), (1, 8, BASE + timedelta(hours=5), "u")], "stream_id bigint, event_id bigint, ts timestamp_ntz, user string")
+    rule = rules.StreamingRule("all", F.lit(True), "ts", ["user"], links=["stream_id", "event_id"])
+    assert sorted(r["linked_events"][0]["event_id"] for r in rule.detections(df).collect()) == [7, 8]
+    waits = rules.TableBuilderRule("w", ["user"], {"n": a.count()}, F.col("n") > 0, "ts", wait="2 hours")
+    assert waits.settled(df, F.lit(BASE + timedelta(hours=6)).cast("timestamp_ntz")).count() == 1
