@@ -30,18 +30,31 @@ from .textblocks import Block, blocks, count_in, mix64, range_hashes, window_has
 WINDOW = 5
 LEAST_LITERALS = 3
 LEAST_COVERED = 0.8
-# fixed unit words
+# fixed values: unit words of English, German, French and Spanish, lower case
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces pound pounds lb lbs ml l "
     "litre litres liter liters gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years "
-    "hz khz mhz ghz w kw mw v volt volts amp amps j kj cal kcal pa kpa bar c f k km/h mph m/s dollar dollars euro euros cent cents usd eur percent"
+    "hz khz mhz ghz w kw mw v volt volts amp amps j kj cal kcal pa kpa bar c f k km/h mph m/s dollar dollars euro euros cent cents usd eur percent "
+    "millimeter zentimeter meter kilometer meile meilen gramm kilogramm tonne tonnen pfund sekunde sekunden minute minuten stunde stunden tag tage tagen "
+    "woche wochen monat monate monaten jahr jahre jahren grad prozent "
+    "millimètre millimètres centimètre centimètres mètre mètres kilomètre kilomètres gramme grammes kilogramme kilogrammes tonne tonnes litre litres "
+    "seconde secondes minute minutes heure heures jour jours semaine semaines mois an ans année années degré degrés "
+    "milímetro milímetros centímetro centímetros metro metros kilómetro kilómetros gramo gramos kilogramo kilogramos tonelada toneladas litro litros "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados euro euros dólar dólares"
+).split()
+# fixed values: number words of the same languages
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze vingt trente quarante cinquante soixante cent mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil millón millones"
 ).split()
-NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion".split()
 
 
 def _hashes_of(terms: list[str]) -> np.ndarray:
-    ends = np.cumsum([0, *map(len, terms)])
-    return np.sort(range_hashes(np.frombuffer("".join(terms).encode(), np.uint8), ends[:-1], ends[1:]))
+    coded = [t.encode() for t in dict.fromkeys(terms)]
+    ends = np.cumsum([0, *map(len, coded)])
+    return np.sort(range_hashes(np.frombuffer(b"".join(coded), np.uint8), ends[:-1], ends[1:]))
 
 
 _OWN = np.uint64(0x4444444444444444)  # apart from templates
@@ -54,6 +67,11 @@ _MARK = np.zeros(256, bool)
 _MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _END = np.zeros(256, bool)
 _END[list(b".!?:;")] = True
+#: Which characters of one or two bytes in UTF-8, by their first two bytes, are capital letters.
+_CAPITAL = np.zeros(1 << 16, bool)
+for _c in filter(str.isupper, map(chr, range(0x800))):
+    _b = _c.encode()
+    _CAPITAL[_b[0] << 8 | _b[1] if len(_b) == 2 else slice(_b[0] << 8, (_b[0] + 1) << 8)] = True
 
 
 def _templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,7 +92,7 @@ def _templates(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = range_hashes(data, starts[keep], ends[keep], lower=True)
     head = data[starts[keep]] if len(data) else np.zeros(0, np.uint8)
     second = data[np.minimum(starts[keep] + 1, max(0, len(data) - 1))] if len(data) else head
-    capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    capital = _CAPITAL[head.astype(np.int64) << 8 | second]
     number = (count_in(_DIGIT[data], starts[keep], ends[keep]) > 0) | np.isin(own, _NUMBERS)
     unit = np.isin(own, _UNITS) & np.concatenate([[False], number[:-1]]) if len(own) else np.zeros(0, bool)
     template = own.copy()

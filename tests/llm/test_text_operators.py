@@ -168,6 +168,107 @@ def test_copies_of_few_literals_are_found(table, spark):
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [1], 6: None, 7: None}
 
 
+def plain_words_of(text):
+    """(word as it is, template) of each word, by hand."""
+    marks = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out, opening = [], True
+    number_before = False
+    for m in re.finditer("[^\x20\x09-\x0d]+", text):
+        bare = m[0].strip(marks)
+        if "\n" in text[: m.start()][len(text[: m.start()].rstrip("\x20\t\n\x0b\x0c\r")) :]:
+            opening = True
+        if bare:
+            own = bare.translate(lower)
+            number = bool(re.search("[0-9]", bare)) or own in decontamination.NUMBER_WORDS
+            kind = "N" if number else "U" if own in decontamination.UNITS and number_before else "P" if bare[0].isupper() and ord(bare[0]) < 0x800 and not opening else None
+            out.append((own, kind))
+            number_before = number
+        opening = m[0][-1] in ".!?:;"
+    return out
+
+
+def plain_items_found(text, items):
+    """By hand: the items (name -> text) found in a text."""
+    doc, found = plain_words_of(text), set()
+    windows = {}
+    for size in range(1, 6):
+        for p in range(len(doc) - size + 1):
+            w = doc[p : p + size]
+            windows.setdefault(("own", *(x[0] for x in w)), []).append(p)
+            if sum(k is None for _, k in w) >= 3:
+                windows.setdefault(("template", *(k or x for x, k in w)), []).append(p)
+    for name, item_text in items.items():
+        item = plain_words_of(item_text)
+        size = min(5, len(item))
+        runs, open_ = {}, set()
+        for p in range(len(item) - size + 1 if item else 0):
+            w = item[p : p + size]
+            template = sum(k is None for _, k in w) >= 3
+            if template:
+                open_ |= set(range(p, p + size))
+            hits = {q: set() for q in windows.get(("own", *(x[0] for x in w)), [])}
+            for q in windows.get(("template", *(k or x for x, k in w)), []) if template else []:
+                hits.setdefault(q, set()).update((x[0], y[0]) for x, y in zip(w, doc[q : q + size], strict=True) if x[1])
+            for q, fills in hits.items():
+                at, held = runs.setdefault(q - p, (set(), set()))
+                at |= set(range(p, p + size))
+                held |= fills
+        good = [(at, fills) for at, fills in runs.values() if len(fills) == len({x for x, _ in fills}) == len({y for _, y in fills})]
+        covered = {i for at, _ in good for i in at}
+        changed = any(x != y for _, fills in good for x, y in fills)
+        can = max(len(open_), len(item) / 2) if changed else len(item)
+        if covered and len(covered) / can >= decontamination.LEAST_COVERED:
+            found.add(name)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, sf, documents):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r["doc_id"]: set(r["item_ids"] or []) for r in queries.op3_template_decontamination(spark, sf).collect()}
+    for r in documents.collect():
+        assert got[r["doc_id"]] == plain_items_found(r["text"] or "", items), r["doc_id"]
+
+
+#: Questions with open numbers, names and units, in four languages.
+QUESTIONS = [
+    "When {0} bought {1} apples and {2} pears at the market, how many pieces of fruit did {0} carry home?",
+    "A train leaves the station and travels {1} km in {2} hours without a stop. What is its average speed?",
+    "On a sunny morning {0} painted {1} fences and then rested for {2} minutes. How long did the work take in total?",
+    "The baker sold {1} loaves before noon and {2} loaves after lunch. How many loaves did the baker sell that day?",
+    "Am Montag hat {0} auf dem Markt {1} Birnen und {2} Pflaumen gekauft. Wie viele Früchte sind das zusammen?",
+    "Ein Zug fährt ohne Halt {1} Kilometer weit und braucht dafür {2} Stunden. Wie schnell ist er im Mittel?",
+    "Au marché ce matin {0} a acheté {1} pommes et {2} poires. Combien de fruits cela fait au total?",
+    "Un train parcourt sans arrêt {1} kilomètres et met pour cela {2} heures. Quelle est sa vitesse moyenne?",
+    "En el mercado esta mañana {0} compró {1} manzanas y {2} peras. Cuántas frutas son en total?",
+    "Un tren recorre sin parar {1} kilómetros y tarda para ello {2} horas. Cuál es su velocidad media?",
+]
+
+
+def test_recall_of_reparameterised_questions(table, spark):
+    names = ["Anna", "Élodie", "Ömer", "Łukasz", "Carlos", "Zoë", "Ивана", "Tom"]
+    items = spark.createDataFrame([(i, q.format("Maria", 17 + i, 40 + i)) for i, q in enumerate(QUESTIONS)], "item_id long, text string")
+    rows, want = [], {}
+    for i, q in enumerate(QUESTIONS):
+        for k, name in enumerate(names):
+            doc_id = 100 * i + k
+            rows.append((doc_id, f"Some text goes before it. {q.format(name, 3 + 7 * k + i, 'neun' if k == 0 else 90 + k)} And some comes after."))
+            want[doc_id] = [i]
+    clean = [(5000 + i, q.format("", "", "").replace("  ", " ").replace(" and ", " or ")[: 40 + i]) for i, q in enumerate(QUESTIONS)]
+    got = {r["doc_id"]: r for r in decontamination.contamination(table(rows + clean), items).collect()}
+    recall = np.mean([got[d]["item_ids"] == w for d, w in want.items()])
+    print("recall of re-parameterised questions", recall)
+    assert recall >= 0.9
+    assert not any(got[d]["contaminated"] for d, _ in clean)
+
+
+def test_decontamination_keeps_clashing_columns(table, spark):
+    items = spark.createDataFrame([(9, ITEM)], "item_id long, text string")
+    docs = table([(1, ITEM), (2, "fine"), (None, ITEM), (None, None)]).withColumnsRenamed({"lang": "doc", "source": "row_key", "n_chars": "_found"})
+    assert [(r["doc_id"], r["text"]) for r in decontamination.decontaminate(docs, items).orderBy("doc_id").collect()] == [(None, None), (2, "fine")]
+    assert sum(r["contaminated"] for r in decontamination.contamination(docs.withColumnsRenamed({"doc": "id"}), items).collect()) == 2
+
+
 def test_decontamination_of_odd_rows(table, spark):
     items = spark.createDataFrame([(1, ODD[7][1]), (1, ODD[7][1])], "item_id long, text string")
     got = decontamination.contamination(table(ODD), items).collect()
