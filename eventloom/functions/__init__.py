@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from . import aggregates, dates, scalar, states
+from . import aggregates, dates, scalar, selection, states
 
 #: Builders by the language's names and aliases, in lower case. `of_row` forms take several arguments of one row.
 FUNCTIONS: dict[str, Callable] = {
@@ -73,13 +73,13 @@ FUNCTIONS: dict[str, Callable] = {
     "getstate": states.get_state,
     # selection
     "any": aggregates.any_value,
-    "bottom": aggregates.bottom,
+    "bottom": selection.bottom,
     "first": aggregates.first,
     "last": aggregates.last,
-    "nth": aggregates.nth,
-    "top": aggregates.top,
-    "joining": aggregates.joining,
-    "distinct": aggregates.distinct,
+    "nth": selection.nth,
+    "top": selection.top,
+    "joining": selection.joining,
+    "distinct": selection.distinct,
     # text
     "concat": scalar.concat,
     "contains": scalar.contains,

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .query import sort_key
+from eventloom.functions.selection import Pick
+
+from .sorting import sort_key
 
 #: Most rows by depth; the last size holds for all depths below.
 DEFAULT_SIZES = (1_000_000, 100, 10, 1)
@@ -77,25 +79,13 @@ def edge_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[
     return picked.groupBy(*keys).agg(F.transform(held, lambda x: x["v"]).alias("values"))
 
 
-@dataclass(frozen=True)
-class Pick:
-    """A selection from a group in order: the first (or last) `limit` values joined by the delimiter, the nth value
-    (nth), or the first (last) one (limit 1 without a delimiter)."""
-
-    value: str
-    limit: int
-    delimiter: str | None = None
-    last: bool = False
-    nth: bool = False
-
-
 def select_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], **picks: Pick) -> DataFrame:
     """(keys, picks): several selections in one pass. The rows at either end of a group that some pick needs are found
     by a rank with a limit, which Spark applies before it shuffles, so large groups are no burden; each end is ranked
     once, whatever the number of picks."""
     parts = []
     for last in (False, True):
-        own = {n: p for n, p in picks.items() if p.last == last}
+        own = {n: p for n, p in picks.items() if p.last == last and not p.distinct}
         if not own:
             continue
         rows = edge_rows(df.select(*keys, *order, *{p.value for p in own.values()} - {*keys, *order}), keys, order, max(p.limit for p in own.values()), last)
@@ -107,11 +97,14 @@ def select_values(df: DataFrame, keys: Sequence[str], order: Sequence[str], **pi
             held = F.collect_list(F.when(F.col("rank") <= p.limit, F.struct((-F.col("rank") if last else F.col("rank")).alias("r"), F.col(p.value).cast("string").alias("v"))))
             aggregates.append(F.array_join(F.transform(F.array_sort(held), lambda x: x["v"]), p.delimiter).alias(name))
         parts.append(rows.groupBy(*keys).agg(*aggregates))
-    if len(parts) == 1:
-        return parts[0].select(*keys, *picks)
-    left, right = parts[0], parts[1].select(*[F.col(k).alias(f"_{k}") for k in keys], *[n for n, p in picks.items() if p.last])
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return left.join(right, same).select(*keys, *picks)
+    parts += [distinct_values(df, keys, p.value, order, p.limit, p.delimiter or "", name) for name, p in picks.items() if p.distinct]
+    return reduce(lambda a, b: same_groups(a, b, keys), parts).select(*keys, *picks)
+
+
+def same_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two tables of one row a group side by side; null keys meet."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return left.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*[f"_{k}" for k in keys])
 
 
 def top_values(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], limit: int, delimiter: str, into: str, last: bool = False) -> DataFrame:

@@ -15,11 +15,16 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.functions.selection import Pick
 from eventloom.functions.states import StateValue
 
+from .groups import same_groups, select_values
 from .lookups import state_value
+from .sorting import general_sort_keys, sort_key
 from .windows import hopping
 
+__all__ = ["EventQuery", "general_sort_keys", "sort_key"]
+
 
 @dataclass(frozen=True)
 class EventQuery:
@@ -30,6 +35,7 @@ class EventQuery:
     skipped: int = 0
     show: dict = field(default_factory=dict)
     states: dict = field(default_factory=dict)
+    rows_by: tuple[str, ...] = ()
 
     def _with(self, df: DataFrame, **more) -> EventQuery:
         return replace(self, source=df, **more)
@@ -59,11 +65,19 @@ class EventQuery:
         """Copies rows forward to the windows that they count in; adds window_start and period."""
         return self._with(hopping(self.source, time, size, advance or size))
 
-    def group_by(self, *keys: str, **aggregates: Column) -> EventQuery:
-        """Groups by the keys. Columns that are neither key nor aggregate have no value in a group and go."""
-        grouped = self.source.groupBy(*keys)
-        named = [a.alias(n) for n, a in aggregates.items()]
-        return self._with(grouped.agg(*named) if named else self.source.select(*keys).distinct(), keys=keys)
+    def order(self, *columns: str) -> EventQuery:
+        """The order of rows, for selections from groups."""
+        return replace(self, rows_by=columns)
+
+    def group_by(self, *keys: str, **aggregates: Column | Pick) -> EventQuery:
+        """Groups by the keys. Columns that are neither key nor aggregate have no value in a group and go. Selections
+        such as top() take the rows of a group in the order of order()."""
+        picks = {n: a for n, a in aggregates.items() if isinstance(a, Pick)}
+        named = [a.alias(n) for n, a in aggregates.items() if n not in picks]
+        df = self.source.groupBy(*keys).agg(*named) if named else self.source.select(*keys).distinct()
+        if picks:
+            df = same_groups(df, select_values(self.source, keys, self.rows_by, **picks), keys)
+        return self._with(df.select(*keys, *aggregates), keys=keys)
 
     def having(self, condition: Column) -> EventQuery:
         return self._with(self.source.where(condition))
@@ -92,17 +106,3 @@ class EventQuery:
         if self.skipped:
             df = df.offset(self.skipped)
         return df if self.most is None else df.limit(self.most)
-
-
-def sort_key(order: str) -> Column:
-    name, _, way = order.strip().partition(" ")
-    down = way.strip().lower() in ("desc", "descending")
-    return F.col(name).desc_nulls_last() if down else F.col(name).asc_nulls_first()
-
-
-def general_sort_keys(column: str, descending: bool = False) -> list[Column]:
-    """Numbers by value before texts without regard to case: 3, 20, 100, foo."""
-    number, rest = F.col(column).try_cast("double"), F.lower(F.col(column).cast("string"))
-    if descending:
-        return [number.desc_nulls_first(), rest.desc_nulls_last()]
-    return [F.col(column).isNotNull().asc(), number.asc_nulls_last(), rest.asc_nulls_first()]

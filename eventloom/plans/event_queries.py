@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions import aggregates as a
+from eventloom.functions import function
 from eventloom.functions import dates as d
 from eventloom.operators import conditions as c
 from eventloom.operators import groups, state_tables, statistics, tables, windows
@@ -88,12 +89,11 @@ SELECT user_id, first(event_id ORDER BY ts, event_id) AS first_id, last(event_id
 def q_selection(t):
     """first(), last(), any(), nth(), top() and bottom() in one pass over the rows at both ends of each group."""
     order = F.struct("ts", "event_id")
-    picked = groups.select_values(
-        t("events"), ["user_id"], ["ts", "event_id"],
-        first_id=groups.Pick("event_id", 1), last_id=groups.Pick("event_id", 1, last=True), third_id=groups.Pick("event_id", 3, nth=True),
-        top3=groups.Pick("event_type", 3, ","), bottom3=groups.Pick("event_type", 3, ",", last=True),
+    grouped = EventQuery(t("events")).order("ts", "event_id").group_by(
+        "user_id", first_id=a.first("event_id", order), last_id=a.last("event_id", order), third_id=function("nth")("event_id", 3), top3=function("top")("event_type", ",", 3),
+        bottom3=function("bottom")("event_type", ",", 3), any_value=a.any_value("value", order),
     )
-    return picked.join(t("events").groupBy("user_id").agg(a.any_value("value", order).alias("any_value")), "user_id")
+    return grouped.frame()
 
 
 @query("""
@@ -101,8 +101,8 @@ SELECT user_id, array_to_string((list(event_type ORDER BY ts, event_id))[1:4], '
 FROM (SELECT e.*, f.first_seen FROM events e JOIN (SELECT user_id, list(event_type ORDER BY ts0, id0) AS first_seen FROM (SELECT user_id, event_type, min(ts) AS ts0, arg_min(event_id, (ts, event_id)) AS id0 FROM events GROUP BY ALL) GROUP BY user_id) f USING (user_id))
 GROUP BY user_id, first_seen""")
 def q_joining_distinct(t):
-    e, key, by = t("events"), ["user_id"], ["ts", "event_id"]
-    return groups.top_values(e, key, "event_type", by, 4, "|", "joined").join(groups.distinct_values(e, key, "event_type", by, 3, "|", "kinds"), key)
+    grouped = EventQuery(t("events")).order("ts", "event_id")
+    return grouped.group_by("user_id", joined=function("joining")("event_type", "|", 4), kinds=function("distinct")("event_type", "|", 3)).frame()
 
 
 @query("""

@@ -15,9 +15,12 @@ def download(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").csv(path, sep=DOWNLOADS[kind], header=True)
 
 
-def append_streams(df: DataFrame, path: str, keys: tuple[str, ...] = ("feed", "type"), most_records: int = 1_000_000) -> None:
-    """Appends rows to a stream store, by feed and type; files roll over at most_records."""
-    df.write.mode("append").partitionBy(*keys).option("maxRecordsPerFile", most_records).parquet(path)
+def append_streams(df: DataFrame, path: str, keys: tuple[str, ...] = ("feed", "type"), most_records: int = 1_000_000, time: str | None = None, every: str = "hour") -> None:
+    """Appends rows to a stream store, by feed and type; files roll over at most_records and, if a time column is given,
+    with each second, minute, hour or day of it (the `rolled` folders)."""
+    if time is not None:
+        df = df.withColumn("rolled", F.date_format(F.date_trunc(every, F.col(time)), "yyyy-MM-dd'T'HHmmss"))
+    df.write.mode("append").partitionBy(*keys, *(["rolled"] if time is not None else [])).option("maxRecordsPerFile", most_records).parquet(path)
 
 
 def write_text(df: DataFrame, path: str, line: Column, header: str | None = None, footer: str | None = None) -> None:
@@ -59,14 +62,34 @@ def to_kafka(df: DataFrame, servers: str, topic: str, key: Column, value: Column
     df.select(key.cast("string").alias("key"), value.cast("string").alias("value")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def post_rows(df: DataFrame, url: str, body: Column, content_type: str = "application/json") -> None:
-    """Sends each row's body by HTTP POST from the executors, one connection pool a task."""
+def post_rows(df: DataFrame, url: str, body: Column, content_type: str = "application/json", together: int = 1, tries: int = 3) -> None:
+    """Sends the rows' bodies by HTTP POST from the executors: `together` of them as lines of one request, over one
+    connection a task. A request that fails is sent again, over a new connection; after so many tries the task fails."""
 
     def send(rows) -> None:
-        from urllib.request import Request, urlopen
-
-        for row in rows:
-            with urlopen(Request(url, row.body.encode(), {"Content-Type": content_type}), timeout=30):
-                pass
-
-    df.select(body.alias("body")).foreachPartition(send)
+        from http.client import HTTPConnection, HTTPException, HTTPSConnection
+        from itertools import islice
+        from urllib.parse import urlsplit
+
+        to = urlsplit(url)
+        kind = HTTPSConnection if to.scheme == "https" else HTTPConnection
+        path = (to.path or "/") + (f"?{to.query}" if to.query else "")
+        rows, line = iter(rows), kind(to.netloc, timeout=30)
+        while batch := list(islice(rows, together)):
+            data = "\n".join(row.body for row in batch).encode()
+            for attempt in range(tries):
+                try:
+                    line.request("POST", path, data, {"Content-Type": content_type})
+                    answer = line.getresponse()
+                    answer.read()
+                    if answer.status < 400:
+                        break
+                    problem = f"status {answer.status}"
+                except (OSError, HTTPException) as error:
+                    problem = str(error)
+                line.close()
+                if attempt == tries - 1:
+                    raise RuntimeError(f"POST to {url} failed: {problem}")
+        line.close()
+
+    df.select(body.cast("string").alias("body")).where("body is not null").foreachPartition(send)

@@ -241,3 +241,46 @@ def test_splitting(spark):
     assert one(cleaning.find_replace(F.lit("a\0a\0a"), "a", "b", limit=2)) == "b\0b\0a"
     assert one(cleaning.find_replace(F.lit("xx"), "y*", "b", regex=True, limit=2)) == "xx"
     assert [r["key"] for r in one(cleaning.regex_matches(F.lit("a=1 b=2"), r"(\w)=(\d)", ["key", "value"]))] == ["a", "b"]
+
+
+def test_selections_of_groups(spark):
+    from eventloom.functions import function
+
+    df = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate(["x", "y", "x", None, "z"])], "k string, i int, v string")
+    got = EventQuery(df).order("i").group_by("k", n=a.count(), top=function("top")("v", ",", 2), bottom=function("bottom")("v", ",", 3), second=function("nth")("v", 2), none=function("nth")("v", 9), kinds=function("distinct")("v", "|", 2))
+    assert rows(got.frame()) == sorted([("a", 5, "x,y", "x,z", "y", None, "x|y"), (None, 5, "x,y", "x,z", "y", None, "x|y")], key=repr)
+
+
+def test_posting(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen, refused = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            if not refused:
+                refused.append(body)
+            else:
+                seen.extend(body.split("\n"))
+            self.send_response(200 if seen else 503)
+            self.send_header("Content-Length", "0")
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    writers.post_rows(spark.range(0, 10, 1, 1).selectExpr("cast(id as string) as x"), f"http://127.0.0.1:{server.server_port}/in", F.col("x"), together=4)
+    server.shutdown()
+    assert refused == ["0\n1\n2\n3"] and seen == [str(i) for i in range(10)]
+
+
+def test_rolling_by_time(spark, tmp_path):
+    df = spark.createDataFrame([("F", "Raw", BASE), ("F", "Raw", BASE + timedelta(minutes=90))], "feed string, type string, ts timestamp_ntz")
+    writers.append_streams(df, f"{tmp_path}/streams", time="ts")
+    assert {r["rolled"] for r in spark.read.parquet(f"{tmp_path}/streams").select(F.col("rolled").cast("string")).collect()} == {"2000-01-01T000000", "2000-01-01T010000"}
