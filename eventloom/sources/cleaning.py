@@ -100,10 +100,10 @@ def combined_fields(x: Arg, names: list[str], xml_root: str = "/*") -> Column:
     root), any other as key=value pairs. A struct of texts; empty where a field is missing."""
     start = F.substring(F.ltrim(text(x)), 1, 1)
     json = F.from_json(text(x), ", ".join(f"`{n}` string" for n in names))
-    wrapped = F.when(start == "<", text(x))
+    xml = _xpath_values(F.when(start == "<", text(x)), [f"{xml_root}/{n}" for n in names])
     pairs = key_values(F.when(~start.isin("{", "<"), text(x)))
-    field = lambda n: F.when(start == "{", json[n]).when(start == "<", F.xpath_string(wrapped, F.lit(f"{xml_root}/{n}"))).otherwise(F.try_element_at(pairs, F.lit(n)))
-    return F.struct(*[F.coalesce(field(n), F.lit("")).alias(n) for n in names])
+    # xml first, where it is always evaluated, so that Spark evaluates it once for all fields; it is null for other texts
+    return F.struct(*[F.coalesce(xml[i], F.when(start == "{", json[n]).otherwise(F.try_element_at(pairs, F.lit(n))), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def chunked(df: DataFrame, stream: str, position: str, size: int, into: str = "chunk") -> DataFrame:
@@ -160,9 +160,19 @@ def key_values(x: Arg, pair: str = r"(\S+?)=(\S+)") -> Column:
     return F.map_from_entries(last)
 
 
+def _xpath_values(x: Column, paths: list[str]) -> Column:
+    """The texts at some XPaths as an array, by one evaluation: each parses the whole text. What parts them can't stand
+    in XML, not even as an entity."""
+    parting = "\uffff"
+    if len(paths) == 1:
+        return F.array(F.xpath_string(x, F.lit(paths[0])))
+    return F.split(F.xpath_string(x, F.lit("concat(" + f",'{parting}',".join(f"string({p})" for p in paths) + ")")), parting, -1)
+
+
 def xml_fields(x: Arg, paths: dict[str, str]) -> Column:
     """Fields by XPath, as a struct of texts."""
-    return F.struct(*[F.xpath_string(text(x), F.lit(p)).alias(n) for n, p in paths.items()])
+    values = _xpath_values(text(x), list(paths.values()))
+    return F.struct(*[values[i].alias(n) for i, n in enumerate(paths)])
 
 
 def xml_fragment(x: Arg, root: str = "root") -> Column:

@@ -284,3 +284,18 @@ def test_rolling_by_time(spark, tmp_path):
     df = spark.createDataFrame([("F", "Raw", BASE), ("F", "Raw", BASE + timedelta(minutes=90))], "feed string, type string, ts timestamp_ntz")
     writers.append_streams(df, f"{tmp_path}/streams", time="ts")
     assert {r["rolled"] for r in spark.read.parquet(f"{tmp_path}/streams").select(F.col("rolled").cast("string")).collect()} == {"2000-01-01T000000", "2000-01-01T010000"}
+
+
+def test_xml_fields_are_evaluated_at_once(spark):
+    """One XPath evaluation for all fields, with the results that each path has by itself."""
+    odd = ["<r><e><k>a</k></e><e><u>7</u></e></r>", "<r><e><k>x<b>y</b>z</k><k>2</k></e></r>", "<r a='1, 2'><e/><e><u><![CDATA[<&]]>&lt;<!-- c -->;</u></e></r>", "<r/>", "", None, "<r>\n <e> <k> a\tb </k></e></r>", '<?xml version="1.1"?><r><e><k>&#31;</k></e><e><u>&#xFFFD;</u></e></r>']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string")
+    paths = {"k": "/r/e[1]/k", "u": "r/e[2]/u", "a": "/r/@a", "n": "count(//e)", "t": "//e[k = 'a' or u]", "yes": "boolean(//u)"}
+    fields = df.select("i", cleaning.xml_fields("x", paths).alias("f")).select("i", "f.*")
+    assert rows(fields) == rows(df.select("i", *[F.xpath_string("x", F.lit(p)).alias(n) for n, p in paths.items()]))
+    assert rows(df.select("i", cleaning.xml_fields("x", {"k": "/r/e[1]/k"}).alias("f")).select("i", "f.*")) == rows(fields.select("i", "k"))
+    both = spark.createDataFrame([("<e><k>a</k></e>",), ('{"k":"b"}',), ("k=c u=d",), (None,), ("",), ("<e><u>1</u><k>2</k></e>",)], "x string")
+    combined = both.select(cleaning.combined_fields("x", ["k", "u"]).alias("f")).select("f.*")
+    assert rows(combined) == sorted([("a", ""), ("b", ""), ("c", "d"), ("", ""), ("", ""), ("2", "1")], key=repr)
+    for column in (cleaning.xml_fields("x", paths), cleaning.combined_fields("x", ["k", "u"])):
+        assert len({call[:80] for call in str(column).split("xpath_string(")[1:]}) == 1
