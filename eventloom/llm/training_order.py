@@ -8,7 +8,8 @@ gives each number a slot: a permutation that needs no shuffle and no table.
 plan() tokenises into a table under the shared folder and numbers the documents, a few bytes each; the numbers are
 written by partition, and tasks that read the table look them up there, so that no join shuffles the tokens.
 write_shards() sends every sequence straight to the range partition of its slot: tokens are shuffled once. Ranges are
-whole shards. Each task writes slots r*k..r*(k+1)-1 to file k as records of one stride, so slot s is at byte
+whole shards. It does so in WRITE_ROUNDS turns of neighbouring ranges, each of which reads the whole table and shuffles
+its own sequences, so that the disk holds one turn's shuffle files at a time. Each task writes slots r*k..r*(k+1)-1 to file k as records of one stride, so slot s is at byte
 (s mod r) * stride of file s div r, and read_shards() starts at any slot with one seek.
 
 Null and empty texts have no sequence. Null doc_ids stay null (-1 in the files). Repeated rows are separate documents
@@ -21,6 +22,7 @@ import base64
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ordering import running_total, shuffled
-from .scratch import bounded_batches, materialize, shared_uri
+from .scratch import bounded_batches, materialize, shared_uri, shuffles_removed
 from .textblocks import mix64
 
 LENGTH = 512
@@ -37,6 +39,7 @@ ROUNDS = 6
 RECORDS_PER_SHARD = 65_536
 RANGE_BYTES = 128 << 20
 MOST_RANGES = 50_000
+WRITE_ROUNDS = 4
 READ_BYTES = 8 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the split pattern that belongs to the vocabulary
@@ -141,7 +144,8 @@ def plan(docs: DataFrame, ranks: dict[bytes, int], key: int, length: int = LENGT
     ordered = counted.withColumns({"order": shuffled("doc_id", "hash", seed=1), "all": F.lit(0)})
     numbered = running_total(ordered, ["all"], "order", ["doc_id", "hash", "part", "place"], "n", rows, "first")
     uri = shared_uri(spark, "numbers")
-    numbered.select("part", "place", "first").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
+    with shuffles_removed(spark):
+        numbered.select("part", "place", "first").repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
     return Plan(table, n, uri, key, length, len(ranks))
 
 
@@ -155,9 +159,10 @@ def _numbers(uri: str, part: int) -> np.ndarray:
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read(["place", "first"]) for x in files]).sort_by("place")["first"].to_numpy()
 
 
-def sequences(plan: Plan) -> DataFrame:
-    """(slot, doc_id, seq_no, n_tokens, tokens): tokens as little-endian bytes."""
+def sequences(plan: Plan, slots: range | None = None) -> DataFrame:
+    """(slot, doc_id, seq_no, n_tokens, tokens): tokens as little-endian bytes. Those of some slots, or all."""
     n, key, uri = plan.n, plan.key, plan.uri
+    slots = range(n) if slots is None else slots
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -169,7 +174,9 @@ def sequences(plan: Plan) -> DataFrame:
             for p in here:
                 mine = part == p
                 numbers[mine] = known[p][place[mine]] + seq_no[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(permute(numbers, n, key)), *[batch.column(c) for c in ("doc_id", "seq_no", "n_tokens", "tokens")]], names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+            slot = permute(numbers, n, key)
+            rows = pa.RecordBatch.from_arrays([pa.array(slot), *[batch.column(c) for c in ("doc_id", "seq_no", "n_tokens", "tokens")]], names=["slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+            yield rows.filter(pa.array((slot >= slots.start) & (slot < slots.stop)))
 
     return plan.table.select("part", "place", "doc_id", "seq_no", "n_tokens", "tokens").mapInArrow(placed, "slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
 
@@ -190,21 +197,31 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = ROUNDS) -> np.nda
     return out.astype(np.int64)
 
 
-def training_order(plan: Plan, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:
-    """(slot, shard, record, doc_id, seq_no, n_tokens, tokens), range-partitioned by whole shards and sorted by slot.
+def _ranges(plan: Plan, records_per_shard: int) -> tuple[int, int]:
+    """How many shards a range partition has, and how many ranges there are.
 
     Slots are dense, so the ranges need no sample of the data: a partition has shards of RANGE_BYTES together, or more
     where there would be over MOST_RANGES partitions."""
     shards = max(1, -(-plan.n // records_per_shard))
     together = max(1, RANGE_BYTES // (records_per_shard * plan.record.itemsize), -(-shards // MOST_RANGES))
+    return together, -(-shards // together)
+
+
+def training_order(plan: Plan, records_per_shard: int = RECORDS_PER_SHARD, ranges: range | None = None) -> DataFrame:
+    """(slot, shard, record, doc_id, seq_no, n_tokens, tokens), range-partitioned by whole shards and sorted by slot; of
+    some range partitions, or all."""
+    together, count = _ranges(plan, records_per_shard)
+    ranges = range(count) if ranges is None else ranges
+    slots = range(*(min(plan.n, x * together * records_per_shard) for x in (ranges.start, ranges.stop)))
     shard = F.expr(f"slot div {records_per_shard}")
-    ordered = sequences(plan).repartitionById(-(-shards // together), (shard / together).cast("int")).sortWithinPartitions("slot")
+    ordered = sequences(plan, slots).repartitionById(len(ranges), (shard / together).cast("int") - ranges.start).sortWithinPartitions("slot")
     return ordered.select("slot", shard.alias("shard"), (F.col("slot") % records_per_shard).alias("record"), "doc_id", "seq_no", "n_tokens", "tokens")
 
 
 def write_shards(plan: Plan, uri: str, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:
     """Writes the sequences as one file a shard under uri (a store that pyarrow.fs reaches from every executor), by the
-    tasks of the range partitions, and returns (shard, records, bytes). A file gets its name when it is whole."""
+    tasks of the range partitions, and returns (shard, records, bytes). A file gets its name when it is whole. Each of
+    WRITE_ROUNDS turns shuffles the sequences of its own ranges."""
     from pyarrow import fs
 
     record = plan.record
@@ -241,8 +258,13 @@ def write_shards(plan: Plan, uri: str, records_per_shard: int = RECORDS_PER_SHAR
         close()
         yield pa.RecordBatch.from_pylist([{"shard": s, "records": c, "bytes": b} for s, c, b in done], schema=pa.schema([("shard", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
-    rows = training_order(plan, records_per_shard).select("shard", "doc_id", "seq_no", "n_tokens", "tokens")
-    return materialize(rows.mapInArrow(write, "shard long, records long, bytes long"), "written")
+    def turn(ranges: range) -> DataFrame:
+        rows = training_order(plan, records_per_shard, ranges).select("shard", "doc_id", "seq_no", "n_tokens", "tokens")
+        return materialize(rows.mapInArrow(write, "shard long, records long, bytes long"), "written")
+
+    count = _ranges(plan, records_per_shard)[1]
+    rounds = min(count, WRITE_ROUNDS)
+    return reduce(DataFrame.unionAll, [turn(range(count * k // rounds, count * (k + 1) // rounds)) for k in range(rounds)])
 
 
 def records_of(plan: Plan, written: DataFrame, uri: str, records_per_shard: int = RECORDS_PER_SHARD) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -88,6 +89,36 @@ def test_training_order_plan_ranges(spark, documents):
     assert all(a["hi"] < b["lo"] for a, b in zip(held, held[1:], strict=False))
 
 
+def test_training_order_writes_in_rounds(spark, documents, tmp_path, monkeypatch):
+    """Each round shuffles a part of the sequences, and its shuffle files go when it ends; the shards are those of one round."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: files.getAllFiles().mkString("\n").count("shuffle_")
+    plan = training_order.plan(documents, {bytes([i]): i for i in range(256)}, key=8, length=64)
+    before, parts, materialize = shuffled(), [], training_order.materialize
+
+    def spied(df, name):
+        table = materialize(df, name)
+        parts.append(sum(r["records"] for r in table.collect()))
+        return table
+
+    monkeypatch.setattr(training_order, "materialize", spied)
+    monkeypatch.setattr(training_order, "RANGE_BYTES", 1)
+    got = []
+    for rounds in (4, 1):
+        monkeypatch.setattr(training_order, "WRITE_ROUNDS", rounds)
+        uri = f"file://{tmp_path}/{rounds}"
+        written = training_order.write_shards(plan, uri, records_per_shard=900).collect()
+        got.append([(r["shard"], r["records"], r["bytes"], zlib.crc32((tmp_path / str(rounds) / f"{r['shard']:08d}.bin").read_bytes())) for r in sorted(written)])
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) == plan.n and len(got[0]) == -(-plan.n // 900) > 8
+    assert sum(parts[:4]) == plan.n == parts[4] and len(parts) == 5
+    assert max(parts[:4]) < 0.4 * plan.n
+    for _ in range(40):
+        if shuffled() <= before:
+            break
+        time.sleep(0.5)
+    assert shuffled() <= before
+
+
 def test_training_order_of_odd_rows(table, spark, tmp_path):
     ranks = {bytes([i]): i for i in range(256)}
     odd = table(ODD).withColumnsRenamed({"lang": "hash", "source": "slot", "n_chars": "part"})
