@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .ordering import shuffled
-from .scratch import materialize, scratch_root
+from .scratch import materialize, scratch_root, shuffles_removed
 from .textblocks import blocks, mix64, word_hashes, words
 
 HELD_OUT = 0.25
@@ -225,7 +225,8 @@ def scored(docs: DataFrame, model: TrigramModel | None) -> DataFrame:
     if model is not None:
         uri, floor = f"{scratch_root(docs.sparkSession)}/hits-{uuid4().hex}", model.floor
         hits = _asked(source, model).join(model.weights, "key", "left").where("mark or own is not null")
-        hits.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
+        with shuffles_removed(docs.sparkSession):
+            hits.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, checksum, found = TaskContext.get().partitionId(), np.uint64(0), None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -231,3 +232,18 @@ def test_quality_threshold_is_the_quantile_alone(table, spark):
     held_out = [r["perplexity"] for r in got if r["doc_id"] not in training]
     assert held_out and {r["threshold"] for r in got} == {max(held_out)}
     assert all(r["kept"] == (r["perplexity"] <= max(held_out)) for r in got)
+
+
+def test_quality_leaves_no_shuffle_files(table, spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    known = lambda: set(re.findall(r"shuffle_(\d+)_", files.getAllFiles().mkString("\n")))
+    docs = table([(i, f"some words of text {i}") for i in range(200)])
+    model = ngram_quality.fit(docs, docs.where("doc_id < 100").select("doc_id"))
+    before = known()
+    scores = ngram_quality.scored(docs, model)  # writes what it looks up
+    for _ in range(40):
+        if not known() - before:
+            break
+        time.sleep(0.5)
+    assert not known() - before
+    assert scores.count() == 200
