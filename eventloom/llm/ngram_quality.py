@@ -1,11 +1,12 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-fit() counts the word trigrams of all trusted documents but the held-out ones in Spark, sharded by the n-gram, derives
-continuation counts and the three discounts of each order, and joins counts to their contexts. The model stays a table
-under the shared folder, with the logarithms of its probabilities taken apart: a text's log probability is the sum of
-one weight for each of its words, pairs and triples that the model has (as an n-gram, as a context), so scored() joins
-only the distinct n-grams of each partition that pass a filter of fixed size, and each task reads the hits of its
-own partition back.
+fit() counts the word trigrams of all trusted documents but the held-out ones in Spark. The model is one row of packed
+integers for each bucket of n-gram hashes: how often a word, pair or triple stands (lower orders: after how many words),
+and what follows it as a context. A triple lies in the bucket of its context, so buckets are counted apart from each
+other, a slice of them at a time, and no order is joined to another. scored() takes the documents in groups: each
+partition asks for its distinct n-grams, sorted and packed by bucket, the tasks of the buckets answer with the counts, and
+the partition derives the probabilities from them. So the disk holds the model, and the questions of one slice or group
+at a time; their tables and shuffle files go with each. docs is read twice for each group, and once before.
 
 A document's log probability is averaged with PSEUDO_WORDS words of its language's trusted mean, so short texts are
 not judged by a few words. keep() retains documents up to the `quantile` of the perplexity of the held-out trusted
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -30,54 +30,38 @@ from pyspark.sql import functions as F
 
 from . import sieve
 from .ordering import shuffled
-from .scratch import materialize, scratch_root, shuffles_removed
+from .scratch import dropped, materialize, shared_uri, shuffles_removed
 from .textblocks import blocks, mix64, word_hashes, words
 
 HELD_OUT = 0.25
 PSEUDO_WORDS = 30
 QUANTILE = 0.995
-LOG_FILTER_BITS = 28
-MOST_PENDING = 1 << 22  # n-grams of a partition that wait to be made distinct
+MOST_LOG_SLICES = 4  # the buckets are counted in at most this many rounds, as a power of two
+SLICE_WORDS = 1 << 19  # and each is for so many words of training text at least
+MOST_GROUPS = 16  # the documents are scored in at most this many rounds
+GROUP_BYTES = 1 << 23  # and each is for so many bytes of text at least
+CHUNK_WORDS = 1 << 19  # words of a partition whose n-grams are made distinct together
+BUCKET_WORDS = 1 << 20  # words of training text for a bucket
+LEAST_LOG_BUCKETS, MOST_LOG_BUCKETS = 7, 12
+MOST_PENDING = 1 << 21  # n-grams of a bucket that wait to be made distinct
 _BEGIN = np.uint64(0xB5297A4D3F84D5B5)
-
-
-@dataclass
-class PackedKeys:
-    """Sorted 64-bit keys, with the first place of each leading-bits bucket."""
-
-    keys: np.ndarray
-    starts: np.ndarray
-    shift: int
-
-    @staticmethod
-    def of(keys: np.ndarray) -> PackedKeys:
-        bits = max(1, int(len(keys)).bit_length())
-        starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        return PackedKeys(keys, np.append(starts, len(keys)), 64 - bits)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or len(self.keys)."""
-        found = np.full(len(keys), len(self.keys))
-        bucket = (keys >> np.uint64(self.shift)).astype(np.int64)
-        at, end = self.starts[bucket], self.starts[bucket + 1]
-        live = np.flatnonzero(at < end)
-        while len(live):
-            here = self.keys[at[live]]
-            hit = here == keys[live]
-            found[live[hit]] = at[live[hit]]
-            at[live] += 1
-            live = live[(here < keys[live]) & (at[live] < end[live])]
-        return found
+_TOP = np.uint64((1 << MOST_LOG_BUCKETS) - 1 << 64 - MOST_LOG_BUCKETS)
+_COUNTS = 5  # of a key: its own count, and as a context all of its followers' and how many have 1, 2 and more
 
 
 @dataclass
 class TrigramModel:
-    """weights: (key, own, rest) of each word, pair and triple. own is the logarithm of what the n-gram has over the
-    lower order's share, rest that of what it leaves to the lower order as a context; floor is that of an unseen word."""
+    """slices: the folder of each slice of the buckets, with the pairs and triples; words: that of the words' buckets.
+    discounts: of words, pairs and triples that count 1, 2 and more; total: the words' counts; unseen: the probability
+    of an unseen word."""
 
-    weights: DataFrame
-    filter: np.ndarray
-    floor: float
+    slices: list[str]
+    words: str
+    log_buckets: int
+    log_slices: int
+    discounts: list[tuple[float, float, float]]
+    total: float
+    unseen: float
 
 
 def _shifted(hashes: np.ndarray, first: np.ndarray, by: int) -> np.ndarray:
@@ -94,30 +78,66 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix64(_pair(a, b) * np.uint64(5) + c)
+    """The leading bits, and so the bucket, are those of the context."""
+    context = _pair(a, b)
+    return context & _TOP | mix64(context * np.uint64(5) + c) & ~_TOP
 
 
-def _contexts(grams: DataFrame, *context: str) -> tuple[DataFrame, DataFrame]:
-    """grams with `kept`, the count less its discount by modified Kneser-Ney, and (context, total, held) rows."""
-    n = {r["n"]: r["of"] for r in grams.where("n <= 4").groupBy("n").agg(F.count("*").alias("of")).collect()}
-    n1, n2, n3, n4 = (float(n.get(k, 0)) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-    d1, d2, d3 = (max(0.05, min(k - 0.05, x)) for k, x in ((1, 1 - 2 * y * n2 / n1 if n1 else 0.5), (2, 2 - 3 * y * n3 / n2 if n2 else 1.0), (3, 3 - 4 * y * n4 / n3 if n3 else 1.5)))
-    discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    return grams.withColumn("kept", F.col("n") - discount), grams.groupBy(*context).agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
+def _packed(values: np.ndarray) -> bytes:
+    """64-bit values, compressed byte by byte of equal weight."""
+    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _keyed(grams: DataFrame) -> DataFrame:
-    """(key, own, rest) of rows with one, two or three leading columns of word hashes."""
-    size = len(grams.columns) - 2
+def _unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w = [x.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.columns[:size]]
-            keys = w[0] if size == 1 else _pair(*w) if size == 2 else _triple(*w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *batch.columns[size:]], names=["key", "own", "rest"])
 
-    return grams.select(*grams.columns[:size], F.col("own").cast("double"), F.col("rest").cast("double")).mapInArrow(key, "key long, own double, rest double")
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def _slice(keys: np.ndarray, log_buckets: int, log_slices: int) -> np.ndarray:
+    return keys >> np.uint64(64 - log_buckets) >> np.uint64(log_buckets - log_slices)
+
+
+def _bounds(keys: np.ndarray, log_buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, first, last) of the buckets that sorted keys fall into."""
+    buckets = keys >> np.uint64(64 - log_buckets)
+    edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(keys)]
+    return [(int(buckets[i]), i, j) for i, j in zip(edges, edges[1:]) if i < j]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Runs of rows with about CHUNK_WORDS words: some of their columns, where each text's words begin, and the hashes of
+    the words."""
+    rows, counts, hashes, size = [], [np.zeros(1, np.int64)], [], 0
+    for batch in batches:
+        for block in blocks(batch.column("text")):
+            w = words(block)
+            rows.append(batch.select(columns).slice(block.first, block.last - block.first))
+            counts.append(np.diff(w.first))
+            hashes.append(word_hashes(block, w))
+            size += len(hashes[-1])
+            if size >= CHUNK_WORDS:
+                yield pa.Table.from_batches(rows), np.cumsum(np.concatenate(counts)), np.concatenate(hashes)
+                rows, counts, hashes, size = [], [np.zeros(1, np.int64)], [], 0
+    if rows:
+        yield pa.Table.from_batches(rows), np.cumsum(np.concatenate(counts)), np.concatenate(hashes)
+
+
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Those of modified Kneser-Ney, by how many n-grams count 1 to 4."""
+    y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
+    raw = (1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return tuple(max(0.05, min(k - 0.05, x)) for k, x in zip((1, 2, 3), raw, strict=True))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -130,128 +150,344 @@ def training_ids(labels: DataFrame, held_out: float = HELD_OUT) -> DataFrame:
     return trusted_ids(labels).where(shuffled("doc_id", seed=11) >= held_out * float(2**63))
 
 
-def fit(docs: DataFrame, training: DataFrame) -> TrigramModel | None:
-    """The model of all documents with the given ids (distinct)."""
+_TOKENS = "known binary, codes binary, first binary, n long"
+
+
+def _tokens(docs: DataFrame, training: DataFrame) -> DataFrame:
+    """(known, codes, first, n): the words of the documents with the given ids, as places in a chunk's distinct hashes."""
     ids = sieve.build(training, ["doc_id"])
     wanted = sieve.keep_possible(docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "doc_id", ids)
     picked = wanted.join(training, "doc_id").select("text")
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, first, hashes in _chunks(batches, []):
+            if len(hashes):
+                known, codes = np.unique(hashes, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({"known": [_packed_keys(known)], "codes": [_packed(codes)], "first": [_packed(first)], "n": [len(hashes)]})
+
+    return picked.mapInArrow(encode, _TOKENS)
+
+
+def _grams(tokens: DataFrame, part: int, log_buckets: int, log_slices: int) -> DataFrame:
+    """(bucket, kind, x, y, z) of the distinct triples of each chunk: kind 0 by the bucket of the context, with the triple,
+    the context and the count; kind 1 by that of the last two words, with the triple and these words."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = _unpacked_keys(row["known"])[_unpacked(row["codes"]).astype(np.int64)]
+                first = _unpacked(row["first"]).astype(np.int64)
+                b, a = _shifted(c, first, 1), _shifted(c, first, 2)
+                out: dict[str, list] = {"bucket": [], "kind": [], "x": [], "y": [], "z": []}
+                for kind, pair in enumerate((_pair(a, b), _pair(b, c))):
+                    at = np.flatnonzero(_slice(pair, log_buckets, log_slices) == part)
+                    triples, where, n = np.unique(_triple(a[at], b[at], c[at]), return_index=True, return_counts=True)
+                    at = at[where]
+                    if kind:
+                        order = np.argsort(pair[at])
+                        at, triples = at[order], triples[order]
+                    y, z = (b[at], c[at]) if kind else (pair[at], n)
+                    for bucket, i, j in _bounds(pair[at] if kind else triples, log_buckets):
+                        for name, value in zip(out, (bucket, kind, *(_packed(v[i:j]) for v in (triples, y, z))), strict=True):
+                            out[name].append(value)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()) for x in "xyz")]))
+
+    return tokens.mapInArrow(emit, "bucket int, kind int, x binary, y binary, z binary")
+
+
+def _distinct(parts: list[tuple[np.ndarray, ...]], summed: bool) -> tuple[np.ndarray, ...]:
+    """The distinct triples of some (triples, y, z), with the y and the sum or one of the z of each."""
+    x, y, z = (np.concatenate(v) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 3
+    keys, first, inverse = np.unique(x, return_index=True, return_inverse=True)
+    return keys, y[first], np.bincount(inverse, z, len(keys)).astype(np.uint64) if summed else z[first]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the sums of each of the rows of counts."""
+    known, inverse = np.unique(keys, return_inverse=True)
+    return known, np.stack([np.bincount(inverse, x, len(known)) for x in counts])
+
+
+def _as_context(n: np.ndarray) -> np.ndarray:
+    return np.stack([np.zeros(len(n)), n, n == 1, n == 2, n > 2])
+
+
+def _as_own(n: np.ndarray) -> np.ndarray:
+    return np.stack([n, *[np.zeros(len(n))] * (_COUNTS - 1)])
+
+
+_SEEN = [f"seen{k}" for k in range(1, 9)]  # how many triples count 1 to 4, and how many pairs
+_MODEL = "bucket int, keys binary, counts binary, " + ", ".join(f"{x} long" for x in _SEEN)
+
+
+def _model_row(bucket: int, keys: np.ndarray, counts: np.ndarray, seen: list[int]) -> pa.RecordBatch:
+    row = [[bucket], [_packed_keys(keys)], [_packed(counts.ravel())], *([x] for x in seen)]
+    types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * len(seen)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["bucket", "keys", "counts", *_SEEN])
+
+
+def _counted(grams: DataFrame) -> DataFrame:
+    """A model's row for each bucket (grams: whole buckets in a partition, sorted by them), and rows of bucket -1 with the
+    counts of the words that they add to."""
+
+    def row(bucket: int, held: list[list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
+        triples, contexts, n = _distinct(held[0], True)
+        _, b, c = _distinct(held[1], False)
+        pairs, at, after = np.unique(_pair(b, c), return_index=True, return_counts=True)
+        seen = [int((x == k).sum()) for x in (n, after) for k in range(1, 5)]
+        yield _model_row(bucket, *_summed(np.concatenate([triples, contexts, pairs]), np.hstack([_as_own(n), _as_context(n), _as_own(after)])), seen)
+        yield _model_row(-1, *_summed(np.concatenate([b[at], c[at]]), np.hstack([_as_context(after), _as_own(np.ones(len(at)))])), [0] * 8)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size, most = None, [[], []], [0, 0], [MOST_PENDING] * 2
+        for batch in batches:
+            for bucket, kind, x, y, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last:
+                    if last is not None:
+                        yield from row(last, held)
+                    last, held, size, most = bucket, [[], []], [0, 0], [MOST_PENDING] * 2
+                held[kind].append((_unpacked(x), _unpacked(y), _unpacked(z)))
+                size[kind] += len(held[kind][-1][0])
+                if size[kind] > most[kind]:
+                    held[kind] = [_distinct(held[kind], kind == 0)]
+                    size[kind] = len(held[kind][0][0])
+                    most[kind] = MOST_PENDING + 2 * size[kind]
+        if last is not None:
+            yield from row(last, held)
+
+    return grams.mapInArrow(count, _MODEL)
+
+
+def _words_counted(parts: DataFrame, part: int, log_buckets: int, log_slices: int) -> DataFrame:
+    """A model's row for each bucket of a slice of the words, from the rows of bucket -1. seen1 to seen4: how many words
+    count 1 to 4, seen5: how many count at all, seen6: all counts."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
-                w = words(block)
-                c = word_hashes(block, w)
-                b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
-                _, at, times = np.unique(_triple(a, b, c), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (a, b, c)], pa.array(times)], names=["a", "b", "c", "n"])
-
-    triples = materialize(picked.mapInArrow(count, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n")), "triples")
-    if not triples.limit(1).count():
+            for packed, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                keys, values = _unpacked_keys(packed), _unpacked(counts).reshape(_COUNTS, -1)
+                mine = np.flatnonzero(_slice(keys, log_buckets, log_slices) == part)
+                keys, values = keys[mine], values[:, mine]
+                bounds = _bounds(keys, log_buckets)
+                packed_parts = [[_packed_keys(keys[i:j]) for _, i, j in bounds], [_packed(values[:, i:j].ravel()) for _, i, j in bounds]]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in bounds], pa.int32()), *(pa.array(x, pa.binary()) for x in packed_parts)], names=["bucket", "keys", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, counts = _summed(np.concatenate([x for x, _ in held]), np.hstack([x for _, x in held]))
+            own = counts[0]
+            return _model_row(bucket, keys, counts, [*(int((own == k).sum()) for k in range(1, 5)), int((own > 0).sum()), int(own.sum()), 0, 0])
+
+        last, held = None, []
+        for batch in batches:
+            for bucket, keys, counts in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "counts")), strict=True):
+                if bucket != last and held:
+                    yield row(last, held)
+                    held = []
+                last = bucket
+                held.append((_unpacked_keys(keys), _unpacked(counts).reshape(_COUNTS, -1)))
+                if len(held) > 1 and sum(len(x) for x, _ in held[1:]) > MOST_PENDING + len(held[0][0]):
+                    held = [_summed(np.concatenate([x for x, _ in held]), np.hstack([x for _, x in held]))]
+        if held:
+            yield row(last, held)
+
+    spread = parts.mapInArrow(split, "bucket int, keys binary, counts binary").repartition(_parts(log_buckets - log_slices), "bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(add, _MODEL)
+
+
+def _parts(log_buckets: int) -> int:
+    """The partitions that so many buckets are dealt to."""
+    return max(8, 1 << log_buckets - 3)
+
+
+def _write(df: DataFrame, uri: str, *columns: str) -> None:
+    with shuffles_removed(df.sparkSession):
+        df.write.mode("append").option("compression", "zstd").partitionBy(*columns).parquet(uri)
+
+
+def fit(docs: DataFrame, training: DataFrame) -> TrigramModel | None:
+    """The model of all documents with the given ids (distinct)."""
+    spark = docs.sparkSession
+    token_rows = shared_uri(spark, "tokens")
+    _write(_tokens(docs, training), token_rows)
+    tokens = spark.read.schema(_TOKENS).parquet(token_rows)
+    size = tokens.agg(F.sum("n")).first()[0]
+    if not size:
+        dropped(spark, token_rows)
         return None
-    pairs = materialize(triples.groupBy("b", "c").agg(F.count("*").alias("n")), "pairs")
-    singles = materialize(pairs.groupBy("c").agg(F.count("*").alias("n")), "singles")
-    one, all_words = _contexts(singles)
-    total, held = all_words.first()
-    unseen = held / total / (singles.count() + 1)
-    one = one.select("c", (F.col("kept") / total + unseen).alias("p1"))
-    two, after_one = _contexts(pairs, "b")
-    after_one = after_one.select("b", (F.col("held") / F.col("total")).alias("rest2"), "total")
-    # p2 interpolates with p1, and p3 with p2
-    two = two.join(after_one, "b").join(one, "c").withColumn("low", F.col("rest2") * F.col("p1"))
-    two = materialize(two.select("b", "c", (F.col("kept") / F.col("total") + F.col("low")).alias("p2"), "low"), "p2")
-    three, after_two = _contexts(triples, "a", "b")
-    after_two = materialize(after_two.select("a", "b", (F.col("held") / F.col("total")).alias("rest3"), "total"), "contexts")
-    low = F.col("rest3") * F.col("p2")
-    three = three.join(after_two, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).select("a", "b", "c", F.log((F.col("kept") / F.col("total") + low) / low).alias("own"), F.lit(0.0).alias("rest"))
-    zero, both = F.lit(0.0), [F.sum("own").alias("own"), F.sum("rest").alias("rest")]
-    of_words = one.select("c", F.log(F.col("p1") / unseen).alias("own"), zero.alias("rest")).union(after_one.select("b", zero, F.log("rest2"))).groupBy("c").agg(*both)
-    of_pairs = two.select("b", "c", F.log(F.col("p2") / F.col("low")).alias("own"), zero.alias("rest")).union(after_two.select("a", "b", zero, F.log("rest3"))).groupBy("b", "c").agg(*both)
-    weights = materialize(_keyed(of_words).union(_keyed(of_pairs)).union(_keyed(three)), "weights")
-    return TrigramModel(weights, sieve.build(weights, ["key"], LOG_FILTER_BITS), float(np.log(unseen)))
-
-
-def _asked(source: DataFrame, model: TrigramModel) -> DataFrame:
-    """(part, key, mark) of the distinct n-grams of each partition that pass the model's filter, and a row with the
-    mark set that has the checksum of the partition's words."""
-    shared = source.sparkSession.sparkContext.broadcast(model.filter)
+    log_buckets = min(MOST_LOG_BUCKETS, max(LEAST_LOG_BUCKETS, (size // BUCKET_WORDS).bit_length()))
+    log_slices = min(MOST_LOG_SLICES, (size // SLICE_WORDS).bit_length())
+    slices = []
+    for part in range(1 << log_slices):
+        slices.append(shared_uri(spark, "model"))
+        grams = _grams(tokens, part, log_buckets, log_slices).repartition(_parts(log_buckets - log_slices), "bucket").sortWithinPartitions("bucket")
+        _write(_counted(grams), slices[-1], "bucket")
+    dropped(spark, token_rows)
+    rows = spark.read.schema(_MODEL)
+    of_grams = [rows.parquet(x).agg(*(F.sum(c) for c in _SEEN)).first() for x in slices]
+    seen = [float(sum(x[i] or 0 for x in of_grams)) for i in range(8)]
+    parts = None
+    for uri in slices:
+        of_slice = rows.parquet(uri).where("bucket = -1").select("keys", "counts")
+        parts = of_slice if parts is None else parts.union(of_slice)
+    word_rows = shared_uri(spark, "words")
+    for part in range(1 << log_slices):
+        _write(_words_counted(parts, part, log_buckets, log_slices), word_rows, "bucket")
+    for uri in slices:
+        dropped(spark, f"{uri}/bucket=-1")
+    n1, n2, n3, n4, known, total = (float(x) for x in rows.parquet(word_rows).agg(*(F.sum(c) for c in _SEEN[:6])).first())
+    discounts = [_discounts(n1, n2, n3, n4), _discounts(*seen[4:]), _discounts(*seen[:4])]
+    d1, d2, d3 = discounts[0]
+    held = d1 * n1 + d2 * n2 + d3 * (known - n1 - n2)
+    return TrigramModel(slices, word_rows, log_buckets, log_slices, discounts, total, held / total / (known + 1))
+
+
+def _keys(c: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The words, pairs and triples of some texts, one after the other, with a last word and pair of marks alone."""
+    b, a = _shifted(c, first, 1), _shifted(c, first, 2)
+    marks = np.full(1, _BEGIN)
+    return np.concatenate([c, _pair(b, c), _triple(a, b, c), marks, _pair(marks, marks)]) if len(c) else c
+
+
+def _places(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct _keys(), and the places among them of each word, the one before, the pair, the context and the triple."""
+    keys, at = np.unique(_keys(c, first), return_inverse=True)
+    n, begins = len(c), first[:-1][np.diff(first) > 0]
+    word, pair, triple = at[:n], at[n : 2 * n], at[2 * n : 3 * n]
+    before, context = np.roll(word, 1), np.roll(pair, 1)
+    if n:
+        before[begins], context[begins] = at[-2:]
+    return keys, [word, before, pair, context, triple]
+
+
+def _checksum(keys: np.ndarray) -> int:
+    return int(np.sum(mix64(keys), dtype=np.uint64).view(np.int64))
+
+
+def _asked(source: DataFrame, log_buckets: int) -> DataFrame:
+    """(bucket, part, chunk, checksum, keys) of the distinct n-grams of each chunk of a partition."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, checksum = TaskContext.get().partitionId(), np.uint64(0)
-        pending: list[np.ndarray] = []
+        part = TaskContext.get().partitionId()
+        for chunk, (_, first, c) in enumerate(_chunks(batches, [])):
+            keys = np.unique(_keys(c, first))
+            bounds, checksum = _bounds(keys, log_buckets), _checksum(keys)
+            same = [np.full(len(bounds), x) for x in (part, chunk, checksum)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _, _ in bounds], pa.int32()), *(pa.array(x, t) for x, t in zip(same, (pa.int32(), pa.int32(), pa.int64()), strict=True)), pa.array([_packed_keys(keys[i:j]) for _, i, j in bounds], pa.binary())],
+                names=["bucket", "part", "chunk", "checksum", "keys"],
+            )
 
-        def rows(keys: np.ndarray, mark: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), part, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), mark))], names=["part", "key", "mark"])
+    return source.mapInArrow(ask, "bucket int, part int, chunk int, checksum long, keys binary")
 
-        for batch in batches:
-            for block in blocks(batch.column("text")):
-                w = words(block)
-                c = word_hashes(block, w)
-                checksum = np.add(checksum, np.sum(mix64(c), dtype=np.uint64))
-                b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
-                keys = np.unique(np.concatenate([c, b, _pair(b, c), _pair(a, b), _triple(a, b, c)]))
-                pending.append(keys[sieve.test(shared.value, keys)])
-                if sum(map(len, pending)) > MOST_PENDING:
-                    pending = [np.unique(np.concatenate(pending))]
-                    if len(pending[0]) > MOST_PENDING // 2:
-                        yield rows(pending.pop(), False)
-        if pending:
-            yield rows(np.unique(np.concatenate(pending)), False)
-        yield rows(np.array([checksum], np.uint64), True)
-
-    return source.mapInArrow(ask, "part int, key long, mark boolean")
-
-
-def _read_hits(uri: str, part: int) -> tuple[PackedKeys, np.ndarray, np.ndarray, np.uint64]:
-    """The keys of a partition, the weights own and rest of each and a last 0, and the partition's checksum."""
+
+def _read(uri: str, folder: str) -> pa.Table | None:
+    """The rows in a folder of a table in the shared one, if there are any."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/part={part}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    if not files:
-        raise RuntimeError(f"partition {part} was not there when its n-grams were looked up")
-    table = pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files])
-    key, mark = table["key"].to_numpy().view(np.uint64), table["mark"].to_numpy()
-    keys, at = np.unique(key[~mark], return_index=True)
-    own, rest = (np.append(table[x].to_numpy()[~mark][at], 0) for x in ("own", "rest"))
-    return PackedKeys.of(keys), own, rest, key[mark][0]
+    store, root = fs.FileSystem.from_uri(uri)
+    files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files]) if files else None
+
+
+def _answered(asked: DataFrame, model: TrigramModel) -> DataFrame:
+    """(bucket, part, chunk, checksum, hits, counts): which of the keys asked the model has, and their counts."""
+
+    def load(bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        tables = [_read(uri, f"bucket={bucket}") for uri in (model.slices[bucket >> model.log_buckets - model.log_slices], model.words)]
+        rows = [row for table in tables if table is not None for row in table.select(["keys", "counts"]).to_pylist()]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked_keys(x["keys"]) for x in rows)])
+        counts = np.hstack([np.zeros((_COUNTS, 0), np.uint64), *(_unpacked(x["counts"]).reshape(_COUNTS, -1) for x in rows)])
+        order = np.argsort(keys)
+        return keys[order], counts[:, order]
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known, counts = None, None, None
+        for batch in batches:
+            hits, values = [], []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                if bucket != last:
+                    last, (known, counts) = bucket, load(bucket)
+                keys = _unpacked_keys(packed)
+                at = np.searchsorted(known, keys)
+                found = np.zeros(len(keys), bool)
+                inside = at < len(known)
+                found[inside] = known[at[inside]] == keys[inside]
+                hits.append(np.packbits(found).tobytes())
+                values.append(_packed(counts[:, at[found]].ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "part", "chunk", "checksum", "hits", "counts"])
+
+    return asked.mapInArrow(answer, "bucket int, part int, chunk int, checksum long, hits binary, counts binary")
+
+
+def _logs(counts: np.ndarray, at: list[np.ndarray], model: TrigramModel) -> np.ndarray:
+    """The logarithm of the probability of each word; counts: of the distinct n-grams, at: as of _places()."""
+
+    def kept(places: np.ndarray, order: int) -> np.ndarray:
+        n = counts[0][places]
+        return n - np.array([0.0, *model.discounts[order]])[np.minimum(n, 3).astype(np.int64)]
+
+    def over(places: np.ndarray, context: np.ndarray, order: int, lower: np.ndarray) -> np.ndarray:
+        total, of = counts[1][context], np.array(model.discounts[order])
+        held = of @ counts[2:][:, context]
+        seen = np.maximum(total, 1)
+        return np.where(total > 0, (kept(places, order) + held * lower) / seen, lower)
+
+    c, b, pair, context, triple = at
+    p1 = kept(c, 0) / model.total + model.unseen
+    return np.log(over(triple, context, 2, over(pair, b, 1, p1)))
+
+
+_SCORES = "doc_id long, lang string, n_words long, log_probability double"
+
+
+def _scores(source: DataFrame, model: TrigramModel | None, uri: str) -> DataFrame:
+    """The scores of one group, by the answers in a table."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, answers = TaskContext.get().partitionId(), None
+        for chunk, (rows, first, c) in enumerate(_chunks(batches, ["doc_id", "lang"])):
+            logs = np.full(rows.num_rows, np.nan)
+            if model is not None:
+                keys, at = _places(c, first)
+                counts = np.zeros((_COUNTS, len(keys)))
+                if len(keys):
+                    answers = _read(uri, f"part={part}") if answers is None else answers
+                    bounds, mine = _bounds(keys, model.log_buckets), {}
+                    if answers is not None:
+                        mine = {x["bucket"]: x for x in answers.take(np.flatnonzero(answers["chunk"].to_numpy() == chunk)).to_pylist()}
+                    if set(mine) != {x for x, _, _ in bounds} or {x["checksum"] for x in mine.values()} != {_checksum(keys)}:
+                        raise RuntimeError(f"partition {part} has other rows than when its n-grams were looked up")
+                    for bucket, i, j in bounds:
+                        hits = np.unpackbits(np.frombuffer(mine[bucket]["hits"], np.uint8), count=j - i).astype(bool)
+                        counts[:, i + np.flatnonzero(hits)] = _unpacked(mine[bucket]["counts"]).reshape(_COUNTS, -1)
+                sums = np.concatenate([[0.0], np.cumsum(_logs(counts, at, model))])
+                logs = sums[first[1:]] - sums[first[:-1]]
+            yield from rows.append_column("n_words", pa.array(np.diff(first))).append_column("log_probability", pa.array(logs, from_pandas=True)).combine_chunks().to_batches()
+
+    return source.mapInArrow(score, _SCORES)
 
 
 def scored(docs: DataFrame, model: TrigramModel | None) -> DataFrame:
     """(doc_id, lang, n_words, log_probability) for each row of docs, which must have the same partitions whenever it
     is read; a task that finds other words than at the look-up fails."""
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    uri, floor = None, 0.0
-    if model is not None:
-        uri, floor = f"{scratch_root(docs.sparkSession)}/hits-{uuid4().hex}", model.floor
-        hits = _asked(source, model).join(model.weights, "key", "left").where("mark or own is not null")
-        with shuffles_removed(docs.sparkSession):
-            hits.repartition("part").write.option("compression", "zstd").partitionBy("part").parquet(uri)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, checksum, found = TaskContext.get().partitionId(), np.uint64(0), None
-        for batch in batches:
-            if uri and found is None:
-                found = _read_hits(uri, part)
-            for block in blocks(batch.column("text")):
-                w = words(block)
-                rows = slice(block.first, block.last)
-                logs = np.full(len(w.first) - 1, np.nan)
-                if found is not None:
-                    keys, own, rest, _ = found
-                    c = word_hashes(block, w)
-                    checksum = np.add(checksum, np.sum(mix64(c), dtype=np.uint64))
-                    b, a = _shifted(c, w.first, 1), _shifted(c, w.first, 2)
-                    each = floor + own[keys.find(c)] + rest[keys.find(b)] + own[keys.find(_pair(b, c))] + rest[keys.find(_pair(a, b))] + own[keys.find(_triple(a, b, c))]
-                    total = np.concatenate([[0.0], np.cumsum(each)])
-                    logs = total[w.first[1:]] - total[w.first[:-1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[rows], batch.column("lang")[rows], pa.array(np.diff(w.first).astype(np.int64)), pa.array(logs, from_pandas=True)], names=["doc_id", "lang", "n_words", "log_probability"]
-                )
-        if found is not None and checksum != found[-1]:
-            raise RuntimeError(f"partition {part} has other rows than when its n-grams were looked up")
-
-    return source.mapInArrow(score, "doc_id long, lang string, n_words long, log_probability double")
+    if model is None:
+        return _scores(source, None, "")
+    path = shared_uri(spark, "scores")
+    with shuffles_removed(spark):
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = min(MOST_GROUPS, 1 + size // GROUP_BYTES)
+    for group in range(groups):
+        some = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == group)
+        asked = _asked(some, model.log_buckets).repartition(_parts(model.log_buckets), "bucket").sortWithinPartitions("bucket")
+        uri = shared_uri(spark, "answers")
+        _write(_answered(asked, model).repartition("part"), uri, "part")
+        _scores(some, model, uri).write.mode("append").option("compression", "zstd").parquet(path)
+        dropped(spark, uri)
+    return spark.read.schema(_SCORES).parquet(path)
 
 
 def keep(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, pseudo_words: int = PSEUDO_WORDS) -> DataFrame:

@@ -61,6 +61,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, uri: str) -> None:
+    """Removes a table in the shared folder that its operator has written and no longer reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def quoted(name: str) -> Column:
     """The column of this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -247,3 +247,31 @@ def test_quality_leaves_no_shuffle_files(table, spark):
         time.sleep(0.5)
     assert not known() - before
     assert scores.count() == 200
+
+
+def test_quality_keeps_little_on_disk(table, spark, monkeypatch):
+    """The model takes a few bytes for each n-gram, nothing else stays, and rounds don't change scores."""
+    from pathlib import Path
+
+    from eventloom.llm.scratch import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    used = lambda: sum(x.stat().st_size for x in root.rglob("*") if x.is_file())
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 5000) % 400) for _ in range(40)]
+    docs = table([*enumerate(texts), (50, "w1 w2 unknown w1 w2"), (51, None), (52, " ")])
+    monkeypatch.setattr(ngram_quality, "SLICE_WORDS", 60_000, raising=False)
+    monkeypatch.setattr(ngram_quality, "GROUP_BYTES", 400_000, raising=False)
+    before = used()
+    model = ngram_quality.fit(docs, docs.where("doc_id < 30").select("doc_id"))
+    split = [["", "", *t.split()] for t in texts[:30]]
+    grams = len({g for w in split for g in zip(w, w[1:], w[2:], strict=False)} | {g for w in split for g in itertools.pairwise(w)})
+    assert used() - before < 20 * grams
+    after_fit = used()
+    got = {r["doc_id"]: r["log_probability"] for r in ngram_quality.scored(docs, model).collect()}
+    assert used() - after_fit < 100_000
+    plain = kneser_ney(texts[:30])
+    for i in (0, 29, 35):
+        assert got[i] == pytest.approx(plain(texts[i]), rel=1e-6)
+    assert got[50] == pytest.approx(plain("w1 w2 unknown w1 w2"), rel=1e-6)
+    assert got[51] == got[52] == 0 and len(got) == 43
