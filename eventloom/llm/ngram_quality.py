@@ -36,14 +36,17 @@ from .textblocks import blocks, mix64, word_hashes, words
 HELD_OUT = 0.25
 PSEUDO_WORDS = 30
 QUANTILE = 0.995
-MOST_LOG_SLICES = 4  # the buckets are counted in at most this many rounds, as a power of two
+MOST_LOG_SLICES = 3  # the buckets are counted in at most this many rounds, as a power of two
+LOG_SLICES_OF_WORDS = 2  # the words, which are few, in a round for so many of these, as a power of two
 SLICE_WORDS = 1 << 19  # and each is for so many words of training text at least
-MOST_GROUPS = 16  # the documents are scored in at most this many rounds
+MOST_GROUPS = 8  # the documents are scored in at most this many rounds
 GROUP_BYTES = 1 << 23  # and each is for so many bytes of text at least
-CHUNK_WORDS = 1 << 19  # words of a partition whose n-grams are made distinct together
+CHUNK_WORDS = 1 << 19  # words of a partition whose n-grams are made distinct together when they are counted
+ASKED_WORDS = 1 << 18  # and when they are looked up, which takes more memory
 BUCKET_WORDS = 1 << 20  # words of training text for a bucket
 LEAST_LOG_BUCKETS, MOST_LOG_BUCKETS = 7, 12
 MOST_PENDING = 1 << 21  # n-grams of a bucket that wait to be made distinct
+MOST_REPAIRS = 1000  # of an order by leading bits, before all bits are sorted by
 _BEGIN = np.uint64(0xB5297A4D3F84D5B5)
 _TOP = np.uint64((1 << MOST_LOG_BUCKETS) - 1 << 64 - MOST_LOG_BUCKETS)
 _COUNTS = 5  # of a key: its own count, and as a context all of its followers' and how many have 1, 2 and more
@@ -64,12 +67,10 @@ class TrigramModel:
     unseen: float
 
 
-def _shifted(hashes: np.ndarray, first: np.ndarray, by: int) -> np.ndarray:
-    """The word `by` places before each, within its text; a mark where there is none."""
-    out = np.full(len(hashes), _BEGIN, np.uint64)
-    out[by:] = hashes[:-by] if by else hashes
-    begin = np.repeat(first[:-1], np.diff(first))
-    out[np.arange(len(hashes)) - by < begin] = _BEGIN
+def _before(values: np.ndarray, first: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The value before each, within its text; a mark where there is none."""
+    out = np.roll(values, 1)
+    out[first[:-1][np.diff(first) > 0]] = mark
     return out
 
 
@@ -77,31 +78,96 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix64(a * np.uint64(3) + mix64(b))
 
 
-def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The leading bits, and so the bucket, are those of the context."""
-    context = _pair(a, b)
+_MARK = np.full(1, _BEGIN)
+_MARKS = _pair(_MARK, _MARK)
+
+
+def _triple(context: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of a pair and the word after it. The leading bits, and so the bucket, are those of the pair."""
     return context & _TOP | mix64(context * np.uint64(5) + c) & ~_TOP
 
 
+def _packed_planes(planes: np.ndarray) -> bytes:
+    """Values as rows of their bytes of equal weight, the lowest first, compressed."""
+    return len(planes).to_bytes(1, "little") + planes.shape[1].to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked_planes(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], width * size, codec="zstd", asbytes=True), np.uint8).reshape(width, size)
+
+
 def _packed(values: np.ndarray) -> bytes:
-    """64-bit values, compressed byte by byte of equal weight."""
-    planes = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """64-bit values, compressed byte by byte of equal weight, without the leading bytes that none needs."""
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return _packed_planes(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(pa.decompress(data[8:], 8 * size, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    planes = _unpacked_planes(data)
+    if len(planes) == 1:
+        return planes[0].astype(np.uint64)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, : len(planes)] = planes.T
+    return values.view(np.uint64).ravel()
 
 
 def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences."""
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys as the first and the differences."""
+    return int(keys[0]).to_bytes(8, "little") + _packed(np.diff(keys)) if len(keys) else b""
 
 
 def _unpacked_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(data), dtype=np.uint64)
+    if not data:
+        return np.zeros(0, np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], np.uint64), _unpacked(data[8:])]), dtype=np.uint64)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys in their order: one sort of values, the leading bits of each key with its place in the
+    low ones, is several times as fast as argsort(). Keys that differ in further bits only are put in order after it."""
+    low = np.uint64((1 << max(1, len(keys).bit_length())) - 1)
+    marked = keys & ~low | np.arange(len(keys), dtype=np.uint64)
+    marked.sort()
+    order = (marked & low).astype(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong) > MOST_REPAIRS:
+        return np.argsort(keys)
+    marked &= ~low
+    for value in set(marked[wrong].tolist()):
+        i, j = np.searchsorted(marked, np.uint64(value)), np.searchsorted(marked, np.uint64(value), "right")
+        order[i:j] = order[i:j][np.argsort(keys[order[i:j]])]
+    return order
+
+
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    new = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _distinct_keys(keys: np.ndarray) -> np.ndarray:
+    """As np.unique(), which hashes integers and is slow at many distinct ones."""
+    ordered = np.sort(keys)
+    return ordered[_begins(ordered)]
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, the order of all and where the run of each key begins in it."""
+    order = _order(keys)
+    ordered = keys[order]
+    begins = _begins(ordered)
+    return ordered[begins], order, begins
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the number of each key among them."""
+    known, order, begins = _runs(keys)
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(known)), np.diff(begins, append=len(keys)))
+    return known, number
 
 
 def _slice(keys: np.ndarray, log_buckets: int, log_slices: int) -> np.ndarray:
@@ -115,9 +181,9 @@ def _bounds(keys: np.ndarray, log_buckets: int) -> list[tuple[int, int, int]]:
     return [(int(buckets[i]), i, j) for i, j in zip(edges, edges[1:]) if i < j]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """Runs of rows with about CHUNK_WORDS words: some of their columns, where each text's words begin, and the hashes of
-    the words."""
+def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Runs of rows with about `least` words: some of their columns, where each text's words begin, and the hashes of the
+    words."""
     rows, counts, hashes, size = [], [np.zeros(1, np.int64)], [], 0
     for batch in batches:
         for block in blocks(batch.column("text")):
@@ -126,7 +192,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
             counts.append(np.diff(w.first))
             hashes.append(word_hashes(block, w))
             size += len(hashes[-1])
-            if size >= CHUNK_WORDS:
+            if size >= least:
                 yield pa.Table.from_batches(rows), np.cumsum(np.concatenate(counts)), np.concatenate(hashes)
                 rows, counts, hashes, size = [], [np.zeros(1, np.int64)], [], 0
     if rows:
@@ -160,9 +226,9 @@ def _tokens(docs: DataFrame, training: DataFrame) -> DataFrame:
     picked = wanted.join(training, "doc_id").select("text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, first, hashes in _chunks(batches, []):
+        for _, first, hashes in _chunks(batches, [], CHUNK_WORDS):
             if len(hashes):
-                known, codes = np.unique(hashes, return_inverse=True)
+                known, codes = _numbered(hashes)
                 yield pa.RecordBatch.from_pydict({"known": [_packed_keys(known)], "codes": [_packed(codes)], "first": [_packed(first)], "n": [len(hashes)]})
 
     return picked.mapInArrow(encode, _TOKENS)
@@ -177,14 +243,16 @@ def _grams(tokens: DataFrame, part: int, log_buckets: int, log_slices: int) -> D
             for row in batch.to_pylist():
                 c = _unpacked_keys(row["known"])[_unpacked(row["codes"]).astype(np.int64)]
                 first = _unpacked(row["first"]).astype(np.int64)
-                b, a = _shifted(c, first, 1), _shifted(c, first, 2)
+                b = _before(c, first, _MARK)
+                last = _pair(b, c)
                 out: dict[str, list] = {"bucket": [], "kind": [], "x": [], "y": [], "z": []}
-                for kind, pair in enumerate((_pair(a, b), _pair(b, c))):
+                context = _before(last, first, _MARKS)
+                for kind, pair in enumerate((context, last)):
                     at = np.flatnonzero(_slice(pair, log_buckets, log_slices) == part)
-                    triples, where, n = np.unique(_triple(a[at], b[at], c[at]), return_index=True, return_counts=True)
-                    at = at[where]
+                    triples, order, begins = _runs(_triple(context[at], c[at]))
+                    n, at = np.diff(begins, append=len(at)), at[order[begins]]
                     if kind:
-                        order = np.argsort(pair[at])
+                        order = _order(pair[at])
                         at, triples = at[order], triples[order]
                     y, z = (b[at], c[at]) if kind else (pair[at], n)
                     for bucket, i, j in _bounds(pair[at] if kind else triples, log_buckets):
@@ -198,14 +266,15 @@ def _grams(tokens: DataFrame, part: int, log_buckets: int, log_slices: int) -> D
 def _distinct(parts: list[tuple[np.ndarray, ...]], summed: bool) -> tuple[np.ndarray, ...]:
     """The distinct triples of some (triples, y, z), with the y and the sum or one of the z of each."""
     x, y, z = (np.concatenate(v) for v in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64),) * 3
-    keys, first, inverse = np.unique(x, return_index=True, return_inverse=True)
-    return keys, y[first], np.bincount(inverse, z, len(keys)).astype(np.uint64) if summed else z[first]
+    keys, order, begins = _runs(x)
+    one = order[begins]
+    return keys, y[one], np.add.reduceat(z[order], begins) if summed and len(keys) else z[one]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, and the sums of each of the rows of counts."""
-    known, inverse = np.unique(keys, return_inverse=True)
-    return known, np.stack([np.bincount(inverse, x, len(known)) for x in counts])
+    known, order, begins = _runs(keys)
+    return known, np.add.reduceat(counts[:, order], begins, axis=1) if len(known) else counts
 
 
 def _as_context(n: np.ndarray) -> np.ndarray:
@@ -233,7 +302,8 @@ def _counted(grams: DataFrame) -> DataFrame:
     def row(bucket: int, held: list[list[tuple[np.ndarray, ...]]]) -> Iterator[pa.RecordBatch]:
         triples, contexts, n = _distinct(held[0], True)
         _, b, c = _distinct(held[1], False)
-        pairs, at, after = np.unique(_pair(b, c), return_index=True, return_counts=True)
+        pairs, order, begins = _runs(_pair(b, c))
+        at, after = order[begins], np.diff(begins, append=len(order))
         seen = [int((x == k).sum()) for x in (n, after) for k in range(1, 5)]
         yield _model_row(bucket, *_summed(np.concatenate([triples, contexts, pairs]), np.hstack([_as_own(n), _as_context(n), _as_own(after)])), seen)
         yield _model_row(-1, *_summed(np.concatenate([b[at], c[at]]), np.hstack([_as_context(after), _as_own(np.ones(len(at)))])), [0] * 8)
@@ -331,8 +401,9 @@ def fit(docs: DataFrame, training: DataFrame) -> TrigramModel | None:
         of_slice = rows.parquet(uri).where("bucket = -1").select("keys", "counts")
         parts = of_slice if parts is None else parts.union(of_slice)
     word_rows = shared_uri(spark, "words")
-    for part in range(1 << log_slices):
-        _write(_words_counted(parts, part, log_buckets, log_slices), word_rows, "bucket")
+    log_rounds = max(0, log_slices - LOG_SLICES_OF_WORDS)
+    for part in range(1 << log_rounds):
+        _write(_words_counted(parts, part, log_buckets, log_rounds), word_rows, "bucket")
     for uri in slices:
         dropped(spark, f"{uri}/bucket=-1")
     n1, n2, n3, n4, known, total = (float(x) for x in rows.parquet(word_rows).agg(*(F.sum(c) for c in _SEEN[:6])).first())
@@ -344,20 +415,18 @@ def fit(docs: DataFrame, training: DataFrame) -> TrigramModel | None:
 
 def _keys(c: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The words, pairs and triples of some texts, one after the other, with a last word and pair of marks alone."""
-    b, a = _shifted(c, first, 1), _shifted(c, first, 2)
-    marks = np.full(1, _BEGIN)
-    return np.concatenate([c, _pair(b, c), _triple(a, b, c), marks, _pair(marks, marks)]) if len(c) else c
+    if not len(c):
+        return c
+    pair = _pair(_before(c, first, _MARK), c)
+    return np.concatenate([c, pair, _triple(_before(pair, first, _MARKS), c), _MARK, _MARKS])
 
 
 def _places(c: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct _keys(), and the places among them of each word, the one before, the pair, the context and the triple."""
-    keys, at = np.unique(_keys(c, first), return_inverse=True)
-    n, begins = len(c), first[:-1][np.diff(first) > 0]
+    keys, at = _numbered(_keys(c, first))
+    n = len(c)
     word, pair, triple = at[:n], at[n : 2 * n], at[2 * n : 3 * n]
-    before, context = np.roll(word, 1), np.roll(pair, 1)
-    if n:
-        before[begins], context[begins] = at[-2:]
-    return keys, [word, before, pair, context, triple]
+    return keys, [word, _before(word, first, at[-2:-1]), pair, _before(pair, first, at[-1:]), triple]
 
 
 def _checksum(keys: np.ndarray) -> int:
@@ -369,8 +438,8 @@ def _asked(source: DataFrame, log_buckets: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for chunk, (_, first, c) in enumerate(_chunks(batches, [])):
-            keys = np.unique(_keys(c, first))
+        for chunk, (_, first, c) in enumerate(_chunks(batches, [], ASKED_WORDS)):
+            keys = _distinct_keys(_keys(c, first))
             bounds, checksum = _bounds(keys, log_buckets), _checksum(keys)
             same = [np.full(len(bounds), x) for x in (part, chunk, checksum)]
             yield pa.RecordBatch.from_arrays(
@@ -394,28 +463,33 @@ def _read(uri: str, folder: str) -> pa.Table | None:
 def _answered(asked: DataFrame, model: TrigramModel) -> DataFrame:
     """(bucket, part, chunk, checksum, hits, counts): which of the keys asked the model has, and their counts."""
 
-    def load(bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    def load(bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys in their order, their places and the bytes of the counts by these."""
         tables = [_read(uri, f"bucket={bucket}") for uri in (model.slices[bucket >> model.log_buckets - model.log_slices], model.words)]
         rows = [row for table in tables if table is not None for row in table.select(["keys", "counts"]).to_pylist()]
         keys = np.concatenate([np.zeros(0, np.uint64), *(_unpacked_keys(x["keys"]) for x in rows)])
-        counts = np.hstack([np.zeros((_COUNTS, 0), np.uint64), *(_unpacked(x["counts"]).reshape(_COUNTS, -1) for x in rows)])
-        order = np.argsort(keys)
-        return keys[order], counts[:, order]
+        parts = [x.reshape(len(x), _COUNTS, -1) for x in (_unpacked_planes(x["counts"]) for x in rows)]
+        planes, done = np.zeros((max([1, *map(len, parts)]), _COUNTS, len(keys)), np.uint8), 0
+        for x in parts:
+            planes[: len(x), :, done : done + x.shape[2]] = x
+            done += x.shape[2]
+        order = np.argsort(keys, kind="stable")  # merges the tables, which are sorted
+        return keys[order], order, planes
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known, counts = None, None, None
+        last = None
         for batch in batches:
             hits, values = [], []
             for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 if bucket != last:
-                    last, (known, counts) = bucket, load(bucket)
+                    last, (known, order, planes) = bucket, load(bucket)
                 keys = _unpacked_keys(packed)
                 at = np.searchsorted(known, keys)
                 found = np.zeros(len(keys), bool)
                 inside = at < len(known)
                 found[inside] = known[at[inside]] == keys[inside]
                 hits.append(np.packbits(found).tobytes())
-                values.append(_packed(counts[:, at[found]].ravel()))
+                values.append(_packed_planes(planes[:, :, order[at[found]]].reshape(len(planes), -1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(hits, pa.binary()), pa.array(values, pa.binary())], names=["bucket", "part", "chunk", "checksum", "hits", "counts"])
 
     return asked.mapInArrow(answer, "bucket int, part int, chunk int, checksum long, hits binary, counts binary")
@@ -424,15 +498,15 @@ def _answered(asked: DataFrame, model: TrigramModel) -> DataFrame:
 def _logs(counts: np.ndarray, at: list[np.ndarray], model: TrigramModel) -> np.ndarray:
     """The logarithm of the probability of each word; counts: of the distinct n-grams, at: as of _places()."""
 
+    times = np.minimum(counts[0], 3).astype(np.int64)
+    seen = np.where(counts[1] > 0, counts[1], np.inf)
+
     def kept(places: np.ndarray, order: int) -> np.ndarray:
-        n = counts[0][places]
-        return n - np.array([0.0, *model.discounts[order]])[np.minimum(n, 3).astype(np.int64)]
+        return (counts[0] - np.array([0.0, *model.discounts[order]])[times])[places]
 
     def over(places: np.ndarray, context: np.ndarray, order: int, lower: np.ndarray) -> np.ndarray:
-        total, of = counts[1][context], np.array(model.discounts[order])
-        held = of @ counts[2:][:, context]
-        seen = np.maximum(total, 1)
-        return np.where(total > 0, (kept(places, order) + held * lower) / seen, lower)
+        left = np.where(counts[1] > 0, (np.array(model.discounts[order]) @ counts[2:]) / seen, 1.0)
+        return kept(places, order) / seen[context] + left[context] * lower
 
     c, b, pair, context, triple = at
     p1 = kept(c, 0) / model.total + model.unseen
@@ -445,26 +519,30 @@ _SCORES = "doc_id long, lang string, n_words long, log_probability double"
 def _scores(source: DataFrame, model: TrigramModel | None, uri: str) -> DataFrame:
     """The scores of one group, by the answers in a table."""
 
+    def logs(part: int, first: np.ndarray, c: np.ndarray, answers: list[dict]) -> np.ndarray:
+        keys, at = _places(c, first)
+        counts = np.zeros((_COUNTS, len(keys)))
+        bounds, mine = _bounds(keys, model.log_buckets), {x["bucket"]: x for x in answers}
+        if set(mine) != {x for x, _, _ in bounds} or {x["checksum"] for x in answers} != {_checksum(keys)}:
+            raise RuntimeError(f"partition {part} has other rows than when its n-grams were looked up")
+        for bucket, i, j in bounds:
+            hits = np.unpackbits(np.frombuffer(mine[bucket]["hits"], np.uint8), count=j - i)
+            counts[:, i + np.flatnonzero(hits)] = _unpacked(mine[bucket]["counts"]).reshape(_COUNTS, -1)
+        return _logs(counts, at, model)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, answers = TaskContext.get().partitionId(), None
-        for chunk, (rows, first, c) in enumerate(_chunks(batches, ["doc_id", "lang"])):
-            logs = np.full(rows.num_rows, np.nan)
+        for chunk, (rows, first, c) in enumerate(_chunks(batches, ["doc_id", "lang"], ASKED_WORDS)):
+            sums = np.full(rows.num_rows, np.nan)
             if model is not None:
-                keys, at = _places(c, first)
-                counts = np.zeros((_COUNTS, len(keys)))
-                if len(keys):
+                of_words = np.zeros(0)
+                if len(c):
                     answers = _read(uri, f"part={part}") if answers is None else answers
-                    bounds, mine = _bounds(keys, model.log_buckets), {}
-                    if answers is not None:
-                        mine = {x["bucket"]: x for x in answers.take(np.flatnonzero(answers["chunk"].to_numpy() == chunk)).to_pylist()}
-                    if set(mine) != {x for x, _, _ in bounds} or {x["checksum"] for x in mine.values()} != {_checksum(keys)}:
-                        raise RuntimeError(f"partition {part} has other rows than when its n-grams were looked up")
-                    for bucket, i, j in bounds:
-                        hits = np.unpackbits(np.frombuffer(mine[bucket]["hits"], np.uint8), count=j - i).astype(bool)
-                        counts[:, i + np.flatnonzero(hits)] = _unpacked(mine[bucket]["counts"]).reshape(_COUNTS, -1)
-                sums = np.concatenate([[0.0], np.cumsum(_logs(counts, at, model))])
-                logs = sums[first[1:]] - sums[first[:-1]]
-            yield from rows.append_column("n_words", pa.array(np.diff(first))).append_column("log_probability", pa.array(logs, from_pandas=True)).combine_chunks().to_batches()
+                    mine = answers.take(np.flatnonzero(answers["chunk"].to_numpy() == chunk)).to_pylist() if answers is not None else []
+                    of_words = logs(part, first, c, mine)
+                to_here = np.concatenate([[0.0], np.cumsum(of_words)])
+                sums = to_here[first[1:]] - to_here[first[:-1]]
+            yield from rows.append_column("n_words", pa.array(np.diff(first))).append_column("log_probability", pa.array(sums, from_pandas=True)).combine_chunks().to_batches()
 
     return source.mapInArrow(score, _SCORES)
 

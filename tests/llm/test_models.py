@@ -6,8 +6,10 @@ import itertools
 import re
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import ALIKE, ODD
 
@@ -275,3 +277,42 @@ def test_quality_keeps_little_on_disk(table, spark, monkeypatch):
         assert got[i] == pytest.approx(plain(texts[i]), rel=1e-6)
     assert got[50] == pytest.approx(plain("w1 w2 unknown w1 w2"), rel=1e-6)
     assert got[51] == got[52] == 0 and len(got) == 43
+
+
+def test_distinct_ngrams_of_a_chunk_cost_little_more_than_a_sort(monkeypatch):
+    """A fraction of the CPU time that hashing them takes (np.unique() without counts or places)."""
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(ngram_quality, "TaskContext", task)
+    asked = ngram_quality._asked(SimpleNamespace(mapInArrow=lambda f, _: f), 7)
+    rng = np.random.default_rng(5)
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(map(str, rng.integers(0, 1 << 20, 5000))) for _ in range(50)]})
+
+    def cpu(run):
+        times = []
+        for _ in range(3):
+            began = time.thread_time()
+            run()
+            times.append(time.thread_time() - began)
+        return min(times)
+
+    ((_, first, hashes),) = ngram_quality._chunks(iter([batch]), [], 1 << 20)
+    keys = ngram_quality._keys(hashes, first)
+    sort, chunk = cpu(lambda: np.sort(keys)), cpu(lambda: list(ngram_quality._chunks(iter([batch]), [], 1 << 20)))
+    assert cpu(lambda: list(asked(iter([batch])))) < 2 * chunk + 8 * sort
+    rows = pa.Table.from_batches(asked(iter([batch])))
+    got = np.concatenate([ngram_quality._unpacked_keys(x) for x in rows["keys"].to_pylist()])
+    assert got.tolist() == sorted(set(keys.tolist()))
+
+
+def test_order_of_keys_that_differ_in_low_bits_only():
+    rng = np.random.default_rng(6)
+    leading = rng.integers(0, 1 << 63, 3000).astype(np.uint64) & ~np.uint64((1 << 20) - 1)
+    few = np.concatenate([leading, leading[:100] | np.uint64(5), leading[:100] | np.uint64(2), leading[:50]])
+    many = rng.integers(0, 1 << 12, 5000).astype(np.uint64)
+    for keys in (rng.permutation(few), many, many[:1], many[:0]):
+        assert (keys[ngram_quality._order(keys)] == np.sort(keys)).all()
+        known, number = ngram_quality._numbered(keys)
+        assert known.tolist() == sorted(set(keys.tolist())) and (known[number] == keys).all()
+        for packed in (keys, keys >> np.uint64(40), np.zeros(3, np.uint64)):
+            assert (ngram_quality._unpacked(ngram_quality._packed(packed)) == packed).all()
+        assert (ngram_quality._unpacked_keys(ngram_quality._packed_keys(known)) == known).all()
