@@ -39,8 +39,13 @@ GRAM = 64
 HOT = 20_000
 SIEVE_BITS = 25
 TASK_BYTES = 4 << 20
+#: Blocks whose arrays stay in the processor's cache; grams packed, and runs settled, at once.
+SMALL_BLOCK = 1 << 16
+PACKED = 1 << 21
+SETTLED = 1 << 18
 _COVER, _PERIOD = (0, 1, 3), 7
 _LAST = 2**63 - 1
+REPEAT, OPEN, HOT_RUN = 0, 1, 2
 
 _rng = np.random.default_rng(99)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -116,16 +121,54 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", text).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), text.alias("text"))
 
 
-def _grams(keyed: DataFrame) -> DataFrame:
-    """(gram, n): owners, counted within each block."""
+def _grams_twice(keyed: DataFrame) -> DataFrame:
+    """(gram): owners that occur more than once. The grams of a batch go out as one packed row for each range of hashes,
+    ranges as many as shuffle partitions; a gram that a batch holds several times is packed twice. Each range is sorted."""
+    ranges = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        grams = np.sort(np.concatenate(held))
+        keep = np.ones(len(grams), bool)
+        keep[2:] = grams[2:] != grams[:-2]  # twice is enough
+        grams = grams[keep]
+        cuts = [0, *np.searchsorted(grams, bounds).tolist(), len(grams)]
+        at = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([grams[cuts[i] : cuts[i + 1]].tobytes() for i in at], pa.binary())], names=["bucket", "grams"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for block in blocks(batch.column("text")):
-                found, times = np.unique(_runs(block)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], names=["gram", "n"])
+            for block in blocks(batch.column("text"), SMALL_BLOCK):
+                held.append(_runs(block)[0])
+                size += len(held[-1])
+                if size > PACKED:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        last = None
+
+        def found() -> pa.RecordBatch:
+            grams = np.sort(np.concatenate(held))
+            held.clear()
+            again = np.flatnonzero(grams[1:] == grams[:-1])
+            again = again[np.concatenate([[True], grams[again[1:]] != grams[again[:-1]]])] if len(again) else again
+            return pa.RecordBatch.from_arrays([pa.array(grams[again].view(np.int64))], names=["gram"])
+
+        for batch in batches:
+            for bucket, grams in zip(batch.column("bucket").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                if held and bucket != last:
+                    yield found()
+                held.append(np.frombuffer(grams, np.uint64))
+                last = bucket
+        if held:
+            yield found()
 
-    return keyed.select("text").mapInArrow(count, "gram long, n long")
+    return keyed.select("text").mapInArrow(pack, "bucket int, grams binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twice, "gram long")
 
 
 def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -135,20 +178,89 @@ def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc"))
-            for block in blocks(batch.column("text")):
+            parts = []
+            for block in blocks(batch.column("text"), SMALL_BLOCK):
                 grams, text, s, e = _runs(block)
                 keep = sieve.test(shared.value, grams)
                 grams, text, s, e = grams[keep], text[keep], s[keep], e[keep]
                 c1, c2 = _range_fingerprints(block.data, s, e + LENGTH)
                 at = block.first + text
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (grams.view(np.int64), c1.view(np.int64), c2.view(np.int64), row[at], doc[at], (s - block.offsets[text]).astype(np.int64), (e - block.offsets[text]).astype(np.int64))],
-                    names=["gram", "c1", "c2", "row", "doc", "s", "e"],
-                )
+                parts.append((grams.view(np.int64), c1.view(np.int64), c2.view(np.int64), row[at], doc[at], s - block.offsets[text], e - block.offsets[text]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["gram", "c1", "c2", "row", "doc", "s", "e"])
 
     return keyed.mapInArrow(cut, "gram long, c1 long, c2 long, row long, doc long, s long, e long")
 
 
+def _told_apart(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs (columns gram, c1, c2, doc, row, s, e), by gram: the earliest of each kind of bytes, once, and the others."""
+    gram, c1, c2, doc, row, s, _ = runs
+    runs = runs[:, np.lexsort((s, row, doc, c2, c1, gram))]
+    new = np.ones(runs.shape[1], bool)
+    new[1:] = (runs[:3, 1:] != runs[:3, :-1]).any(axis=0)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return runs[:, new], runs[:, (runs[3:6] != runs[3:6, first]).any(axis=0)]
+
+
+def _settled(runs: DataFrame, hot: int) -> DataFrame:
+    """(gram, kind, row, doc, s, e) of runs: REPEAT, equal in all bytes to an earlier one; or OPEN, the earliest of its
+    bytes, of a gram with several contexts; or HOT_RUN, of one with more than `hot` contexts, where copies may remain.
+    What is alone is not returned. Runs are sorted by gram and settled some whole grams at a time; of a gram with more
+    runs than that, only the earliest of each context are held, and none once it is hot."""
+    most = max(SETTLED, 2 * hot)
+
+    def rows(runs: np.ndarray, kind: int) -> pa.RecordBatch:
+        gram, _, _, doc, row, s, e = runs
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), kind, np.int8)), *(pa.array(x) for x in (row, doc, s, e))], names=["gram", "kind", "row", "doc", "s", "e"])
+
+    def whole(runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Settles runs that hold all of their grams."""
+        runs, others = _told_apart(runs)
+        yield rows(others, REPEAT)
+        begins = np.flatnonzero(np.concatenate([[True], runs[0][1:] != runs[0][:-1]]))
+        n = np.diff(np.append(begins, runs.shape[1]))
+        n = np.repeat(n, n)
+        yield rows(runs[:, (n > 1) & (n <= hot)], OPEN)
+        yield rows(runs[:, (n > 1) & (n > hot)], HOT_RUN)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last, is_hot = [], 0, None, False  # is_hot: of the last gram
+        for batch in batches:
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "c1", "c2", "doc", "row", "s", "e")])
+            if not new.shape[1]:
+                continue
+            if is_hot:
+                go_on = int(np.searchsorted(new[0] != last, True))
+                firsts, others = _told_apart(new[:, :go_on])
+                yield rows(others, REPEAT)
+                yield rows(firsts, HOT_RUN)
+                new = new[:, go_on:]
+                if not new.shape[1]:
+                    continue
+                is_hot = False
+            last = new[0][-1]
+            held.append(new)
+            size += new.shape[1]
+            if size <= most:
+                continue
+            runs = np.concatenate(held, axis=1)
+            begin = int(np.searchsorted(runs[0] == last, True))  # grams come together
+            if begin:
+                yield from whole(runs[:, :begin])
+                runs = runs[:, begin:]
+            if runs.shape[1] > most // 2:
+                runs, others = _told_apart(runs)
+                yield rows(others, REPEAT)
+                if runs.shape[1] > hot:
+                    yield rows(runs, HOT_RUN)
+                    runs, is_hot = runs[:, :0], True
+            held, size = [runs], runs.shape[1]
+        if size:
+            yield from whole(np.concatenate(held, axis=1))
+
+    return runs.repartition("gram").sortWithinPartitions("gram").mapInArrow(settle, "gram long, kind byte, row long, doc long, s long, e long")
+
+
 def _segments(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted runs (gram, hot, row, doc, s, e): those columns and `bytes`."""
     by_row = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "hot", "s", "e")).alias("runs"))  # of one document
@@ -273,13 +385,10 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, row, s, e): windows that start at s to e of a document also start earlier. Documents are told apart by their
     doc_id and a hash of it and the text."""
     keyed = _keyed(docs).where(F.octet_length("text") >= LENGTH)
-    twice = _grams(keyed).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    runs = materialize(_run_rows(keyed, sieve.build(twice, ["gram"], SIEVE_BITS)), "runs")
-    first = materialize(runs.groupBy("gram", "c1", "c2").agg(F.min(F.struct("doc", "row", "s", "e")).alias("first"), F.count("*").alias("n")), "contexts")
-    copied = first.where("n > 1").select("gram", "c1", "c2", F.col("first.doc").alias("_doc"), F.col("first.row").alias("_row"), F.col("first.s").alias("_s"))
-    equal = runs.join(copied, ["gram", "c1", "c2"]).where((F.col("doc") != F.col("_doc")) | (F.col("row") != F.col("_row")) | (F.col("s") != F.col("_s"))).select("doc", "row", "s", "e")
-    several = first.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    wanted = first.join(several, "gram").select("gram", (F.col("contexts") > hot).alias("hot"), "first.*")
+    runs = _run_rows(keyed, sieve.build(_grams_twice(keyed), ["gram"], SIEVE_BITS))
+    settled = materialize(_settled(runs, hot), "settled")
+    equal = settled.where(F.col("kind") == REPEAT).select("doc", "row", "s", "e")
+    wanted = settled.where(F.col("kind") != REPEAT).select("gram", (F.col("kind") == HOT_RUN).alias("hot"), "doc", "row", "s", "e")
     segments = materialize(_segments(keyed, wanted), "segments")
     found = equal.unionByName(_sorted_ranges(segments.where("not hot")))
     return found.unionByName(_hot_ranges(segments.where("hot")))
@@ -288,20 +397,17 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(data: bytes, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed spans and the bytes that stay."""
-    spans: list[list[int]] = []
-    for s, e in sorted(ranges):
-        if spans and s <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], e + LENGTH)
-        else:
-            spans.append([s, e + LENGTH])
-    kept, at = [], 0
-    for a, b in spans:
-        kept.append(data[at:a])
-        at = b
-    kept.append(data[at:])
-    return [(a, b) for a, b in spans], b"".join(kept)
+def _spans(of: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(of, from, to): the maximal removed spans of each document, of its ranges of windows."""
+    order = np.lexsort((s, of))
+    of, s = of[order], s[order]
+    shift = of << 40  # so that no document's span reaches the next one's
+    reach = np.maximum.accumulate(e[order] + LENGTH + shift)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] + shift[1:] > reach[:-1]
+    begins = np.flatnonzero(new)
+    ends = np.append(begins[1:], len(s))[: len(begins)] - 1
+    return of[begins], s[begins], reach[ends] - shift[ends]
 
 
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -315,12 +421,26 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ranges")), strict=True):
-                data = text.encode()
-                spans, kept = _cut(data, [(r["s"], r["e"]) for r in found])
-                rows.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"from": a, "to": b} for a, b in spans], kept))
-            arrays = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.binary()), strict=True)]
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            ranges = batch.column("ranges")
+            each = ranges.flatten()
+            s, e = (each.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            of, begin, end = _spans(np.repeat(np.arange(len(texts)), ranges.value_lengths().to_numpy(zero_copy_only=False)), s, e)
+            at = np.searchsorted(of, np.arange(len(texts) + 1))
+            kept = []
+            begins, ends = begin.tolist(), end.tolist()
+            for data, i, j in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                kept.append(b"".join(data[a:b] for a, b in zip([0, *ends[i:j]], [*begins[i:j], len(data)], strict=True)))
+            n = np.array([len(x) for x in texts], np.int64)
+            arrays = [
+                batch.column("doc_id"),
+                pa.array(n),
+                pa.array(n - np.array([len(x) for x in kept], np.int64)),
+                pa.array(np.diff(at).astype(np.int64)),
+                pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin), pa.array(end)], names=["from", "to"])),
+                pa.array(kept, pa.binary()),
+            ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     schema = f"doc_id long, {DIGEST}, spans array<struct<from: long, to: long>>, kept binary"

@@ -81,3 +81,27 @@ def test_odd_rows(table):
     assert suffix_dedup.dedup(table([])).count() == 0
     long = suffix_dedup.dedup(table([(5, "word " * 60_000)])).first()
     assert (long["n_bytes"], long["n_removed"], long["n_spans"]) == (300_000, 299_995, 1)
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_grams_with_more_runs_than_are_held(table, monkeypatch, hot):
+    """Runs of one gram come in many batches: equal ones, ones with other contexts, rows that are one document."""
+    monkeypatch.setattr(suffix_dedup, "SETTLED", 4)
+    monkeypatch.setattr(suffix_dedup, "PACKED", 300)
+    monkeypatch.setattr(suffix_dedup, "SMALL_BLOCK", 1 << 9)
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = word(130)
+    rows = [(i, word(60) + common + word(60)) for i in range(60)]
+    rows += [(100 + i, rows[i % 7][1]) for i in range(30)] + [rows[3], rows[3], (5, rows[3][1]), (None, rows[9][1]), (300, None), (301, "")]
+    check(table(rows), rows, hot)
+
+
+def test_runs_are_settled_in_one_shuffle(spark):
+    """What repeats, what is open and what is alone comes of one sort by gram: no joins, no further aggregates."""
+    runs = spark.createDataFrame([(1, 1, 1, 5, 2, 0, 9), (1, 1, 1, 6, 1, 3, 12), (1, 2, 2, 6, 1, 40, 49), (2, 1, 1, 5, 2, 60, 69), (3, 1, 1, 5, 2, 80, 80), (3, 1, 1, 5, 2, 80, 80)], "gram long, c1 long, c2 long, row long, doc long, s long, e long")
+    settled = suffix_dedup._settled(runs, 20)
+    got = {(r["gram"], r["kind"], r["doc"], r["s"]) for r in settled.collect()}
+    assert got == {(1, suffix_dedup.REPEAT, 2, 0), (1, suffix_dedup.OPEN, 1, 3), (1, suffix_dedup.OPEN, 1, 40)}
+    plan = settled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
