@@ -184,25 +184,25 @@ def _apart_from_common(members: DataFrame, docs: DataFrame, shingle: int, slack:
     """
     nodes = materialize(members.select("cluster", "node", "n", "part").distinct(), "nodes")
     sets = _full_sets(nodes.select("node").distinct(), docs, shingle).distinct()
-    held = materialize(nodes.select("cluster", "node").join(sets, "node"), "held")
+    held = materialize(nodes.join(sets, "node"), "held")
     total = nodes.groupBy("cluster").agg(F.count("*").alias("all"))
     counted = materialize(held.groupBy("cluster", "value").agg(F.count("*").alias("df")).join(total, "cluster"), "df")
     common = counted.where(F.col("df") * 2 >= F.col("all"))
-    gained = held.join(counted.where((F.col("df") * 2 < F.col("all"))), ["cluster", "value"]).select("cluster", "node", "value", "df")
-    due = nodes.select("cluster", "node").join(common.select("cluster", "value", (F.col("all") - F.col("df")).alias("df")).where("df > 0"), "cluster")
-    lost = due.join(held, ["cluster", "node", "value"], "left_anti").select("cluster", "node", "value", "df")
-    rare_first = Window.partitionBy("cluster", "node").orderBy("df", "value")
-    apart = gained.unionByName(lost).withColumn("at", F.row_number().over(rare_first))
-    sizes = apart.groupBy("cluster", "node").agg(F.count("*").alias("size"))
-    sizes = materialize(nodes.join(sizes, ["cluster", "node"], "left").withColumn("size", F.coalesce("size", F.lit(0))), "apart")
+    columns = ["cluster", "node", "n", "part", "value", "df"]
+    gained = held.join(counted.where((F.col("df") * 2 < F.col("all"))), ["cluster", "value"]).select(*columns)
+    due = nodes.join(common.select("cluster", "value", (F.col("all") - F.col("df")).alias("df")).where("df > 0"), "cluster")
+    lost = due.join(held.select("cluster", "node", "value"), ["cluster", "node", "value"], "left_anti").select(*columns)
+    of_node = Window.partitionBy("cluster", "node")
+    apart = gained.unionByName(lost).withColumns({"at": F.row_number().over(of_node.orderBy("df", "value")), "size": F.count("*").over(of_node)})
+    apart = materialize(apart, "apart")
+    sizes = nodes.select("cluster", "node").join(apart.where("at = 1").select("cluster", "node", "size"), ["cluster", "node"], "left")
     reach = F.greatest(F.lit(1), F.ceil((F.col("size") + F.greatest(F.lit(1), F.col("size") - slack * F.col("n")) - slack * F.col("n")) / 2 - 1e-9))
-    entries = apart.where("df > 1").join(sizes, ["cluster", "node"]).where(F.col("at") <= F.col("size") - reach + 1)
-    entries = materialize(entries.select("cluster", "value", "node", "at", "n", "part", "size"), "entries")
+    entries = apart.where("df > 1").where(F.col("at") <= F.col("size") - reach + 1)
     least = F.ceil((F.col("x.size") + F.col("y.size") - slack * F.least("x.n", "y.n")) / 2 - 1e-9)
     both = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
     early = (least >= 1) & (F.col("x.at") <= F.col("x.size") - least + 1) & (F.col("y.at") <= F.col("y.size") - least + 1)
     pairs = entries.alias("x").join(entries.alias("y"), both & early)
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sizes.select("cluster", "node", "size")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), sizes.withColumn("size", F.coalesce("size", F.lit(0)))
 
 
 def _of_split_lists(members: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def near_duplicates(
     star = entries.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = materialize(_counted(_estimated(star, reps, k, least), docs, shingle), "counted")
     linked = lambda counted: counted.where(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
-    parts = materialize(connected_components(linked(first)), "parts")
+    parts = connected_components(linked(first))
 
     placed = (
         entries.join(parts, "node", "left")
@@ -257,7 +257,7 @@ def near_duplicates(
     second = materialize(_counted(_estimated(star, reps, k, least), docs, shingle), "counted")
     edges = linked(first).unionByName(linked(second))
     if linked(second).limit(1).count():
-        parts = materialize(connected_components(edges), "parts")
+        parts = connected_components(edges)
         members = members.drop("part").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         members = materialize(_of_split_lists(members), "open")
 

@@ -90,6 +90,18 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Stars are seen to be stars by the step that labels them; a chain of 40 in a few rounds of two shuffles each."""
+    plans = []
+    write = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    star = components.connected_components(spark.createDataFrame([(9, 4), (4, 7), (1, 2), (1, 3), (2, 1)], "a long, b long"))
+    assert {(r["node"], r["component"]) for r in star.collect()} == {(4, 4), (7, 4), (9, 4), (1, 1), (2, 1), (3, 1)} and star.count() == 6
+    assert len(plans) == 1
+    assert components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).where("component = 0").count() == 41
+    assert len(plans) <= 8 and max(x.count("Exchange") for x in plans) <= 2
+
+
 def test_long_words_that_hashes_may_confuse(table, monkeypatch):
     """One word each, the same words within a longer text, a copy in capitals; one list of several salts."""
     monkeypatch.setattr(near_dedup, "HOT_ROWS", 2)
