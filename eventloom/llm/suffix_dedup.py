@@ -46,6 +46,7 @@ SETTLED = 1 << 18
 _COVER, _PERIOD = (0, 1, 3), 7
 _LAST = 2**63 - 1
 REPEAT, OPEN, HOT_RUN = 0, 1, 2
+RUN = ("gram", "c1", "c2", "doc", "row", "s", "e")
 
 _rng = np.random.default_rng(99)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -172,7 +173,9 @@ def _grams_twice(keyed: DataFrame) -> DataFrame:
 
 
 def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(gram, c1, c2, row, doc, s, e): runs (doc and row tell documents apart) whose gram may occur twice; s and e are its windows' first and last start."""
+    """(gram, c1, c2, doc, row, s, e, salt): runs (doc and row tell documents apart) whose gram may occur twice; s and e are
+    its windows' first and last start. salt is 0, or another number for a run that repeats one of the same batch, so that
+    a gram's many copies needn't come to one task."""
     shared = keyed.sparkSession.sparkContext.broadcast(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,11 +188,13 @@ def _run_rows(keyed: DataFrame, wanted: np.ndarray) -> DataFrame:
                 grams, text, s, e = grams[keep], text[keep], s[keep], e[keep]
                 c1, c2 = _range_fingerprints(block.data, s, e + LENGTH)
                 at = block.first + text
-                parts.append((grams.view(np.int64), c1.view(np.int64), c2.view(np.int64), row[at], doc[at], s - block.offsets[text], e - block.offsets[text]))
+                parts.append((grams.view(np.int64), c1.view(np.int64), c2.view(np.int64), doc[at], row[at], s - block.offsets[text], e - block.offsets[text]))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["gram", "c1", "c2", "row", "doc", "s", "e"])
+                firsts, others = _told_apart(np.stack([np.concatenate(x) for x in zip(*parts, strict=True)]))
+                salt = np.concatenate([np.zeros(firsts.shape[1], np.int64), np.arange(1, others.shape[1] + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*np.concatenate([firsts, others], axis=1), salt)], names=[*RUN, "salt"])
 
-    return keyed.mapInArrow(cut, "gram long, c1 long, c2 long, row long, doc long, s long, e long")
+    return keyed.mapInArrow(cut, ", ".join(f"{c} long" for c in (*RUN, "salt")))
 
 
 def _told_apart(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +231,11 @@ def _settled(runs: DataFrame, hot: int) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last, is_hot = [], 0, None, False  # is_hot: of the last gram
         for batch in batches:
-            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "c1", "c2", "doc", "row", "s", "e")])
+            new = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in RUN])
+            copies = batch.column("salt").to_numpy(zero_copy_only=False) > 0
+            if copies.any():
+                yield rows(new[:, copies], REPEAT)
+                new = new[:, ~copies]
             if not new.shape[1]:
                 continue
             if is_hot:
@@ -258,7 +267,7 @@ def _settled(runs: DataFrame, hot: int) -> DataFrame:
         if size:
             yield from whole(np.concatenate(held, axis=1))
 
-    return runs.repartition("gram").sortWithinPartitions("gram").mapInArrow(settle, "gram long, kind byte, row long, doc long, s long, e long")
+    return runs.repartition("gram", "salt").sortWithinPartitions("gram").mapInArrow(settle, "gram long, kind byte, row long, doc long, s long, e long")
 
 
 def _segments(keyed: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest_llm import ODD
+from pyspark.sql import functions as F
 
 from eventloom.llm import queries, suffix_dedup
 
@@ -100,8 +101,20 @@ def test_grams_with_more_runs_than_are_held(table, monkeypatch, hot):
 def test_runs_are_settled_in_one_shuffle(spark):
     """What repeats, what is open and what is alone comes of one sort by gram: no joins, no further aggregates."""
     runs = spark.createDataFrame([(1, 1, 1, 5, 2, 0, 9), (1, 1, 1, 6, 1, 3, 12), (1, 2, 2, 6, 1, 40, 49), (2, 1, 1, 5, 2, 60, 69), (3, 1, 1, 5, 2, 80, 80), (3, 1, 1, 5, 2, 80, 80)], "gram long, c1 long, c2 long, row long, doc long, s long, e long")
-    settled = suffix_dedup._settled(runs, 20)
+    settled = suffix_dedup._settled(runs.withColumn("salt", F.lit(0).cast("long")), 20)
     got = {(r["gram"], r["kind"], r["doc"], r["s"]) for r in settled.collect()}
     assert got == {(1, suffix_dedup.REPEAT, 2, 0), (1, suffix_dedup.OPEN, 1, 3), (1, suffix_dedup.OPEN, 1, 40)}
     plan = settled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_copies_of_a_batch_are_spread(table):
+    """A gram that very many copies share doesn't bring them all to one task."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    keyed = suffix_dedup._keyed(table([(i, text) for i in range(400)])).coalesce(1)
+    runs = suffix_dedup._run_rows(keyed, suffix_dedup.sieve.build(suffix_dedup._grams_twice(keyed), ["gram"])).collect()
+    by_key = {}
+    for r in runs:
+        by_key[r["gram"], r["salt"]] = by_key.get((r["gram"], r["salt"]), 0) + 1
+    assert len(runs) >= 400 and len(runs) % 400 == 0 and max(by_key.values()) <= 4
