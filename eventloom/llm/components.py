@@ -21,7 +21,8 @@ def _by_node(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """(a, b, m, first, apart): every edge from both ends, with the smallest m of a and its neighbours. apart: a has
     two smaller neighbours, or smaller and larger ones, so it isn't in a star; first: one row of each node."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.select(F.explode(F.array(there, back)).alias("x")).select("x.*")
     of_node = Window.partitionBy("a")
     low, high = F.min("b").over(of_node), F.max("b").over(of_node)
     return _by_node(both).select(
