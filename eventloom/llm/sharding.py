@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +91,16 @@ def _node_of(leaves: list[Node], node: Node) -> Column:
     return F.when(low, _node_of(leaves, node.children[0])).otherwise(_node_of(leaves, node.children[1]))
 
 
+def _descended(rows: DataFrame, before: list[Node], after: list[Node]) -> DataFrame:
+    """rows with `leaf`, an index in `before`, made one in `after`, where some of those leaves are cut in two."""
+    of_leaf = lambda values: F.get(F.array(*[F.lit(x).cast("long") for x in values]), F.col("leaf"))
+    key, cut = F.get("keys", of_leaf(max(x.dim, 0) for x in before).cast("int")), of_leaf(x.cut for x in before)
+    low = (key < cut) | ((key == cut) & (F.col("tie") < of_leaf(x.tie_cut for x in before)))
+    first = of_leaf(next(i for i, y in enumerate(after) if y is (x.children[0] if x.children else x)) for x in before)
+    high = (of_leaf(int(bool(x.children)) for x in before) == 1) & ~low
+    return rows.withColumn("leaf", (first + high.cast("long")).cast("int"))
+
+
 def _leaves(node: Node) -> list[Node]:
     return [x for child in node.children for x in _leaves(child)] if node.children else [node]
 
@@ -105,22 +116,23 @@ def _narrow(rows: DataFrame, low: list[int], high: list[int], wanted: list[float
             .where("value between low and high")
             .groupBy("node", F.expr("(value - low) div width").alias("bin"))
             .agg(F.sum("size").alias("bytes"))
-            .collect()
+            .toArrow()
         )
-        bins: dict[int, dict[int, int]] = {}
-        for r in sums:
-            bins.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
+        of, bins, sizes = (sums[c].to_numpy() for c in ("node", "bin", "bytes"))
+        order = np.lexsort((bins, of))
+        of, bins, sizes = of[order], bins[order], sizes[order]
         for i in range(len(low)):
             if done[i]:
                 continue
-            total = before[i]
-            mine = sorted(bins.get(i, {0: 0}).items())
-            for b, size in mine:
-                if total + size >= wanted[i] or b == mine[-1][0]:
-                    before[i], inside[i] = total, size
-                    low[i], high[i] = low[i] + b * width[i], min(high[i], low[i] + (b + 1) * width[i] - 1)
-                    break
-                total += size
+            mine = slice(*np.searchsorted(of, [i, i + 1]))
+            until = before[i] + np.cumsum(sizes[mine], dtype=float)
+            if not len(until):
+                inside[i], high[i] = 0, min(high[i], low[i] + width[i] - 1)
+            else:
+                k = min(int(np.searchsorted(until, wanted[i])), len(until) - 1)
+                b = int(bins[mine][k])
+                before[i], inside[i] = float(until[k] - sizes[mine][k]), float(sizes[mine][k])
+                low[i], high[i] = low[i] + b * width[i], min(high[i], low[i] + (b + 1) * width[i] - 1)
             done[i] = low[i] == high[i] or inside[i] <= slack
     return low, high, before, inside
 
@@ -136,12 +148,17 @@ def grow(described: DataFrame, shards: int) -> Node:
     total = described.agg(F.sum("size")).first()[0]
     whole = described.agg(*[F.max(F.shiftright(F.col("keys")[d], 32)) for d in range(n_dims)]).first()
     root = Node(shards, 0)
+    # rows know their leaf, so that no pass over a level walks the tree
+    placed, leaves = described.select("size", "tie", "keys", F.lit(0).alias("leaf")), [root]
     while True:
-        leaves = _leaves(root)
+        if root.children:
+            before, leaves = leaves, _leaves(root)
+            if any(x.leaves > 1 for x in leaves):
+                placed = materialize(_descended(placed, before, leaves), "level")
         opened = [x for x in leaves if x.leaves > 1]
         if not opened:
             return root
-        at = described.withColumn("leaf", _node_of(leaves, root)).withColumn(
+        at = placed.withColumn(
             "node", F.element_at(F.array(*[F.lit(opened.index(x) if x.leaves > 1 else -1) for x in leaves]), F.col("leaf") + 1)
         )
         at = at.where("node >= 0")

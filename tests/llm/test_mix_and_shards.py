@@ -196,3 +196,13 @@ def test_shard_keeps_rows_and_columns(table):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == sorted((r[0] or -1, r[1] or "") for r in rows)
     assert sharding.shard(table([]), 3).count() == 0 and sharding.assign(table([]), 3).count() == 0
     assert sharding.shards_for(table([(1, "x" * 984)]), 100) == 10
+
+
+def test_plans_of_a_level_do_not_grow_with_the_tree(documents, monkeypatch):
+    """Rows carry their leaf: no plan of a pass over a level nests the tree's cuts, which took the driver's memory."""
+    plans = []
+    narrow = sharding._narrow
+    monkeypatch.setattr(sharding, "_narrow", lambda rows, *rest: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN")), narrow(rows, *rest))[1])
+    got = sharding.assign(documents, 16)
+    assert got.count() == documents.count() and len(plans) >= 4
+    assert max(plans) == 0
